@@ -1,0 +1,87 @@
+"""Whole jobs put together from the operators."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from answerproof.config import KEYWORD_STOPWORDS, RULES_ONLY, Thresholds
+from answerproof.functions.text import strip
+from answerproof.operators import keywords, rates, resample
+from answerproof.operators.decide import (
+    EMBED_SCORE,
+    NLI_CONTRADICTION_MAX,
+    NLI_ENTAIL_MIN,
+    abstention_rule,
+    label_pairs,
+)
+from answerproof.operators.schema import add_features, attach_generations, clean_response
+from answerproof.sources.tables import LABELED_COLUMNS
+
+
+def label_answers(
+    df: DataFrame, th: Thresholds = RULES_ONLY, keep: Sequence[str] = ()
+) -> DataFrame:
+    """Label cleaned answers the way the batch job reports them.
+
+    Both sides are stripped first, and blank answers count as abstentions: not hallucinated, with the
+    reasoning still saying ``empty_response``.
+    """
+    stripped = df.withColumns(
+        {"__answer": strip("model_response"), "__correct": strip("correct_answer")}
+    )
+    labelled = label_pairs(stripped, th, "__answer", "__correct")
+    # working columns start with "__" and are gone; the stripped answer is blank iff the raw one is
+    return labelled.withColumn(
+        "hallucinated", abstention_rule("model_response", "hallucinated")
+    ).select(*keep, *[F.col("reason").alias(c) if c == "reasoning" else c for c in LABELED_COLUMNS])
+
+
+def label_responses(
+    prompts: DataFrame,
+    generations: DataFrame,
+    th: Thresholds = RULES_ONLY,
+    run: str = "run",
+    scores: DataFrame | None = None,
+) -> DataFrame:
+    """Prompts × raw generations → labelled responses: join, clean, decide, apply abstention.
+
+    ``scores`` may hold ``embed_score``, ``nli_entail_min`` and ``nli_contradiction_max`` per
+    (run, id). One shuffle for the join; the rest is row-local.
+    """
+    joined = attach_generations(prompts, generations, run)
+    if scores is not None:
+        names = [
+            c
+            for c in (EMBED_SCORE, NLI_ENTAIL_MIN, NLI_CONTRADICTION_MAX)
+            if c in scores.columns
+        ]
+        joined = joined.join(scores.select(run, "id", *names), [run, "id"], "left")
+    cleaned = joined.withColumn("model_response", clean_response("model_response_raw", "prompt"))
+    return label_answers(cleaned, th, keep=[run])
+
+
+def report(
+    labelled: DataFrame,
+    source: str = "source",
+    key: str = "id",
+    top_keywords: int = 10,
+    replicates: int = 1000,
+    seed: int = 0,
+    stop_words: Sequence[str] = KEYWORD_STOPWORDS,
+) -> dict[str, DataFrame]:
+    """The tables of a run's report, all lazy: processed rows, rates, keywords, correlations, metrics.
+
+    They all scan ``labelled``: pass a written table or a cached one, not a plan that labels again.
+    """
+    rows = add_features(labelled)
+    metrics = resample.bootstrap_rate_ci(rows, [source], replicates, seed)
+    return {
+        "processed": rows.select("prompt", "model_response", "is_correct", "hallucinated"),
+        "template": rates.rate_by_template(rows),
+        "keywords": keywords.rate_by_keyword(rows, top_keywords, key=key, stop_words=stop_words),
+        "correlation": rates.correlation_matrix(rows),
+        "metrics": resample.metric_records(metrics, [source]),
+    }
