@@ -13,6 +13,7 @@ from answerproof.functions.text import (
     shared_content_count,
     strip,
     text_or_empty,
+    token_count,
 )
 
 # Words that negate what follows, and verbs that link an answer to "not" or "no".
@@ -50,27 +51,28 @@ def unavailability_cue(resp_can: Column | str, th: Thresholds) -> Column:
 
 
 def atomic_gold(
-    gold_raw: Column | str, gold_can: Column | str, gold_toks: Column | str, th: Thresholds
+    gold_raw: Column | str, gold_can: Column | str, th: Thresholds
 ) -> Column:
     """A short name or code rather than a phrase."""
-    raw, can, toks = text_or_empty(gold_raw), as_col(gold_can), as_col(gold_toks)
+    raw, can = text_or_empty(gold_raw), as_col(gold_can)
+    count = token_count(can)
     short = (
         (can != "")
         & (F.length(can) <= th.atomic_gold_max_chars)
-        & (F.size(toks) <= th.atomic_gold_max_tokens)
+        & (count <= th.atomic_gold_max_tokens)
     )
     return short & (
-        ~strip(raw).contains(" ") | (F.size(content_tokens(toks)) == F.size(toks))
+        ~strip(raw).contains(" ") | (F.size(content_tokens(can)) == count)
     )
 
 
 def atomic_mismatch(
-    is_atomic: Column, agrees: Column, resp_toks: Column, gold_toks: Column, th: Thresholds
+    is_atomic: Column, agrees: Column, resp_can: Column, gold_can: Column, th: Thresholds
 ) -> Column:
     """A short response to an atomic gold answer that shares no content token with it."""
     return (
         is_atomic
         & ~agrees
-        & (F.size(resp_toks) <= th.atomic_resp_max_tokens)
-        & (shared_content_count(resp_toks, gold_toks) == 0)
+        & (token_count(resp_can) <= th.atomic_resp_max_tokens)
+        & (shared_content_count(resp_can, gold_can) == 0)
     )

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from answerproof.config import TRUE_WORDS
 from answerproof.functions.text import as_col, strip
@@ -14,6 +15,13 @@ def as_bool(c: Column | str) -> Column:
     return F.coalesce(F.lower(strip(as_col(c).cast("string"))).isin(*TRUE_WORDS), F.lit(False))
 
 
+def flag_of(df: DataFrame, name: str) -> Column:
+    """A label column as a boolean; one that is boolean already is left to the optimiser as it is."""
+    if isinstance(df.schema[name].dataType, BooleanType):
+        return F.coalesce(F.col(name), F.lit(False))
+    return as_bool(name)
+
+
 def share(flag: Column | str) -> Column:
     """Share of true rows; NULL for no rows."""
     return F.avg(as_col(flag).cast("double"))

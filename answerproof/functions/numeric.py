@@ -41,7 +41,7 @@ def ascii_digits(can: Column) -> Column:
 
 
 def number_text(raw: Column | str, can: Column | str) -> Column:
-    """The text numbers are read from.
+    """The text numbers are read from, with ASCII digits.
 
     It is the canonical text, unless the raw text has superscripts: then powers written like
     10⁻²¹ are first spelled out with a caret, which needs a second canonical form.
@@ -49,9 +49,8 @@ def number_text(raw: Column | str, can: Column | str) -> Column:
     raw, can = text_or_empty(raw), as_col(can)
     spelled = F.translate(raw, SUPERSCRIPTS + "×−–—", SUPERSCRIPTS_PLAIN + "x---")
     rewritten = canonical(F.regexp_replace(spelled, IMPLICIT_POWER, "10^$1"))
-    return ascii_digits(
-        F.when(~is_ascii(raw) & raw.rlike(f"[{SUPERSCRIPTS}]"), rewritten).otherwise(can)
-    )
+    superscripts = ~is_ascii(raw) & raw.rlike(f"[{SUPERSCRIPTS}]")
+    return F.when(superscripts, ascii_digits(rewritten)).otherwise(ascii_digits(can))
 
 
 def _double(text: Column) -> Column:
@@ -84,28 +83,29 @@ def scientific(numtext: Column | str) -> Column:
     )
 
 
-def numbers(numtext: Column | str) -> Column:
-    """Scientific value first, if any, then every plain number in order."""
-    t = as_col(numtext)
+def numbers(numtext: Column | str, sci: Column | str) -> Column:
+    """The scientific value first, if any, then every plain number in order."""
+    t, sci = as_col(numtext), as_col(sci)
     plain = F.regexp_extract_all(t, F.lit(PLAIN_NUMBER), F.lit(1)).cast("array<double>")
-    sci = scientific(t)
-    return F.when(~t.rlike("[0-9]"), F.array().cast("array<double>")).otherwise(
-        F.when(sci.isNull(), plain).otherwise(F.concat(F.array(sci), plain))
-    )
+    return F.when(sci.isNull(), plain).otherwise(F.concat(F.array(sci), plain))
 
 
 def coordinate(can: Column | str) -> Column:
-    """Degrees north or east; south and west are negative. NULL if no direction follows a number."""
-    t = ascii_digits(as_col(can))
+    """Degrees north or east; south and west are negative. NULL if no direction follows a number.
+
+    Takes canonical text with ASCII digits, as does looks_numeric.
+    """
+    t = as_col(can)
     size = F.abs(_double(F.regexp_extract(t, COORDINATE, 1)))
     direction = F.regexp_extract(t, COORDINATE, 2)
     value = F.when(direction.isin("s", "south", "w", "west"), -size).otherwise(size)
-    return F.when(t.rlike("[0-9]"), value)
+    # the patterns above cannot match without this much, which most texts lack
+    return F.when(t.rlike("[0-9] ?[dnsew]"), value)
 
 
 def looks_numeric(can: Column | str) -> Column:
     """Has a digit and nothing but digits, spaces, ``. - + ^ /`` and the letter e."""
-    t = ascii_digits(as_col(can))
+    t = as_col(can)
     return t.rlike("[0-9]") & ~t.rlike(r"[^0-9 .\-+^/e]")
 
 
@@ -139,12 +139,11 @@ def numeric_match(
 
     ``gold_num`` must be NULL unless the gold answer is numeric; ``gold_coord`` wins if set.
     """
-    first = F.get(resp_nums, F.lit(0))
-    target = F.coalesce(resp_coord, first)
+    first = F.slice(resp_nums, 1, 1)
     return F.coalesce(
-        F.when(gold_coord.isNotNull(), target == gold_coord).otherwise(
-            same_number(first, gold_num, th)
-        ),
+        F.when(
+            gold_coord.isNotNull(), F.coalesce(resp_coord, F.get(first, F.lit(0))) == gold_coord
+        ).when(gold_num.isNotNull(), F.exists(first, lambda x: same_number(x, gold_num, th))),
         F.lit(False),
     )
 

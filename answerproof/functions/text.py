@@ -24,20 +24,29 @@ BLANKS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 # Where str.splitlines() breaks a line.
 LINE_BREAK = "\\r\\n|[\\n\\x0b\\f\\r\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]"
 
-# Characters of a canonical text; anything else separates tokens.
-_DROPPED_ASCII = r"[^a-z0-9_\-./^+:=]+"
-_DROPPED = r"[^\p{L}\p{N}_\-./^+:=]+"
+# Fixed value: punctuation a canonical text keeps. Anything but it, letters, digits and "_" separates
+# tokens.
+KEPT_PUNCTUATION = "-./^+:="
+_DROPPED_ASCII = "".join(
+    chr(p) for p in range(128) if not (chr(p).isalnum() or chr(p) in KEPT_PUNCTUATION + "_ ")
+)
+_DROPPED = r"[^\p{L}\p{N}_\-./^+:= ]+"
 
 # A token Python's float() accepts: digits may be grouped by single underscores.
 _DIGITS = r"\p{Nd}+(?:_\p{Nd}+)*"
 NUMERIC_TOKEN = (
-    rf"^[+-]?(?:nan|inf|infinity|(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?)$"
+    rf"[+-]?(?:nan|inf|infinity|(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?)"
 )
+# Tokens without content: stop words, numbers, single characters. Whole tokens only.
+EMPTY_TOKEN = rf"(?<![^ ])(?:{'|'.join(ANSWER_STOPWORDS)}|{NUMERIC_TOKEN}|[^ ])(?![^ ])"
 
 
 @functools.cache
 def combining_class_pattern() -> str:
-    """Character class of all code points with a non-zero combining class, as ranges."""
+    """Character class of all code points with a non-zero combining class, as ranges.
+
+    They are all marks, and asking for that first spares other characters the search.
+    """
     ranges: list[list[int]] = []
     for point in range(0x300, 0x1F000):
         if unicodedata.combining(chr(point)):
@@ -45,7 +54,7 @@ def combining_class_pattern() -> str:
                 ranges[-1][1] = point
             else:
                 ranges.append([point, point])
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]+"
+    return "[\\p{M}&&[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + "]]+"
 
 
 @functools.cache
@@ -86,13 +95,14 @@ def canonical(c: Column | str) -> Column:
     using it twice: the Unicode branch is opaque to the optimiser.
     """
     raw = text_or_empty(c)
-    plain = F.regexp_replace(F.lower(raw), _DROPPED_ASCII, " ")
+    plain = F.translate(F.lower(raw), _DROPPED_ASCII, " " * len(_DROPPED_ASCII))
     composed = F.translate(_icu("compose", raw), "×−–—", "x---")
     bare = F.regexp_replace(
         _icu("decompose", F.lower(composed)), combining_class_pattern(), ""
     )
     unicode_form = F.regexp_replace(bare, _DROPPED, " ")
-    return F.trim(F.when(is_ascii(raw), plain).otherwise(unicode_form))
+    spaced = F.when(is_ascii(raw), plain).otherwise(unicode_form)
+    return F.trim(F.regexp_replace(spaced, " {2,}", " "))
 
 
 def tokens(can: Column | str) -> Column:
@@ -107,21 +117,14 @@ def token_count(can: Column | str) -> Column:
     return F.when(can == "", F.lit(0)).otherwise(spaces + 1)
 
 
-def is_numeric_token(token: Column) -> Column:
-    return token.rlike(NUMERIC_TOKEN)
-
-
-def content_tokens(toks: Column | str) -> Column:
+def content_tokens(can: Column | str) -> Column:
     """Tokens that carry meaning: no stop words, no numbers, no single characters."""
-    return F.filter(
-        as_col(toks),
-        lambda t: (F.length(t) >= 2) & ~t.isin(*ANSWER_STOPWORDS) & ~is_numeric_token(t),
-    )
+    return F.array_remove(F.split(F.regexp_replace(as_col(can), EMPTY_TOKEN, ""), " "), "")
 
 
-def shared_content_count(resp_toks: Column | str, gold_toks: Column | str) -> Column:
-    """Distinct content tokens both sides have. Intersecting first keeps the filter short."""
-    return F.size(content_tokens(F.array_intersect(as_col(resp_toks), as_col(gold_toks))))
+def shared_content_count(resp_can: Column | str, gold_can: Column | str) -> Column:
+    """Distinct content tokens both sides have."""
+    return F.size(F.array_intersect(content_tokens(resp_can), content_tokens(gold_can)))
 
 
 def jaccard(a_toks: Column | str, b_toks: Column | str) -> Column:

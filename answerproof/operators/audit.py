@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from answerproof.functions.flags import as_bool, hash_key
+from answerproof.functions.flags import flag_of, hash_key
 from answerproof.operators.ranking import join_on, take_by_hash
 from answerproof.operators.rates import LABEL
 from answerproof.operators.small import settle_if_small
@@ -28,7 +28,7 @@ def audit_rows(df: DataFrame, source_file: str = "source_file", label: str = LAB
         raise ValueError(f"missing required columns: {sorted(missing)}")
     kept = [c for c in AUDIT_COLUMNS if c in df.columns]
     run = ["run"] if "run" in df.columns else []
-    return df.select(*run, source_file, *kept, as_bool(label).alias("detector_hallucinated"))
+    return df.select(*run, source_file, *kept, flag_of(df, label).alias("detector_hallucinated"))
 
 
 def strata_counts(df: DataFrame, *by: str, flag: str = "detector_hallucinated") -> DataFrame:
@@ -302,7 +302,7 @@ def cohen_kappa(
 ) -> DataFrame:
     """Agreement and Cohen's kappa per group and overall; kappa is NULL when chance agreement is 1.
 
-    The rows are first counted by (group, label, label); everything else works on those counts.
+    The rows are counted by (group, label, label) when this is called; all else uses those counts.
     """
     a, b = F.col(rater_a), F.col(rater_b)
     if binary:
@@ -316,6 +316,7 @@ def cohen_kappa(
         .agg(_rollup_name(by).alias("group"), F.count(F.lit(1)).alias("__n"))
         .select("group", "__a", "__b", "__n")
     )
+    cells = settle_if_small(cells)
     totals = cells.groupBy("group").agg(
         F.sum("__n").alias("n"),
         F.sum(F.when(F.col("__a").eqNullSafe(F.col("__b")), F.col("__n")).otherwise(0)).alias("agree"),

@@ -6,6 +6,8 @@ contradicting only on positive evidence; everything else is accepted.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,7 +156,7 @@ def label_pairs(
         }
         added |= {name: F.when(answered, c) for name, c in plain.items()}
         added |= {"normalized_response": w("resp"), "normalized_correct_answer": w("gold")}
-    return drop_working(df.withColumns(added))
+    return _observed(drop_working(df.withColumns(added)))
 
 
 def flag_pairs(
@@ -165,7 +167,16 @@ def flag_pairs(
 ) -> DataFrame:
     """Only the yes/no decision; signals that merely explain an acceptance are pruned away."""
     df = _decided(df, th, response, gold)
-    return drop_working(df.withColumn("hallucinated", w("contradiction").isNotNull()))
+    return _observed(drop_working(df.withColumn("hallucinated", w("contradiction").isNotNull())))
+
+
+def _observed(df: DataFrame) -> DataFrame:
+    """Report the number of labelled rows as an observed metric.
+
+    It is also a fence: without it a filter on the label would be pushed below the layers of
+    signals, and inlining them there repeats every shared expression many times over.
+    """
+    return df.observe(f"labelled_{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
 
 
 def abstention_rule(response: Column | str, hallucinated: Column | str) -> Column:

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerproof.config import KEYWORD_STOPWORDS
-from answerproof.functions.flags import as_bool, share
+from answerproof.functions.flags import flag_of, share
 from answerproof.functions.text import text_or_empty
+from answerproof.operators.small import settle_if_small
 
 # Fixed value: a word of the report.
 WORD = r"(?U)\b[a-zA-Z]{2,}\b"
@@ -62,12 +63,12 @@ def tfidf_keywords(
 ) -> DataFrame:
     """The top words by mean TF-IDF weight over positive prompts (``keyword, weight``).
 
-    The vocabulary is capped at 5 × top_n words by total count, and rows are L2-normalised. Only
-    words of the vocabulary, of positive prompts, are grouped per prompt; ``key`` must be unique.
-    The vocabulary has at most 5 × top_n rows, which is what makes the broadcast safe.
+    The vocabulary is capped at 5 × top_n words by total count, and rows are L2-normalised. It is
+    settled when this is called, so that it is counted once and broadcast; the weights of positive
+    prompts are the only rows grouped per prompt. ``key`` must be unique.
     """
-    vocab = F.broadcast(vocabulary(df, 5 * top_n, prompt, stop_words).select("term", "idf"))
-    positives = df.filter(as_bool(label))
+    vocab = settle_if_small(vocabulary(df, 5 * top_n, prompt, stop_words).select("term", "idf"))
+    positives = df.filter(flag_of(df, label))
     cells = (
         positives.select(F.col(key).alias("__key"), F.explode(words(prompt)).alias("term"))
         .join(vocab, "term")
@@ -85,9 +86,11 @@ def tfidf_keywords(
     n = positives.agg(F.nullif(F.count(F.lit(1)), F.lit(0))).scalar()
     # a word of the vocabulary that no positive prompt has still takes part, with weight 0
     weights = (
-        vocab.select(F.col("term").alias("keyword"))
-        .join(scaled.groupBy("keyword").agg(F.sum("w").alias("w")), "keyword", "left")
-        .select("keyword", (F.coalesce("w", F.lit(0.0)) / n).alias("weight"))
+        scaled.groupBy("keyword")
+        .agg(F.sum("w").alias("w"))
+        .unionByName(vocab.select(F.col("term").alias("keyword"), F.lit(0.0).alias("w")))
+        .groupBy("keyword")
+        .agg((F.sum("w") / n).alias("weight"))
         .filter(F.col("weight").isNotNull())
     )
     # rounded, so that the order in which weights were added up does not decide ties
@@ -114,12 +117,14 @@ def rate_by_keyword(
     key: str = "id",
     stop_words: Sequence[str] = KEYWORD_STOPWORDS,
 ) -> DataFrame:
-    """Rate among the prompts that contain each top keyword; empty if nothing is positive."""
-    top = tfidf_keywords(df, top_n, prompt, label, key, stop_words)
-    # top_n rows by construction
-    hits = keyword_matches(df, F.broadcast(top), prompt, [label])
+    """Rate among the prompts that contain each top keyword; empty if nothing is positive.
+
+    The keywords, top_n rows, are settled when this is called.
+    """
+    top = settle_if_small(tfidf_keywords(df, top_n, prompt, label, key, stop_words))
+    hits = keyword_matches(df, top, prompt, [label])
     rates = hits.groupBy("keyword").agg(
-        share(as_bool(label)).alias("hallucination_rate"), F.count(F.lit(1)).alias("n")
+        share(flag_of(df, label)).alias("hallucination_rate"), F.count(F.lit(1)).alias("n")
     )
     ranked = rates.join(top, "keyword")
     return ranked.orderBy(F.desc(F.round("weight", 12)), F.asc("keyword"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from answerproof.functions.flags import as_bool, share
+from answerproof.functions.flags import flag_of, share
 from answerproof.functions.text import strip, text_or_empty
 
 LABEL = "hallucinated"
@@ -15,7 +15,7 @@ LABEL = "hallucinated"
 
 def rate(df: DataFrame, *by: str, label: str = LABEL) -> DataFrame:
     """Share, count and number of positive rows; the share is NULL when there are no rows."""
-    flag = as_bool(label)
+    flag = flag_of(df, label)
     return df.groupBy(*by).agg(
         share(flag).alias("hallucination_rate"),
         F.count_if(flag).alias("hallucinations"),
@@ -25,7 +25,7 @@ def rate(df: DataFrame, *by: str, label: str = LABEL) -> DataFrame:
 
 def rate_by_template(df: DataFrame, template: str = "template", label: str = LABEL) -> DataFrame:
     """Rate per template, highest first; a missing template is a group of its own."""
-    rates = df.groupBy(template).agg(share(as_bool(label)).alias("hallucination_rate"))
+    rates = df.groupBy(template).agg(share(flag_of(df, label)).alias("hallucination_rate"))
     return rates.orderBy(F.desc("hallucination_rate"), F.asc_nulls_first(template))
 
 
@@ -38,7 +38,7 @@ def rate_grouping_sets(
     ``level`` tells the three apart, since a rolled-up column is NULL just as a missing value is.
     """
     m, r, c = F.col(model), F.col(run), F.col(category)
-    rows = df.select(m, r, c, as_bool(label).alias("__flag"))
+    rows = df.select(m, r, c, flag_of(df, label).alias("__flag"))
     grouped = rows.groupingSets([[m, r, c], [m, r], [m]], m, r, c).agg(
         F.grouping_id().alias("__level"),
         share("__flag").alias("hallucination_rate"),
@@ -54,7 +54,7 @@ def coverage(
 ) -> DataFrame:
     """Share of non-blank responses, and the rate among them next to the overall rate."""
     answered = strip(text_or_empty(response)) != ""
-    flag = as_bool(label)
+    flag = flag_of(df, label)
     return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(answered).alias("answered"),
@@ -74,7 +74,7 @@ def correlation_matrix(df: DataFrame, features: Sequence[str] | None = None, lab
         features = ["prompt_length", "response_length"]
         features += [c for c in df.columns if c.startswith("contains_")]
     names = [c for c in features if c in df.columns] + [label]
-    values = {c: (as_bool(c) if c == label else F.col(c)).cast("double") for c in names}
+    values = {c: (flag_of(df, c) if c == label else F.col(c)).cast("double") for c in names}
     pairs = [(x, y) for i, x in enumerate(names) for y in names[i:]]
 
     def pearson(x: str, y: str) -> Column:

@@ -14,10 +14,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from answerproof.functions.flags import as_bool, hash_key, hash_uniform
+from answerproof.functions.flags import flag_of, hash_key, hash_uniform
 from answerproof.operators.audit import TOTAL, is_contradiction
 from answerproof.operators.ranking import join_on, number_rows, take_first
 from answerproof.operators.rates import LABEL
+from answerproof.operators.small import settle_if_small
 
 # Replicates a task draws per input row.
 REPLICATE_BLOCK = 500
@@ -45,11 +46,14 @@ def bootstrap_rate_ci(
     one hashed uniform number, and the count is its inverse distribution function. That function is
     monotone, so sorting the uniforms and inverting only the two that bound the interval gives
     exactly the interval of all sorted replicates. The distribution function is tabulated around its
-    mean: about sqrt(n) rows per group, whatever n is.
+    mean: about sqrt(n) rows per group, whatever n is. The counts are settled when this is called.
     """
-    flag = as_bool(label)
-    groups = df.groupBy(*by).agg(
-        F.count_if(flag).alias("hallucinations"), F.count(F.lit(1)).alias("n")
+    flag = flag_of(df, label)
+    # one row per group, used three times below
+    groups = settle_if_small(
+        df.groupBy(*by).agg(
+            F.count_if(flag).alias("hallucinations"), F.count(F.lit(1)).alias("n")
+        )
     )
     low, high = interval_ranks(replicates)
     draws = groups.select(*by, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("__r"))

@@ -105,10 +105,10 @@ def baseline_similar(score: Column, jaccard: Column, th: Thresholds) -> Column:
 def embedding_gate(score: Column, th: Thresholds) -> Column:
     """Name of the gate that keeps the embedding from counting as support; NULL if none does."""
     gate = F.when(
-        F.size(w("gold_toks")) <= th.embed_disable_for_very_short_gold_tokens, "gold_too_short"
+        text.token_count(w("gold")) <= th.embed_disable_for_very_short_gold_tokens, "gold_too_short"
     )
     if th.embed_require_shared_content_tokens:
-        shared = text.shared_content_count(w("resp_toks"), w("gold_toks"))
+        shared = text.shared_content_count(w("resp"), w("gold"))
         gate = gate.when(
             shared < th.embed_min_shared_content_tokens, "insufficient_shared_content"
         )

@@ -59,33 +59,43 @@ def add_lexical(df: DataFrame, th: Thresholds) -> DataFrame:
 
 def add_parsed_numbers(df: DataFrame) -> DataFrame:
     """Numbers and coordinates. Responses are parsed only where the gold answer is a number."""
+    df = df.withColumn(WORK + "gold_ascii", numeric.ascii_digits(w("gold")))
     df = df.withColumns(
         {
-            WORK + "gold_coord": numeric.coordinate(w("gold")),
-            WORK + "gold_numeric": numeric.looks_numeric(w("gold")),
+            WORK + "gold_coord": numeric.coordinate(w("gold_ascii")),
+            WORK + "gold_numeric": numeric.looks_numeric(w("gold_ascii")),
         }
     )
-    has_target = w("gold_coord").isNotNull() | w("gold_numeric")
-    gold_text = numeric.number_text(w("gold_raw"), w("gold"))
-    resp_text = numeric.number_text(w("resp_raw"), w("resp"))
+    df = df.withColumn(WORK + "has_target", w("gold_coord").isNotNull() | w("gold_numeric"))
     df = df.withColumns(
         {
-            WORK + "gold_numtext": F.when(has_target, gold_text),
-            WORK + "resp_numtext": F.when(has_target, resp_text),
+            WORK + "gold_numtext": F.when(
+                w("gold_coord").isNull() & w("gold_numeric"),
+                numeric.number_text(w("gold_raw"), w("gold")),
+            ),
+            WORK + "resp_numtext": F.when(
+                w("has_target"), numeric.number_text(w("resp_raw"), w("resp"))
+            ),
+            WORK + "resp_ascii": F.when(
+                w("gold_coord").isNotNull(), numeric.ascii_digits(w("resp"))
+            ),
+        }
+    )
+    df = df.withColumns(
+        {
+            WORK + "gold_sci": numeric.scientific(w("gold_numtext")),
+            WORK + "resp_sci": numeric.scientific(w("resp_numtext")),
         }
     )
+    gold_nums = numeric.numbers(w("gold_numtext"), w("gold_sci"))
+    resp_nums = numeric.numbers(w("resp_numtext"), w("resp_sci"))
     return df.withColumns(
         {
-            WORK + "gold_num": F.when(
-                w("gold_coord").isNull() & w("gold_numeric"),
-                F.get(numeric.numbers(w("gold_numtext")), F.lit(0)),
-            ),
-            WORK + "resp_nums": F.when(has_target, numeric.numbers(w("resp_numtext"))).otherwise(
+            WORK + "gold_num": F.get(gold_nums, F.lit(0)),
+            WORK + "resp_nums": F.when(w("has_target"), resp_nums).otherwise(
                 F.array().cast(NO_NUMBERS)
             ),
-            WORK + "resp_coord": F.when(
-                w("gold_coord").isNotNull(), numeric.coordinate(w("resp"))
-            ),
+            WORK + "resp_coord": numeric.coordinate(w("resp_ascii")),
         }
     )
 
@@ -118,16 +128,14 @@ def add_cues(df: DataFrame, th: Thresholds) -> DataFrame:
         {
             WORK + "negated": cues.negation_cue(w("resp"), w("gold")),
             WORK + "unavailable": cues.unavailability_cue(w("resp"), th),
-            WORK + "atomic_gold": cues.atomic_gold(
-                w("gold_raw"), w("gold"), w("gold_toks"), th
-            ),
+            WORK + "atomic_gold": cues.atomic_gold(w("gold_raw"), w("gold"), th),
         }
     )
     return df.withColumns(
         {
             WORK + "unavailability_conflict": w("unavailable") & ~agrees,
             WORK + "atomic_mismatch": cues.atomic_mismatch(
-                w("atomic_gold"), agrees, w("resp_toks"), w("gold_toks"), th
+                w("atomic_gold"), agrees, w("resp"), w("gold"), th
             ),
         }
     )

@@ -18,6 +18,7 @@ from answerproof.operators.decide import (
     label_pairs,
 )
 from answerproof.operators.schema import add_features, attach_generations, clean_response
+from answerproof.session import written
 from answerproof.sources.tables import LABELED_COLUMNS
 
 
@@ -72,11 +73,11 @@ def report(
     seed: int = 0,
     stop_words: Sequence[str] = KEYWORD_STOPWORDS,
 ) -> dict[str, DataFrame]:
-    """The tables of a run's report, all lazy: processed rows, rates, keywords, correlations, metrics.
+    """The tables of a run's report: processed rows, rates, keywords, correlations, metrics.
 
-    They all scan ``labelled``: pass a written table or a cached one, not a plan that labels again.
+    All of them scan the labels, so those are written once to the shared checkpoint folder first.
     """
-    rows = add_features(labelled)
+    rows = written(add_features(labelled), "report")
     metrics = resample.bootstrap_rate_ci(rows, [source], replicates, seed)
     return {
         "processed": rows.select("prompt", "model_response", "is_correct", "hallucinated"),

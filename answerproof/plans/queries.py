@@ -28,7 +28,7 @@ from answerproof.operators import (
 )
 from answerproof.operators.signals import w
 from answerproof.plans import fixtures, pipeline, views
-from answerproof.session import ensure_checkpoint_dir, spread
+from answerproof.session import ensure_checkpoint_dir, spread, written
 from answerproof.streaming import labelling
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,7 +92,7 @@ def lexical_signals(spark: SparkSession, d: str) -> DataFrame:
         w("substring").alias("normalized_substring"),
         w("subsequence").alias("token_subsequence"),
         F.round(w("jaccard"), 9).alias("jaccard"),
-        text.shared_content_count(w("resp_toks"), w("gold_toks")).alias("shared_content"),
+        text.shared_content_count(w("resp"), w("gold")).alias("shared_content"),
     )
 
 
@@ -150,10 +150,11 @@ def scientific_values(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.sql(fixtures.POWERS, orders=spread(views.read(spark, d, "orders")))
     rows = rows.withColumn("can", text.canonical("answer"))
     rows = rows.withColumn("numtext", numeric.number_text("answer", "can"))
+    rows = rows.withColumn("scientific", numeric.scientific("numtext"))
     return rows.select(
         "id",
-        F.round(numeric.scientific("numtext"), 9).alias("scientific"),
-        F.size(numeric.numbers("numtext")).alias("n_numbers"),
+        F.round("scientific", 9).alias("scientific"),
+        F.size(numeric.numbers("numtext", "scientific")).alias("n_numbers"),
     )
 
 
@@ -161,7 +162,7 @@ def scientific_values(spark: SparkSession, d: str) -> DataFrame:
 def coordinate_values(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.sql(fixtures.PLACES, orders=spread(views.read(spark, d, "orders")))
     rows = rows.withColumn("can", text.canonical("answer"))
-    return rows.select("id", numeric.coordinate("can").alias("degrees"))
+    return rows.select("id", numeric.coordinate(numeric.ascii_digits(F.col("can"))).alias("degrees"))
 
 
 # ---- decisions ------------------------------------------------------------------------------
@@ -415,13 +416,13 @@ def template_extremes(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def tfidf_keywords(spark: SparkSession, d: str) -> DataFrame:
-    top = keywords.tfidf_keywords(_labelled(spark, d), 10)
+    top = keywords.tfidf_keywords(written(_labelled(spark, d)), 10)
     return top.withColumn("weight", F.round("weight", 9))
 
 
 @query
 def rate_by_keyword(spark: SparkSession, d: str) -> DataFrame:
-    found = keywords.rate_by_keyword(_labelled(spark, d), 10)
+    found = keywords.rate_by_keyword(written(_labelled(spark, d)), 10)
     return found.select("keyword", "hallucination_rate", "n")
 
 

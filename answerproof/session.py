@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +53,14 @@ def spread(df: DataFrame, most: int = 64) -> DataFrame:
     """
     target = min(df.sparkSession.sparkContext.defaultParallelism, most)
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
+def written(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write a table once into the shared checkpoint folder and read it back.
+
+    For results that several passes read: later plans are short, scan only the columns they need, and
+    survive lost executors without redoing the work.
+    """
+    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
