@@ -37,8 +37,6 @@ PROMPT_COLUMNS = ("template", "id", "prompt", "correct_answer")
 
 _CORRUPT = "__corrupt"
 _PATH = "__path"
-# No cell holds this, so that empty cells read as "" and only absent ones as NULL.
-_NO_NULL = "\x00"
 
 
 # ---- reading --------------------------------------------------------------------------------
@@ -85,7 +83,7 @@ def read_cells(
     sep: str = ",",
     multi_line: bool = True,
 ) -> DataFrame:
-    """All cells as text, plus file path, position in the file and whether the row is too long.
+    """All cells as text (absent ones empty), file path, position and whether a row is too long.
 
     Quoted line breaks need ``multi_line``, which reads each file in one task. Turn it off for large
     files without them: those are then split.
@@ -96,13 +94,17 @@ def read_cells(
         .option("columnNameOfCorruptRecord", _CORRUPT)
         .csv(
             list(paths), header=True, sep=sep, quote='"', escape='"', multiLine=multi_line,
-            mode="PERMISSIVE", nullValue=_NO_NULL, emptyValue="", enforceSchema=True,
+            mode="PERMISSIVE", enforceSchema=True,
         )
     )
-    # a row that is too short lacks its last cell; one that is too long has it
-    too_long = F.col(_CORRUPT).isNotNull() & F.col(columns[-1]).isNotNull()
+    # rows of another width come with their text; quoted parts aside, delimiters tell how wide
+    bare = F.regexp_replace(F.col(_CORRUPT), '"[^"]*"', "")
+    width = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
+    # Spark refuses queries that read that text alone, hence the (always true) look at a cell
+    cell = F.length(F.coalesce(columns[0], F.lit(""))) >= 0
+    too_long = F.coalesce((width > len(columns)) & cell, F.lit(False))
     return frame.select(
-        *columns,
+        *[F.coalesce(c, F.lit("")).alias(c) for c in columns],
         F.col("_metadata.file_path").alias(_PATH),
         F.monotonically_increasing_id().alias(POSITION),
         too_long.alias("__too_long"),
@@ -113,9 +115,7 @@ def read_prompts(spark: SparkSession, path: str, sep: str | None = None) -> Data
     """One prompt file, cells as text (no cell is taken for missing), bad lines skipped."""
     sep = sep or sniff_delimiter(spark, path)
     cells = read_cells(spark, [path], _header(spark, path, sep), sep)
-    return cells.filter(~F.col("__too_long")).drop("__too_long").fillna("").withColumnRenamed(
-        _PATH, "source"
-    )
+    return cells.filter(~F.col("__too_long")).drop("__too_long").withColumnRenamed(_PATH, "source")
 
 
 def load_prompt_sets(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
