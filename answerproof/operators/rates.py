@@ -78,9 +78,13 @@ def correlation_matrix(df: DataFrame, features: Sequence[str] | None = None, lab
     pairs = [(x, y) for i, x in enumerate(names) for y in names[i:]]
 
     def pearson(x: str, y: str) -> Column:
-        varies = (F.min(values[x]) < F.max(values[x])) & (F.min(values[y]) < F.max(values[y]))
-        # a constant column would give NaN or a rounding artefact
-        return F.when(varies, F.corr(values[x], values[y]))
+        a, b = values[x], values[y]
+        both = a.isNotNull() & b.isNotNull()
+        a, b = F.when(both, a), F.when(both, b)
+        varies = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
+        return F.when(
+            varies, F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+        )
 
     row = df.agg(*[pearson(x, y).alias(f"r{i}") for i, (x, y) in enumerate(pairs)])
     cells = [

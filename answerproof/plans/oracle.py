@@ -161,6 +161,19 @@ running as (select *, cast(coalesce(sum(positives) over before, 0) as bigint) as
 pool as (select * from running where positives_before < 800 or negatives_before < 800)"""
 WITH_POOL = f"with review as ({REVIEW}), {FILES}, {COUNTED}"
 
+
+
+def _balanced(rows: str, n: int) -> str:
+    """CTEs ending in drawn: half of each stratum, the shortfall of one made up by the other."""
+    half, rest = n // 2, n - n // 2
+    return f"""
+avail as (select count(*) filter (where detector_hallucinated) as pos, count(*) filter (where not detector_hallucinated) as neg from {rows}),
+quota as (select case when pos < {half} or neg >= {rest} then least(pos, {half}) else least(pos, {n} - neg) end as n_pos,
+ case when neg < {rest} or pos >= {half} then least(neg, {rest}) else least(neg, {n} - pos) end as n_neg from avail),
+picked as (select *, row_number() over (partition by detector_hallucinated order by md5('1337|' || cast(id as varchar))) as rn from {rows}),
+drawn as (select p.* from picked p, quota where rn <= case when detector_hallucinated then n_pos else n_neg end)"""
+
+
 PLAN = """plan as (select category, positives, negatives, audited_negatives,
  cast(audited_negatives as double) / negatives as p_negative from (
  select *, greatest(least(negatives, cast(ceil((positives + negatives) * 0.3) as bigint) - positives), 0) as audited_negatives from (
@@ -334,14 +347,10 @@ select keyword, round(weight, 9) as weight from top10""",
     "rate_by_keyword_documents": f"with docs_in as ({TOXIC}), {_keywords('docs_in', 'doc_id', 'text', 'toxic')} {KEYWORD_RATES}",
     "strata_counts": f"{WITH_POOL} select * from counted",
     "file_pool": f"{WITH_POOL} select * from pool",
-    "balanced_audit_sample": f"""{WITH_POOL}, p as (select f.*, row_number() over (partition by detector_hallucinated
-  order by md5('1337|' || cast(id as varchar))) as rn from files f join pool using (source_file))
-select source_file, id, detector_hallucinated, '' as human_hallucinated, '' as human_notes from p where rn <= 400""",
+    "balanced_audit_sample": f"""{WITH_POOL}, drawn_from as (select f.* from files f join pool using (source_file)),
+{_balanced('drawn_from', 800)} select source_file, id, detector_hallucinated, '' as human_hallucinated, '' as human_notes from drawn""",
     "lopsided_audit_sample": f"""with review as (select * replace (id % 401 = 0 as detector_hallucinated) from ({REVIEW})),
-n as (select count(*) filter (where detector_hallucinated) as pos, count(*) filter (where not detector_hallucinated) as neg from review),
-p as (select *, row_number() over (partition by detector_hallucinated order by md5('1337|' || cast(id as varchar))) as rn from review)
-select id, detector_hallucinated from p, n where rn <= case when detector_hallucinated then least(pos, 400)
-  else least(neg, 800 - least(pos, 400)) end""",
+{_balanced('review', 800)} select id, detector_hallucinated from drawn""",
     "sample_per_stratum": f"""with review as ({REVIEW}), p as (select *, row_number() over (partition by category
  order by md5('1337|' || cast(id as varchar))) as rn from review) select category, id from p where rn <= 50""",
     "sampling_plan": f"{WITH_AUDIT} select * from plan",

@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # per-partition pruning of row_number() <= k also for audit sets beyond 1,000 rows
     "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
+    # collecting Python call sites for error messages doubles the time it takes to build a plan
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
 }
 

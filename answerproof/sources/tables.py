@@ -7,7 +7,7 @@ from collections import defaultdict
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -206,6 +206,14 @@ def labeled_name(prompt_file: Column | str) -> Column:
     return F.replace(as_col(prompt_file), F.lit("prompts"), F.lit("responses_labeled"))
 
 
+def _write_csv(writer: DataFrameWriter, out: str, mode: str, **options: bool) -> None:
+    """CSV that the readers above read back cell for cell, outer blanks included."""
+    writer.csv(
+        out, mode=mode, header=True, quote='"', escape='"', emptyValue="",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, **options,
+    )
+
+
 def write_labeled(df: DataFrame, out: str, by: Sequence[str] = ("run", "source")) -> None:
     """Labelled rows as CSV, one folder per run and source, named after the prompt file.
 
@@ -214,9 +222,7 @@ def write_labeled(df: DataFrame, out: str, by: Sequence[str] = ("run", "source")
     """
     kept = [c for c in LABELED_COLUMNS if c in df.columns]
     renamed = df.withColumn("source", labeled_name("source")) if "source" in by else df
-    renamed.select(*by, *kept).write.partitionBy(*by).csv(
-        out, mode="errorifexists", header=True, quote='"', escape='"'
-    )
+    _write_csv(renamed.select(*by, *kept).write.partitionBy(*by), out, "errorifexists")
 
 
 def write_prompts(df: DataFrame, out: str) -> None:
@@ -224,12 +230,12 @@ def write_prompts(df: DataFrame, out: str) -> None:
     ordered = df.select(*PROMPT_COLUMNS)
     if is_empty(ordered):
         raise ValueError("refusing to write an empty prompt set")
-    ordered.write.csv(out, mode="overwrite", header=True, quoteAll=True, escape='"')
+    _write_csv(ordered.write, out, "overwrite", quoteAll=True)
 
 
 def write_audit(df: DataFrame, out: str) -> None:
     """An audit sample; an existing one is never overwritten, it may hold reviews."""
-    df.write.csv(out, mode="errorifexists", header=True, quote='"', escape='"', emptyValue="")
+    _write_csv(df.write, out, "errorifexists")
 
 
 def write_metrics(df: DataFrame, out: str, by: str = "source") -> None:
@@ -239,6 +245,5 @@ def write_metrics(df: DataFrame, out: str, by: str = "source") -> None:
 
 def write_processed(df: DataFrame, out: str) -> None:
     """The table behind the report page."""
-    df.select("prompt", "model_response", "is_correct", "hallucinated").write.csv(
-        out, mode="overwrite", header=True, quote='"', escape='"'
-    )
+    kept = df.select("prompt", "model_response", "is_correct", "hallucinated")
+    _write_csv(kept.write, out, "overwrite")
