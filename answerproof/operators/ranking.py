@@ -55,13 +55,17 @@ def number_rows(
         if hashed
         else F.shiftright(F.col(order).cast("bigint"), BLOCK_ROWS_LOG2)
     )
+    # as one struct the keys match when missing, and window and join share a single shuffle
+    place = ["__group", "__block"] if keys else ["__block"]
     blocked = df.withColumn("__block", block)
-    offsets = _block_offsets(blocked, keys, "__block").drop("__n")
-    within = Window.partitionBy(*keys, "__block").orderBy(order, *ties)
+    if keys:
+        blocked = blocked.withColumn("__group", F.struct(*keys))
+    offsets = _block_offsets(blocked, place[:-1], "__block").drop("__n")
+    within = Window.partitionBy(*place).orderBy(order, *ties)
     numbered = blocked.withColumn("__within", F.row_number().over(within))
-    joined = join_on(numbered, offsets, [*keys, "__block"])
+    joined = numbered.join(offsets, place)
     return joined.withColumn(out, F.col("__offset") + F.col("__within")).drop(
-        "__block", "__within", "__offset"
+        *place, "__within", "__offset"
     )
 
 

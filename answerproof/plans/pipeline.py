@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from answerproof.config import KEYWORD_STOPWORDS, RULES_ONLY, Thresholds
 from answerproof.functions.text import strip
-from answerproof.operators import keywords, rates, resample
+from answerproof.operators import audit, harvest, keywords, rates, resample
 from answerproof.operators.decide import (
     EMBED_SCORE,
     NLI_CONTRADICTION_MAX,
@@ -17,7 +17,9 @@ from answerproof.operators.decide import (
     abstention_rule,
     label_pairs,
 )
-from answerproof.operators.schema import add_features, attach_generations, clean_response
+from answerproof.operators.ranking import number_rows
+from answerproof.operators.schema import POSITION, add_features, attach_generations, clean_response
+from answerproof.operators.small import is_empty
 from answerproof.session import written
 from answerproof.sources.tables import LABELED_COLUMNS
 
@@ -86,3 +88,57 @@ def report(
         "correlation": rates.correlation_matrix(rows),
         "metrics": resample.metric_records(metrics, [source]),
     }
+
+
+def audit_set(
+    labelled: DataFrame,
+    n_total: int = 300,
+    seed: int = 1337,
+    keys: Sequence[str] = ("source_file", "id"),
+) -> DataFrame:
+    """A balanced sample for reviewers out of the first files that hold enough of both labels."""
+    rows = audit.audit_rows(labelled)
+    drawn = audit.balanced_sample(audit.pool_rows(rows, n_total), n_total, keys, seed)
+    flags = ["detector_hallucinated", "human_hallucinated", "human_notes"]
+    return drawn.select(*[c for c in drawn.columns if c not in flags], *flags)
+
+
+def build_prompt_set(
+    generations: DataFrame,
+    ballots: DataFrame,
+    per_seed: int,
+    exact_total: int | None = None,
+    resize_seed: int = 42,
+) -> DataFrame:
+    """A prompt set out of stored generations: ``template, id, prompt, correct_answer``.
+
+    ``generations`` has one row per (seed_no, seed, attempt) and lists questions; ``ballots`` has the
+    answers (question, answer, vote_no). Every seed must yield ``per_seed`` questions and every
+    question an answer, otherwise nothing is built.
+    """
+    asked = harvest.harvest_questions(generations.select("seed_no", "seed", "attempt", "generation"))
+    # question_no counts from 0 within one generation, so 32 bits hold it
+    place = F.shiftleft(F.col("attempt").cast("bigint"), 32) + F.col("question_no")
+    kept = harvest.dedupe_questions(asked.withColumn("position", place), per_seed)
+    kept = written(kept, "questions")
+    short = harvest.incomplete_seeds(kept, per_seed)
+    seeds = generations.select("seed_no", "seed").distinct()
+    short = short.select("seed").unionByName(
+        seeds.join(kept.select("seed").distinct(), "seed", "left_anti").select("seed")
+    )
+    if not is_empty(short):
+        names = sorted(r[0] for r in short.limit(20).collect())
+        raise ValueError(f"seeds without exactly {per_seed} questions: {names}")
+    answered = kept.join(harvest.majority_vote(ballots), "question", "left").join(seeds, "seed")
+    answered = answered.select(
+        (F.shiftleft(F.col("seed_no").cast("bigint"), 32) + F.col("question_no")).alias(POSITION),
+        F.col("seed").alias("template"),
+        F.col("question").alias("prompt"),
+        F.col("answer").alias("correct_answer"),
+    )
+    if not is_empty(harvest.blank_answers(answered)):
+        raise ValueError("at least one question has no answer")
+    numbered = number_rows(answered, [], POSITION, "id")
+    if exact_total:
+        numbered = resample.resize_prompts(numbered, exact_total, POSITION, seed=resize_seed)
+    return numbered.select("template", "id", "prompt", "correct_answer")

@@ -14,7 +14,12 @@ from pyspark.sql import types as T
 from answerproof.config import MISSING_WORDS
 from answerproof.functions.text import as_col
 from answerproof.operators.ranking import join_on
-from answerproof.operators.schema import POSITION, find_header, normalize_prompts
+from answerproof.operators.schema import (
+    POSITION,
+    find_header,
+    normalize_prompts,
+    validate_prompts,
+)
 from answerproof.operators.small import is_empty, settle_if_small
 
 DELIMITERS = ",\t;|"
@@ -133,6 +138,18 @@ def load_prompt_sets(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return _union(spark, sets, ("source", *PROMPT_COLUMNS, POSITION))
 
 
+def validate_prompt_file(spark: SparkSession, path: str) -> DataFrame:
+    """One row (ok, message) on a prompt file: there, not empty, and with a filled prompt column."""
+    problem = None
+    if not file_exists(spark, path):
+        problem = f"{path.rsplit('/', 1)[-1]} not found."
+    elif is_empty(spark.read.text(path)):
+        problem = f"{path.rsplit('/', 1)[-1]} is empty (0 bytes)."
+    if problem:
+        return spark.createDataFrame([(False, problem)], "ok boolean, message string")
+    return validate_prompts(read_prompts(spark, path))
+
+
 def _union(spark: SparkSession, frames: list[DataFrame], columns: Sequence[str]) -> DataFrame:
     if not frames:
         return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns))
