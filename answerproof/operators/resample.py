@@ -156,18 +156,15 @@ def _draw_replicates(category: str, seed: int):
                 values = np.asarray([(p["fp"], p["neg"]) for p in row.profiles], dtype=float)
                 total = int(sizes.sum())
                 tag = zlib.crc32(str(name).encode())
-                draws = np.empty((row.until - row.start, len(sizes)), dtype=np.int64)
-                for i, replicate in enumerate(range(row.start, row.until)):
+                sums = []
+                for replicate in range(row.start, row.until):
                     rng = np.random.default_rng([seed, tag, replicate])
-                    draws[i] = rng.multinomial(total, sizes / total)
-                numbers = np.arange(row.start, row.until)
+                    sums.append((replicate, *rng.multinomial(total, sizes / total) @ values))
                 if row.start == 0:  # the clusters as they are, next to the first replicates
-                    numbers = np.append(numbers, OBSERVED)
-                    draws = np.vstack([draws, sizes])
-                fp, neg = (draws @ values).T
-                yield pd.DataFrame(
-                    {category: name, "replicate": numbers, "fp": fp, "neg": neg}
-                )
+                    sums.append((OBSERVED, *sizes @ values))
+                frame = pd.DataFrame(sums, columns=["replicate", "fp", "neg"])
+                frame.insert(0, category, name)
+                yield frame
 
     return draw
 
@@ -180,7 +177,8 @@ def cluster_replicates(
     Replicate -1 is the observed sample.
 
     Drawing C clusters with replacement is one multinomial draw over the distinct contributions, so
-    a replicate costs as much as there are profiles, not clusters or rows. Each replicate has its own
+    a replicate costs as much as there are profiles, not clusters or rows. Profiles are the distinct
+    pairs (false positives, negatives) a prompt can contribute, a few dozen in practice. Each replicate has its own
     generator, seeded by (seed, category, replicate): retries and other partitionings repeat it.
     """
     ordered = F.array_sort(F.collect_list(F.struct("fp", "neg", "clusters")))

@@ -146,7 +146,8 @@ def run_scorer(
     """Run a caller's batch scorer over a table of distinct pairs.
 
     ``make_scorer`` builds the model; it is called once per Python worker task, then the returned
-    function sees Arrow batches as pandas frames and must return frames of ``schema``.
+    function sees Arrow batches as pandas frames and must return frames of ``schema``. Pass a nested
+    function, or ship its module to the workers.
     """
 
     def score_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -316,6 +316,9 @@ select id, cast(length(prompt) as int) as prompt_length,
  model as hallucinated, cast(not model as int) as is_correct from qa""",
     "validate_prompts": f"""with qa as ({QA}) select bool_or(trim(prompt) <> '') as ok,
  case when bool_or(trim(prompt) <> '') then 'ok' else 'prompts CSV has no non-empty prompts.' end as message from qa""",
+    "prompt_files": f"with qa as ({QA}) select template, id, prompt, correct_answer from qa",
+    "labelled_files": f"""{LABELLED} select id, template, prompt, nullif(model_response, '') as model_response, correct_answer,
+ hallucinated, reason as reasoning, cast(length(model_response) as int) as response_length from labelled""",
     "rate_overall": f"""{LABELLED} select avg(cast(hallucinated as double)) as hallucination_rate,
  count(*) filter (where hallucinated) as hallucinations, count(*) as n from labelled""",
     "rate_by_model": f"""{LABELLED} select model, avg(cast(hallucinated as double)) as hallucination_rate,
@@ -349,6 +352,11 @@ select keyword, round(weight, 9) as weight from top10""",
     "file_pool": f"{WITH_POOL} select * from pool",
     "balanced_audit_sample": f"""{WITH_POOL}, drawn_from as (select f.* from files f join pool using (source_file)),
 {_balanced('drawn_from', 800)} select source_file, id, detector_hallucinated, '' as human_hallucinated, '' as human_notes from drawn""",
+    "audit_set": f"""{LABELLED}, review as (select id, cluster_id, template, prompt, correct_answer, model_response,
+  hallucinated as detector_hallucinated from labelled), {FILES}, {COUNTED},
+drawn_from as (select f.* from files f join pool using (source_file)), {_balanced('drawn_from', 800)}
+select source_file, template, id, prompt, correct_answer, model_response, detector_hallucinated,
+ '' as human_hallucinated, '' as human_notes from drawn""",
     "lopsided_audit_sample": f"""with review as (select * replace (id % 401 = 0 as detector_hallucinated) from ({REVIEW})),
 {_balanced('review', 800)} select id, detector_hallucinated from drawn""",
     "sample_per_stratum": f"""with review as ({REVIEW}), p as (select *, row_number() over (partition by category
@@ -441,3 +449,5 @@ select question, a as answer, votes, cast(ballots as bigint) as ballots from k w
     "stream_running_rates": f"""{LABELLED} select model, avg(cast(hallucinated as double)) as hallucination_rate,
  count(*) filter (where hallucinated) as hallucinations, count(*) as n from labelled group by model""",
 }
+
+ORACLES["metric_files"] = ORACLES["bootstrap_rate_ci"]

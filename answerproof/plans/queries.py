@@ -29,6 +29,7 @@ from answerproof.operators import (
 from answerproof.operators.signals import w
 from answerproof.plans import fixtures, pipeline, views
 from answerproof.session import ensure_checkpoint_dir, spread, written
+from answerproof.sources import tables
 from answerproof.streaming import labelling
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -269,31 +270,31 @@ def label_with_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def missing_scores(spark: SparkSession, d: str) -> DataFrame:
-    nli = views.nli(spark, d).filter("id % 5 > 0")
+    known = F.when(F.col("id") % 5 > 0, F.col("entailment"))
+    nli = views.nli(spark, d).withColumn("entailment", known)
     pairs = scores.attach_nli(signals.add_canonical(views.qa(spark, d)), nli)
     needed = (w("resp") != "") & scores.nli_eligible(SCORED)
     return scores.missing_scores(pairs, F.col("nli_entail_min"), needed, "model")
 
 
-def _make_length_scorer() -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """A stand-in for a model: how alike two texts are in length."""
-
-    def score(batch: pd.DataFrame) -> pd.DataFrame:
-        a, b = batch["normalized_response"].str.len(), batch["normalized_correct_answer"].str.len()
-        longest = a.where(a > b, b).clip(lower=1)
-        return batch.assign(embed_score=a.where(a < b, b) / longest)
-
-    return score
-
-
 @query
 def scorer_hook(spark: SparkSession, d: str) -> DataFrame:
     names = ["normalized_response", "normalized_correct_answer"]
     pairs = canonical_pairs(spark, d)
     layout = "normalized_response string, normalized_correct_answer string, embed_score double"
 
+    def make_scorer() -> Callable[[pd.DataFrame], pd.DataFrame]:
+        """A stand-in for a model: how alike two texts are in length."""
+
+        def alike(batch: pd.DataFrame) -> pd.DataFrame:
+            a = batch["normalized_response"].str.len()
+            b = batch["normalized_correct_answer"].str.len()
+            return batch.assign(embed_score=a.where(a < b, b) / a.where(a > b, b).clip(lower=1))
+
+        return alike
+
     def score(distinct: DataFrame) -> DataFrame:
-        return scores.run_scorer(distinct, _make_length_scorer, layout)
+        return scores.run_scorer(distinct, make_scorer, layout)
 
     scored = scores.score_distinct(pairs, names, score)
     return scored.select("id", F.round("embed_score", 9).alias("embed_score"))
@@ -343,13 +344,12 @@ def clean_conversations(spark: SparkSession, d: str) -> DataFrame:
 @query
 def attach_generations(spark: SparkSession, d: str) -> DataFrame:
     qa = views.qa(spark, d).withColumnRenamed("model", "run")
-    generations = qa.filter("id % 11 > 0").select(
-        "run", "id", F.col("model_response").alias("model_response_raw")
-    )
-    twice = generations.filter("run = 'm3' and id % 100 = 1")
-    joined = schema.attach_generations(
-        qa.select("run", "id", "prompt"), generations.unionByName(twice)
+    # some prompts without a generation, and one run with some that have two
+    copies = F.expr("case when id % 11 = 0 then 0 when run = 'm3' and id % 100 = 1 then 2 else 1 end")
+    generations = qa.select(
+        "run", "id", F.explode(F.array_repeat("model_response", copies)).alias("model_response_raw")
     )
+    joined = schema.attach_generations(qa.select("run", "id", "prompt"), generations)
     return joined.select("run", "id", "model_response_raw")
 
 
@@ -372,6 +372,49 @@ def validate_prompts(spark: SparkSession, d: str) -> DataFrame:
     return schema.validate_prompts(views.qa(spark, d).select("prompt"))
 
 
+# ---- files ----------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def prompt_files(spark: SparkSession, d: str) -> DataFrame:
+    out = _folder(spark, "prompts")
+    tables.write_prompts(views.qa(spark, d), out)
+    paths = [r.path for r in tables.discover(spark, out, "*.csv").collect()]
+    return tables.load_prompt_sets(spark, paths).select(*tables.PROMPT_COLUMNS)
+
+
+@query
+def labelled_files(spark: SparkSession, d: str) -> DataFrame:
+    name = F.concat(F.lit("prompts_"), F.substring("template", 1, 1), F.lit(".csv"))
+    rows = views.qa(spark, d).withColumns({"run": F.col("model"), "source": name})
+    out = _folder(spark, "labels")
+    tables.write_labeled(pipeline.label_answers(rows, keep=["run", "source"]), out)
+    paths = [r.path for r in tables.discover(spark, out, "*.csv").collect()]
+    back = tables.read_labeled(spark, paths)
+    return schema.add_features(back).select(
+        F.col("id").cast("bigint").alias("id"), "template", "prompt", "model_response",
+        "correct_answer", "hallucinated", "reasoning", "response_length",
+    )
+
+
+@query
+def metric_files(spark: SparkSession, d: str) -> DataFrame:
+    metrics = resample.bootstrap_rate_ci(_labelled(spark, d), ["model"], 1000, seed=7)
+    out = _folder(spark, "metrics")
+    tables.write_metrics(resample.metric_records(metrics, ["model"]), out, "model")
+    ends = F.col("hallucination_rate_ci95")
+    return spark.read.json(out).select(
+        "model", "hallucination_rate", "hallucinations", "n",
+        ends[0].alias("ci_low"), ends[1].alias("ci_high"),
+        F.col("bootstrap_samples").cast("int").alias("bootstrap_samples"),
+        F.col("bootstrap_seed").cast("int").alias("bootstrap_seed"),
+    )
+
+
 # ---- rates ----------------------------------------------------------------------------------
 
 
@@ -470,6 +513,13 @@ def balanced_audit_sample(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def audit_set(spark: SparkSession, d: str) -> DataFrame:
+    file = F.format_string("responses_labeled_%02d.csv", F.col("cluster_id") % 50)
+    rows = written(_labelled(spark, d).withColumn("source_file", file))
+    return pipeline.audit_set(rows, 800, keys=["id"])
+
+
 @query
 def lopsided_audit_sample(spark: SparkSession, d: str) -> DataFrame:
     few = views.review(spark, d).withColumn("detector_hallucinated", F.expr("id % 401 = 0"))

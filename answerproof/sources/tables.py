@@ -58,6 +58,12 @@ def discover(spark: SparkSession, root: str, pattern: str = "responses_labeled_*
     return found.select("path").orderBy("path")
 
 
+def file_path() -> Column:
+    """Path of the file a row comes from, as it is (the metadata column has it URL-encoded)."""
+    encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    return F.url_decode(encoded)
+
+
 def file_exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.text(path)
@@ -81,6 +87,17 @@ def _header(spark: SparkSession, path: str, sep: str) -> list[str]:
     return frame.columns
 
 
+def headers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """First line of every file, in one job for any number of files."""
+    lines = spark.read.text(list(paths)).select(
+        file_path().alias("path"),
+        F.col("_metadata.file_block_start").alias("start"),
+        "value",
+        F.monotonically_increasing_id().alias("line"),
+    )
+    return lines.filter("start = 0").groupBy("path").agg(F.min_by("value", "line").alias("header"))
+
+
 def read_cells(
     spark: SparkSession,
     paths: Sequence[str],
@@ -110,7 +127,7 @@ def read_cells(
     too_long = F.coalesce((width > len(columns)) & cell, F.lit(False))
     return frame.select(
         *[F.coalesce(c, F.lit("")).alias(c) for c in columns],
-        F.col("_metadata.file_path").alias(_PATH),
+        file_path().alias(_PATH),
         F.monotonically_increasing_id().alias(POSITION),
         too_long.alias("__too_long"),
     )
@@ -177,13 +194,16 @@ def read_labeled(
     Files are read per distinct header in one scan each. With ``on_problem="skip"`` files that are
     missing, malformed or lack a required column are left out; with ``"fail"`` they raise.
     """
+    present = [p for p in paths if file_exists(spark, p)]
+    if on_problem == "fail" and len(present) < len(paths):
+        raise FileNotFoundError(sorted(set(paths) - set(present)))
     groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for path in paths:
-        if not file_exists(spark, path):
-            if on_problem == "fail":
-                raise FileNotFoundError(path)
-            continue
-        header = tuple(_header(spark, path, ","))
+    # one short row per file, as in the listing Spark itself keeps of them
+    first_lines = headers(spark, present).collect() if present else []
+    if on_problem == "fail" and len(first_lines) < len(present):
+        raise ValueError("some files are empty")
+    for path, line in first_lines:
+        header = tuple(next(csv.reader([line.removeprefix("\ufeff")]), ()))
         lacking = sorted(set(required) - set(header))
         if lacking and on_problem == "fail":
             raise ValueError(f"{path} missing required columns: {lacking}")

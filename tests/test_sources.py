@@ -48,16 +48,16 @@ def test_unusable_prompt_files_are_skipped(spark, tmp_path):
 def test_labelled_files(spark, tmp_path):
     a = put(tmp_path, "run1/processed/responses_labeled_a.csv",
             f'{HEADER}\nt,1,q1,"x, y",g,TRUE\n,2,q2,NA,g,False\nt,3,q3,,g,1\n')
-    b = put(tmp_path, "run2/processed/b_labeled.csv", f"{HEADER},reasoning\nt,1,q,r,g,no,exact_match\n")
+    b = put(tmp_path, "run+2 %/processed/b_labeled.csv", f"{HEADER},reasoning\nt,1,q,r,g,no,exact_match\n")
     long = put(tmp_path, "run2/processed/long.csv", f"{HEADER}\nt,1,q,r,g,yes,extra\n")
     lacking = put(tmp_path, "run2/processed/lacking.csv", "prompt,id\nq,1\n")
     paths = [a, b, long, lacking, str(tmp_path / "none.csv")]
-    rows = tables.read_labeled(spark, paths).orderBy("run", "id").collect()
+    rows = tables.read_labeled(spark, paths).orderBy("source", "id").collect()
     assert [(r["run"], r["source"], r["template"], r["model_response"], r["hallucinated"]) for r in rows] == [
+        ("run+2 %", "b", "t", "r", "no"),
         ("run1", "responses_labeled_a.csv", "t", "x, y", "TRUE"),
         ("run1", "responses_labeled_a.csv", None, None, "False"),
         ("run1", "responses_labeled_a.csv", "t", None, "1"),
-        ("run2", "b", "t", "r", "no"),
     ]
     with pytest.raises(ValueError, match="missing required"):
         tables.read_labeled(spark, [lacking], on_problem="fail")
