@@ -4,6 +4,20 @@ Everything is a function from DataFrame to DataFrame (or Column to Column); noth
 caller asks for an action. See README.md for the tour.
 """
 
-from answerproof.config import Thresholds
+from answerproof.config import RULES_ONLY, Thresholds
+from answerproof.operators.decide import flag_pairs, label_pairs, preflight
+from answerproof.operators.resample import bootstrap_rate_ci
+from answerproof.plans.pipeline import audit_set, build_prompt_set, label_responses, report
 
-__all__ = ["Thresholds"]
+__all__ = [
+    "RULES_ONLY",
+    "Thresholds",
+    "audit_set",
+    "bootstrap_rate_ci",
+    "build_prompt_set",
+    "flag_pairs",
+    "label_pairs",
+    "label_responses",
+    "preflight",
+    "report",
+]

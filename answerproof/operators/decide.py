@@ -7,6 +7,7 @@ contradicting only on positive evidence; everything else is accepted.
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,13 @@ from pyspark.sql import functions as F
 from answerproof.config import Thresholds
 from answerproof.functions.text import strip, text_or_empty
 from answerproof.operators import scores
-from answerproof.operators.signals import add_signals, drop_working, numeric_diagnostics, w
+from answerproof.operators.signals import (
+    add_canonical,
+    add_signals,
+    drop_working,
+    numeric_diagnostics,
+    w,
+)
 
 EMBED_SCORE = "embed_score"
 NLI_ENTAIL_MIN = "nli_entail_min"
@@ -75,6 +82,33 @@ def _with_scores(df: DataFrame, th: Thresholds) -> DataFrame:
     )
 
 
+def preflight(
+    df: DataFrame,
+    th: Thresholds = Thresholds(),
+    response: str = "model_response",
+    gold: str = "correct_answer",
+) -> None:
+    """Count rows that need a score and lack it, and raise if there are any.
+
+    Tells before a long job starts what the strict policy would stumble over in the middle of it.
+    """
+    lenient = replace(th, strict_dependencies=False)
+    df = _with_scores(add_canonical(df, response, gold), lenient)
+    answered = w("resp") != ""
+    needs = {}
+    if th.enable_embeddings:
+        needs["embedding"] = answered & w("embed").isNull()
+    if th.enable_nli:
+        lacking = w("nli_entail_min").isNull() | w("nli_contradiction_max").isNull()
+        needs["entailment"] = answered & scores.nli_eligible(th) & lacking
+    if not needs:
+        return
+    counts = df.agg(*[F.count_if(c).alias(name) for name, c in needs.items()]).first()
+    missing = {name: n for name, n in counts.asDict().items() if n}
+    if missing:
+        raise RuntimeError(f"rows without a score they need: {missing}")
+
+
 def _decided(df: DataFrame, th: Thresholds, response: str, gold: str) -> DataFrame:
     df = _with_scores(add_signals(df, th, response, gold), th)
     contradiction = _first_reason(

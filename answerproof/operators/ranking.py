@@ -13,10 +13,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from answerproof.operators.small import settle_if_small
+from answerproof.operators.small import broadcast_rows, collect_if_small
 
 BLOCK_ROWS_LOG2 = 20  # about a million consecutive positions per block
-HASH_DIGITS = 3  # 4,096 blocks per group when ordering by a hash
+NUMBERING_DIGITS = 5  # about a million blocks when numbering by a hash
+CUT_DIGITS = 3  # 4,096 blocks per group at each step of the search for a cut
+SORTED_ROWS = 1_000_000  # a longer block is cut more finely before it is sorted
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -51,7 +53,7 @@ def number_rows(
     dense; at most 2^20 distinct ones share a block.
     """
     block = (
-        F.substring(order, 1, HASH_DIGITS)
+        F.substring(order, 1, NUMBERING_DIGITS)
         if hashed
         else F.shiftright(F.col(order).cast("bigint"), BLOCK_ROWS_LOG2)
     )
@@ -69,54 +71,73 @@ def number_rows(
     )
 
 
-def take_by_hash(
-    df: DataFrame, keys: Sequence[str], quotas: DataFrame, quota: str, order: str
-) -> DataFrame:
-    """The first ``quota`` rows of each group in hash order; ``quotas`` holds one row per group.
+def _cuts(df: DataFrame, keys: Sequence[str], quota: str, order: str, digits: int) -> DataFrame:
+    """Per group: the hash block its quota ends in, rows still wanted from it, rows in it.
 
-    Whole hash blocks below the cut are kept by a filter. Only the one block the quota ends in is
-    sorted, so nothing but a 4,096th of a group and the sample itself is shuffled. The cuts (one row
-    per group) are computed when this is called. Groups without a quota are dropped. Equal hashes are taken in arbitrary order, so hash a unique key.
+    ``df`` has the quota of its group on every row.
     """
-    blocked = df.withColumn("__block", F.substring(order, 1, HASH_DIGITS))
-    offsets = _block_offsets(blocked.select(*keys, "__block"), keys, "__block")
-    cut = (
-        join_on(offsets, quotas.select(*keys, quota), keys)
-        .filter(F.col("__offset") < F.col(quota))
+    blocked = df.select(*keys, F.substring(order, 1, digits).alias("__block"), quota)
+    counts = blocked.groupBy(*keys, "__block").agg(
+        F.count(F.lit(1)).alias("__n"), F.max(quota).alias(quota)
+    )
+    before = (
+        Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    placed = counts.withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    at_cut = F.struct("__block", (F.col(quota) - F.col("__offset")).alias("left"), "__n")
+    last = (
+        placed.filter(F.col("__offset") < F.col(quota))
         .groupBy(*keys)
-        .agg(
-            F.max("__block").alias("__cut"),
-            (F.max(quota) - F.max("__offset")).alias("__left"),
-        )
+        .agg(F.max_by(at_cut, "__block").alias("c"))
     )
-    rows = join_on(blocked, settle_if_small(cut), keys)
-    return _up_to_cut(rows, keys, order, F.col("__cut"), F.col("__left")).drop(
-        "__block", "__cut", "__left"
+    return last.select(
+        *keys,
+        F.col("c.__block").alias("__cut"),
+        F.col("c.left").alias("__left"),
+        F.col("c.__n").alias("__size"),
     )
 
 
-def take_first(df: DataFrame, n: int, order: str) -> DataFrame:
-    """The first n rows of the whole table in hash order, for any n; no task sorts the table."""
-    blocked = df.withColumn("__block", F.substring(order, 1, HASH_DIGITS))
-    offsets = _block_offsets(blocked.select("__block"), [], "__block")
-    below = offsets.filter(F.col("__offset") < n)
-    cut = below.agg(F.max("__block")).scalar()
-    left = below.agg(F.lit(n) - F.max("__offset")).scalar()
-    return _up_to_cut(blocked, [], order, cut, left).drop("__block")
-
-
-def _up_to_cut(
-    rows: DataFrame, keys: Sequence[str], order: str, cut: Column, left: Column
+def take_by_hash(
+    df: DataFrame, keys: Sequence[str], quotas: DataFrame, quota: str, order: str
 ) -> DataFrame:
-    whole = rows.filter(F.col("__block") < cut)
+    """The first ``quota`` rows of each group in hash order; ``quotas`` holds one row per group.
+
+    Whole hash blocks below the cut are kept by a filter, and only the block the quota ends in is
+    sorted: nothing but that block and the sample itself is shuffled. The cuts (one row per group)
+    are looked for when this is called, each time in blocks 4,096 times finer, until the blocks to
+    be sorted are short (only once with more than 20,000 groups). Groups without a quota are dropped.
+    Hash a unique key: equal hashes are taken in arbitrary order.
+    """
+    digits = CUT_DIGITS
+    wanted = join_on(df, quotas.select(*keys, quota), keys)
+    cut = _cuts(wanted, keys, quota, order, digits)
+    rows = collect_if_small(cut)
+    while rows is not None and digits < 30 and max((r["__size"] for r in rows), default=0) > SORTED_ROWS:
+        inside = join_on(df, broadcast_rows(cut, rows), keys)
+        inside = inside.filter(F.substring(order, 1, digits) == F.col("__cut"))
+        digits += CUT_DIGITS
+        cut = _cuts(inside, keys, "__left", order, digits)
+        rows = collect_if_small(cut)
+    if rows is not None:
+        cut = broadcast_rows(cut, rows)
+    blocked = join_on(df.withColumn("__block", F.substring(order, 1, digits)), cut, keys)
+    whole = blocked.filter(F.col("__block") < F.col("__cut"))
     within = Window.partitionBy(*keys, "__block").orderBy(order)
     partial = (
-        rows.filter(F.col("__block") == cut)
+        blocked.filter(F.col("__block") == F.col("__cut"))
         .withColumn("__rn", F.row_number().over(within))
-        .filter(F.col("__rn") <= left)
+        .filter(F.col("__rn") <= F.col("__left"))
         .drop("__rn")
     )
-    return whole.unionByName(partial)
+    return whole.unionByName(partial).drop("__block", "__cut", "__left", "__size")
+
+
+def take_first(df: DataFrame, n: int, order: str) -> DataFrame:
+    """The first n rows of the whole table in hash order, for any n; no task sorts the table."""
+    whole = df.withColumn("__all", F.lit(0))
+    quota = df.sparkSession.range(1).select(F.lit(0).alias("__all"), F.lit(n).alias("__quota"))
+    return take_by_hash(whole, ["__all"], F.broadcast(quota), "__quota", order).drop("__all")
 
 
 def top_k_per_group(

@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 # One row per stratum, category or file: beyond this many the planner picks the join instead.
 SMALL_ROWS = 20_000
 
 
+def collect_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> list[Row] | None:
+    """The rows of a summary table, or None if it has more than ``limit``."""
+    rows = df.limit(limit + 1).collect()
+    return rows if len(rows) <= limit else None
+
+
+def broadcast_rows(df: DataFrame, rows: list[Row]) -> DataFrame:
+    """Collected rows of ``df`` as a table that joins broadcast."""
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def settle_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     """Compute a summary table now and broadcast it if it has at most ``limit`` rows.
 
@@ -16,10 +27,8 @@ def settle_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     a known size the planner would shuffle the full data by group, hot groups included. A larger
     table is returned as it is, and joins to it are ordinary shuffled joins.
     """
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    rows = collect_if_small(df, limit)
+    return df if rows is None else broadcast_rows(df, rows)
 
 
 def is_empty(df: DataFrame) -> bool:

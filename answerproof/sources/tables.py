@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import csv
+import io
 from collections import defaultdict
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
@@ -24,6 +26,7 @@ from answerproof.operators.small import is_empty, settle_if_small
 
 DELIMITERS = ",\t;|"
 SAMPLE_CHARS = 4096
+SAMPLE_LINES = 400
 LABELED_REQUIRED = ("prompt", "model_response", "correct_answer", "hallucinated")
 LABELED_COLUMNS = (
     "template",
@@ -64,38 +67,35 @@ def file_path() -> Column:
     return F.url_decode(encoded)
 
 
-def file_exists(spark: SparkSession, path: str) -> bool:
+def sample_file(spark: SparkSession, path: str) -> str | None:
+    """The first 4,096 characters of a file; None if there is no such file.
+
+    Only its first lines are read, however large it is.
+    """
     try:
-        spark.read.text(path)
+        lines = spark.read.text(path).select(F.substring("value", 1, SAMPLE_CHARS))
     except AnalysisException:
-        return False
-    return True
+        return None
+    return "\n".join(r[0] for r in lines.limit(SAMPLE_LINES).collect())[:SAMPLE_CHARS]
+
 
+def sample_files(spark: SparkSession, paths: Sequence[str]) -> dict[str, str | None]:
+    """Samples of many files, a few at a time: one very small job each."""
+    with ThreadPoolExecutor(8) as pool:
+        return dict(zip(paths, pool.map(lambda p: sample_file(spark, p), paths)))
 
-def sniff_delimiter(spark: SparkSession, path: str) -> str:
-    """Delimiter guessed from the first 4,096 characters; a comma when in doubt."""
-    lines = spark.read.text(path).select(F.substring("value", 1, SAMPLE_CHARS)).limit(1000)
-    sample = "\n".join(r[0] for r in lines.collect())[:SAMPLE_CHARS]
+
+def sniff_delimiter(sample: str) -> str:
+    """Delimiter guessed from a sample; a comma when in doubt."""
     try:
         return csv.Sniffer().sniff(sample, delimiters=DELIMITERS).delimiter
     except csv.Error:
         return ","
 
 
-def _header(spark: SparkSession, path: str, sep: str) -> list[str]:
-    frame = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=True)
-    return frame.columns
-
-
-def headers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """First line of every file, in one job for any number of files."""
-    lines = spark.read.text(list(paths)).select(
-        file_path().alias("path"),
-        F.col("_metadata.file_block_start").alias("start"),
-        "value",
-        F.monotonically_increasing_id().alias("line"),
-    )
-    return lines.filter("start = 0").groupBy("path").agg(F.min_by("value", "line").alias("header"))
+def header_of(sample: str, sep: str = ",") -> list[str]:
+    """Column names in the first row of a sample."""
+    return next(csv.reader(io.StringIO(sample.removeprefix("\ufeff")), delimiter=sep), [])
 
 
 def read_cells(
@@ -135,36 +135,49 @@ def read_cells(
 
 def read_prompts(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
     """One prompt file, cells as text (no cell is taken for missing), bad lines skipped."""
-    sep = sep or sniff_delimiter(spark, path)
-    cells = read_cells(spark, [path], _header(spark, path, sep), sep)
+    sample = sample_file(spark, path)
+    if not sample:
+        raise FileNotFoundError(f"{path} is missing or empty")
+    sep = sep or sniff_delimiter(sample)
+    return _read_prompts(spark, [path], header_of(sample, sep), sep)
+
+
+def _read_prompts(
+    spark: SparkSession, paths: Sequence[str], header: Sequence[str], sep: str
+) -> DataFrame:
+    cells = read_cells(spark, paths, header, sep)
     return cells.filter(~F.col("__too_long")).drop("__too_long").withColumnRenamed(_PATH, "source")
 
 
 def load_prompt_sets(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Prompt files in any accepted header spelling as one normalised table, by ``source``.
 
-    Files that are missing, empty or lack a prompt or answer column are skipped.
+    Files that are missing, empty or lack a prompt or answer column are skipped. Files with the same
+    header and delimiter are read and normalised together.
     """
-    sets = []
-    for path in paths:
-        if not file_exists(spark, path) or is_empty(spark.read.text(path)):
+    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
+    for path, sample in sample_files(spark, paths).items():
+        if not sample:
             continue
-        raw = read_prompts(spark, path)
-        if find_header(raw.columns, "prompt") and find_header(raw.columns, "correct_answer"):
-            sets.append(normalize_prompts(raw))
+        sep = sniff_delimiter(sample)
+        header = header_of(sample, sep)
+        if find_header(header, "prompt") and find_header(header, "correct_answer"):
+            groups[(sep, *header)].append(path)
+    sets = [
+        normalize_prompts(_read_prompts(spark, members, header, sep))
+        for (sep, *header), members in groups.items()
+    ]
     return _union(spark, sets, ("source", *PROMPT_COLUMNS, POSITION))
 
 
 def validate_prompt_file(spark: SparkSession, path: str) -> DataFrame:
     """One row (ok, message) on a prompt file: there, not empty, and with a filled prompt column."""
-    problem = None
-    if not file_exists(spark, path):
-        problem = f"{path.rsplit('/', 1)[-1]} not found."
-    elif is_empty(spark.read.text(path)):
-        problem = f"{path.rsplit('/', 1)[-1]} is empty (0 bytes)."
-    if problem:
-        return spark.createDataFrame([(False, problem)], "ok boolean, message string")
-    return validate_prompts(read_prompts(spark, path))
+    sample = sample_file(spark, path)
+    name = path.rsplit("/", 1)[-1]
+    if sample:
+        return validate_prompts(read_prompts(spark, path))
+    problem = f"{name} not found." if sample is None else f"{name} is empty (0 bytes)."
+    return spark.createDataFrame([(False, problem)], "ok boolean, message string")
 
 
 def _union(spark: SparkSession, frames: list[DataFrame], columns: Sequence[str]) -> DataFrame:
@@ -194,21 +207,16 @@ def read_labeled(
     Files are read per distinct header in one scan each. With ``on_problem="skip"`` files that are
     missing, malformed or lack a required column are left out; with ``"fail"`` they raise.
     """
-    present = [p for p in paths if file_exists(spark, p)]
-    if on_problem == "fail" and len(present) < len(paths):
-        raise FileNotFoundError(sorted(set(paths) - set(present)))
     groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    # one short row per file, as in the listing Spark itself keeps of them
-    first_lines = headers(spark, present).collect() if present else []
-    if on_problem == "fail" and len(first_lines) < len(present):
-        raise ValueError("some files are empty")
-    for path, line in first_lines:
-        header = tuple(next(csv.reader([line.removeprefix("\ufeff")]), ()))
+    for path, sample in sample_files(spark, paths).items():
+        header = header_of(sample or "")
         lacking = sorted(set(required) - set(header))
-        if lacking and on_problem == "fail":
+        if on_problem == "fail" and not sample:
+            raise FileNotFoundError(f"{path} is missing or empty")
+        if on_problem == "fail" and lacking:
             raise ValueError(f"{path} missing required columns: {lacking}")
         if not lacking:
-            groups[header].append(path)
+            groups[tuple(header)].append(path)
     frames = []
     for header, members in groups.items():
         cells = read_cells(spark, members, header, multi_line=multi_line)

@@ -158,6 +158,13 @@ def test_strict_policy_fails_on_missing_scores(spark):
     assert decide.label_pairs(fine, Thresholds()).count() == 3
 
 
+def test_preflight_counts_missing_scores(spark):
+    with pytest.raises(RuntimeError, match="'embedding': 2, 'entailment': 1"):
+        decide.preflight(table(spark, LONG), Thresholds())
+    decide.preflight(with_scores(spark, 0.5, 0.5, 0.5), Thresholds())
+    decide.preflight(table(spark, LONG), RULES_ONLY)
+
+
 def test_lenient_policy_falls_back_to_overlap(spark):
     rows = decide.label_pairs(table(spark, LONG), Thresholds(strict_dependencies=False)).orderBy("i").collect()
     assert [r["baseline_embed_method"] for r in rows] == ["jaccard", "jaccard", "none"]

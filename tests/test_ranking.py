@@ -34,8 +34,11 @@ def test_number_rows_of_the_whole_table_by_hash(skewed):
     assert got == sorted(range(6000), key=lambda i: hashlib.md5(f"1|{i}".encode()).hexdigest())
 
 
+@pytest.mark.parametrize("sorted_rows", [1_000_000, 2])
 @pytest.mark.parametrize("quota", [0, 1, 37, 399, 4000, 9999])
-def test_take_by_hash_equals_a_window(skewed, quota):
+def test_take_by_hash_equals_a_window(skewed, monkeypatch, quota, sorted_rows):
+    monkeypatch.setattr(ranking, "SORTED_ROWS", sorted_rows)
+    monkeypatch.setattr(ranking, "CUT_DIGITS", 1 if sorted_rows == 2 else 3)
     keyed = skewed.withColumn("h", hash_key(2, "id"))
     quotas = skewed.select("k").distinct().withColumn("q", F.lit(quota))
     got = {r["id"] for r in ranking.take_by_hash(keyed, ["k"], quotas, "q", "h").collect()}

@@ -24,7 +24,7 @@ def put(folder, name, text):
 def test_delimiter_is_found(spark, tmp_path, sep):
     rows = [["id", "question", "gold"], ["1", "Who is it", "Ann"], ["2", "What is it", "tea"]]
     path = put(tmp_path, "prompts_a.csv", "\n".join(sep.join(r) for r in rows) + "\n")
-    assert tables.sniff_delimiter(spark, path) == sep
+    assert tables.sniff_delimiter(tables.sample_file(spark, path)) == sep
     got = tables.load_prompt_sets(spark, [path]).orderBy("id").collect()
     assert [(r["template"], r["id"], r["prompt"], r["correct_answer"]) for r in got] == [
         ("a", 1, "Who is it", "Ann"), ("a", 2, "What is it", "tea")
