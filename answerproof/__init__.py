@@ -7,7 +7,7 @@ caller asks for an action. See README.md for the tour.
 from answerproof.config import RULES_ONLY, Thresholds
 from answerproof.operators.decide import flag_pairs, label_pairs, preflight
 from answerproof.operators.resample import bootstrap_rate_ci
-from answerproof.plans.pipeline import audit_set, build_prompt_set, label_responses, report
+from answerproof.plans.jobs import audit_set, build_prompt_set, label_responses, report
 
 __all__ = [
     "RULES_ONLY",

@@ -27,7 +27,7 @@ from answerproof.operators import (
     signals,
 )
 from answerproof.operators.signals import w
-from answerproof.plans import fixtures, pipeline, views
+from answerproof.plans import fixtures, jobs, views
 from answerproof.session import ensure_checkpoint_dir, spread, written
 from answerproof.sources import tables
 from answerproof.streaming import labelling
@@ -51,7 +51,7 @@ def _signals(spark: SparkSession, d: str) -> DataFrame:
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
     """Batch labels of the qa view, with the columns reports group by."""
-    return pipeline.label_answers(views.qa(spark, d), keep=["model", "cluster_id"])
+    return jobs.label_answers(views.qa(spark, d), keep=["model", "cluster_id"])
 
 
 def _review(spark: SparkSession, d: str) -> DataFrame:
@@ -207,7 +207,7 @@ def label_responses(spark: SparkSession, d: str) -> DataFrame:
     prompts = qa.select("run", "id", "template", "prompt", "correct_answer")
     raw = F.expr(fixtures.RAW_GENERATION).alias("model_response_raw")
     generations = qa.select("run", "id", raw)
-    labelled = pipeline.label_responses(prompts, generations)
+    labelled = jobs.label_responses(prompts, generations)
     score = F.round("baseline_embed_score", 9)
     return labelled.withColumn("baseline_embed_score", score)
 
@@ -392,7 +392,7 @@ def labelled_files(spark: SparkSession, d: str) -> DataFrame:
     name = F.concat(F.lit("prompts_"), F.substring("template", 1, 1), F.lit(".csv"))
     rows = views.qa(spark, d).withColumns({"run": F.col("model"), "source": name})
     out = _folder(spark, "labels")
-    tables.write_labeled(pipeline.label_answers(rows, keep=["run", "source"]), out)
+    tables.write_labeled(jobs.label_answers(rows, keep=["run", "source"]), out)
     paths = [r.path for r in tables.discover(spark, out, "*.csv").collect()]
     back = tables.read_labeled(spark, paths)
     return schema.add_features(back).select(
@@ -517,7 +517,7 @@ def balanced_audit_sample(spark: SparkSession, d: str) -> DataFrame:
 def audit_set(spark: SparkSession, d: str) -> DataFrame:
     file = F.format_string("responses_labeled_%02d.csv", F.col("cluster_id") % 50)
     rows = written(_labelled(spark, d).withColumn("source_file", file))
-    return pipeline.audit_set(rows, 800, keys=["id"])
+    return jobs.audit_set(rows, 800, keys=["id"])
 
 
 @query

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from answerproof.config import RULES_ONLY, Thresholds
-from answerproof.plans.pipeline import label_answers
+from answerproof.plans.jobs import label_answers
 
 
 def read_answers(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from answerproof.config import RULES_ONLY, Thresholds
 from answerproof.operators import decide, scores
-from answerproof.plans import pipeline
+from answerproof.plans import jobs
 
 SCHEMA = "i int, model_response string, correct_answer string"
 
@@ -99,7 +99,7 @@ def test_batch_labels_count_blank_answers_as_abstentions(spark):
     df = table(spark, [("", "Paris"), ("  ", "Paris"), ("!!!", "Paris"), ("London", " Paris ")])
     df = df.select(F.col("i").alias("id"), F.lit("t").alias("template"), F.lit("q").alias("prompt"),
                    "model_response", "correct_answer")
-    rows = {r["id"]: r for r in pipeline.label_answers(df).collect()}
+    rows = {r["id"]: r for r in jobs.label_answers(df).collect()}
     assert [rows[i]["hallucinated"] for i in range(4)] == [False, False, True, True]
     assert [rows[i]["reasoning"] for i in range(4)] == ["empty_response"] * 3 + ["atomic_entity_mismatch"]
 
@@ -185,7 +185,7 @@ def test_job_shuffles_only_for_its_join(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = physical(pipeline.label_responses(rows, gens))
+        plan = physical(jobs.label_responses(rows, gens))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plan.count("Exchange hashpartitioning") == 2 and "Python" not in plan

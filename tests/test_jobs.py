@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from answerproof.plans import pipeline
+from answerproof.plans import jobs
 from answerproof.sources import tables
 
 
@@ -26,21 +26,21 @@ def ballots(spark, skip=()):
 
 
 def test_prompt_set(spark):
-    got = pipeline.build_prompt_set(generations(spark), ballots(spark), 3).orderBy("id").collect()
+    got = jobs.build_prompt_set(generations(spark), ballots(spark), 3).orderBy("id").collect()
     assert [tuple(r) for r in got] == [
         ("law", 1, "Which court?", "high"), ("law", 2, "Which judge?", "x"), ("law", 3, "Which year?", "1984"),
         ("music", 4, "Who sang it?", "ann"), ("music", 5, "Who wrote it?", "cy"), ("music", 6, "Which key?", "c minor"),
     ]
     for total in (4, 9):
-        ids = [r["id"] for r in pipeline.build_prompt_set(generations(spark), ballots(spark), 3, total).orderBy("id").collect()]
+        ids = [r["id"] for r in jobs.build_prompt_set(generations(spark), ballots(spark), 3, total).orderBy("id").collect()]
         assert ids == list(range(1, total + 1))
 
 
 def test_incomplete_prompt_sets_are_refused(spark):
     with pytest.raises(ValueError, match="music"):
-        pipeline.build_prompt_set(generations(spark).filter("attempt = 0"), ballots(spark), 3)
+        jobs.build_prompt_set(generations(spark).filter("attempt = 0"), ballots(spark), 3)
     with pytest.raises(ValueError, match="no answer"):
-        pipeline.build_prompt_set(generations(spark), ballots(spark, ["Which key?"]), 3)
+        jobs.build_prompt_set(generations(spark), ballots(spark, ["Which key?"]), 3)
 
 
 def test_label_job_cleans_joins_and_abstains(spark):
@@ -50,7 +50,7 @@ def test_label_job_cleans_joins_and_abstains(spark):
     raw = spark.createDataFrame(
         [("r", 1, "Let me see.\nAnswer: Capital? London."), ("r", 2, "1984 or 1985")],
         "run string, id int, model_response_raw string")
-    got = {r["id"]: r for r in pipeline.label_responses(prompts, raw).collect()}
+    got = {r["id"]: r for r in jobs.label_responses(prompts, raw).collect()}
     assert (got[1]["model_response"], got[1]["reasoning"]) == ("London", "atomic_entity_mismatch")
     assert got[2]["reasoning"] == "numeric_alternative_conflict" and got[2]["hallucinated"]
     assert (got[3]["model_response"], got[3]["hallucinated"], got[3]["reasoning"]) == ("", False, "empty_response")
@@ -65,7 +65,7 @@ def test_label_job_with_scores(spark):
                                    "run string, id int, embed_score double, nli_entail_min double, nli_contradiction_max double")
     from answerproof import Thresholds
 
-    row = pipeline.label_responses(prompts, raw, Thresholds(), scores=scores).first()
+    row = jobs.label_responses(prompts, raw, Thresholds(), scores=scores).first()
     assert row["reasoning"] == "nli_contradiction_veto" and row["baseline_embed_method"] == "embedding"
 
 
@@ -76,7 +76,7 @@ def test_audit_set(spark):
         F.lit("q").alias("prompt"), F.lit("a").alias("correct_answer"), F.lit("r").alias("model_response"),
         F.expr("if(id % 5 = 0, 'yes', 'no')").alias("hallucinated"),
     ).withColumnRenamed("(id % 100)", "id")
-    got = pipeline.audit_set(rows, 30)
+    got = jobs.audit_set(rows, 30)
     assert got.columns == ["run", "source_file", "template", "id", "prompt", "correct_answer", "model_response",
                            "detector_hallucinated", "human_hallucinated", "human_notes"]
     assert got.groupBy("detector_hallucinated").count().orderBy("detector_hallucinated").collect() == [(False, 15), (True, 15)]

@@ -11,7 +11,7 @@ import check_oracles  # noqa: E402
 from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
 
 from answerproof.config import RULES_ONLY  # noqa: E402
-from answerproof.plans import pipeline, views  # noqa: E402
+from answerproof.plans import jobs, views  # noqa: E402
 from answerproof.streaming import labelling  # noqa: E402
 
 
@@ -55,6 +55,6 @@ def test_stream_labels_like_the_batch(spark, sf_dir, tmp_path):
     )
     run.awaitTermination()
     streamed = spark.read.parquet(out)
-    batch = pipeline.label_answers(qa)
+    batch = jobs.label_answers(qa)
     assert streamed.count() == qa.count()
     assert streamed.exceptAll(batch).count() == 0

@@ -7,7 +7,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from answerproof.plans import pipeline
+from answerproof.plans import jobs
 from answerproof.sources import tables
 
 HEADER = "template,id,prompt,model_response,correct_answer,hallucinated"
@@ -79,7 +79,7 @@ def test_labelled_round_trip(spark, tmp_path):
         [("r1", "prompts_a.csv", "t", 1, 'say "hi",\nthen', " Paris", "Paris"), ("r1", "prompts_a.csv", "t", 2, "q", "", "x")],
         "run string, source string, template string, id int, prompt string, model_response string, correct_answer string",
     )
-    labelled = pipeline.label_answers(rows, keep=["run", "source"])
+    labelled = jobs.label_answers(rows, keep=["run", "source"])
     out = str(tmp_path / "labels")
     tables.write_labeled(labelled, out)
     folder = os.path.join(out, "run=r1", "source=responses_labeled_a.csv")
@@ -121,7 +121,7 @@ def test_report_and_metric_files(spark, tmp_path):
         F.expr("concat('capital number ', id % 3, ' of land')").alias("prompt"),
         F.lit("x").alias("model_response"), F.expr("if(id % 4 = 0, 'yes', 'no')").alias("hallucinated"),
     )
-    parts = pipeline.report(rows, replicates=200, top_keywords=2)
+    parts = jobs.report(rows, replicates=200, top_keywords=2)
     assert parts["template"].first()["hallucination_rate"] == 0.25
     assert {r["keyword"] for r in parts["keywords"].collect()} <= {"capital", "number", "land", "of"}
     out = str(tmp_path / "metrics")
