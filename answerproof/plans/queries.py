@@ -28,7 +28,7 @@ from answerproof.operators import (
 )
 from answerproof.operators.signals import w
 from answerproof.plans import fixtures, jobs, views
-from answerproof.session import ensure_checkpoint_dir, spread, written
+from answerproof.session import shared_folder, spread, written
 from answerproof.sources import tables
 from answerproof.streaming import labelling
 
@@ -376,7 +376,7 @@ def validate_prompts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query
@@ -712,7 +712,7 @@ def stream_running_rates(spark: SparkSession, d: str) -> DataFrame:
         .writeStream.outputMode("complete")
         .format("memory")
         .queryName(name)
-        .option("checkpointLocation", f"{ensure_checkpoint_dir(spark)}/{name}")
+        .option("checkpointLocation", f"{shared_folder(spark)}/{name}")
         .trigger(availableNow=True)
         .start()
     )

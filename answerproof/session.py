@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -38,13 +39,19 @@ def local_session(cores: int | str = "*", **extra: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared checkpoint folder; make one up only where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    folder = shared or tempfile.mkdtemp(prefix="answerproof-checkpoint-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="answerproof-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; one of our own only on a single machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return _own_folder()
 
 
 def spread(df: DataFrame, most: int = 64) -> DataFrame:
@@ -63,6 +70,6 @@ def written(df: DataFrame, name: str = "stage") -> DataFrame:
     For results that several passes read: later plans are short, scan only the columns they need, and
     survive lost executors without redoing the work.
     """
-    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return df.sparkSession.read.parquet(folder)
