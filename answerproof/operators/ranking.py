@@ -113,7 +113,7 @@ def take_by_hash(
     wanted = join_on(df, quotas.select(*keys, quota), keys)
     cut = _cuts(wanted, keys, quota, order, digits)
     rows = collect_if_small(cut)
-    while rows is not None and digits < 30 and max((r["__size"] for r in rows), default=0) > SORTED_ROWS:
+    while rows and digits < 30 and max(r["__size"] for r in rows) > SORTED_ROWS:
         inside = join_on(df, broadcast_rows(cut, rows), keys)
         inside = inside.filter(F.substring(order, 1, digits) == F.col("__cut"))
         digits += CUT_DIGITS

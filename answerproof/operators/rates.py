@@ -64,7 +64,9 @@ def coverage(
     )
 
 
-def correlation_matrix(df: DataFrame, features: Sequence[str] | None = None, label: str = LABEL) -> DataFrame:
+def correlation_matrix(
+    df: DataFrame, features: Sequence[str] | None = None, label: str = LABEL
+) -> DataFrame:
     """Pearson correlation of every feature pair, label included, as (x, y, r) rows.
 
     One aggregation over the table; NULL where a column is constant. Default features: both lengths

@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from answerproof.functions.flags import flag_of, hash_key, hash_uniform
@@ -178,8 +178,9 @@ def cluster_replicates(
 
     Drawing C clusters with replacement is one multinomial draw over the distinct contributions, so
     a replicate costs as much as there are profiles, not clusters or rows. Profiles are the distinct
-    pairs (false positives, negatives) a prompt can contribute, a few dozen in practice. Each replicate has its own
-    generator, seeded by (seed, category, replicate): retries and other partitionings repeat it.
+    pairs (false positives, negatives) a prompt can contribute, a few dozen in practice. Each
+    replicate has its own generator, seeded by (seed, category, replicate): retries and other
+    partitionings repeat it.
     """
     ordered = F.array_sort(F.collect_list(F.struct("fp", "neg", "clusters")))
     per_category = profiles.groupBy(category).agg(ordered.alias("profiles"))

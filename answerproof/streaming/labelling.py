@@ -25,7 +25,9 @@ def read_answers(
     )
 
 
-def label_stream(answers: DataFrame, th: Thresholds = RULES_ONLY, keep: tuple[str, ...] = ()) -> DataFrame:
+def label_stream(
+    answers: DataFrame, th: Thresholds = RULES_ONLY, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Labelled responses; append mode, no state."""
     return label_answers(answers, th, keep)
 
