@@ -6,12 +6,13 @@ names the slot. Two texts agree in a slot with the probability Jaccard similarit
 whose complement is a metric. A process is abandoned as soon as its next arrival is later than the
 latest slot, hence the cost is about one arrival per shingle plus a few per slot.
 
-Equal texts are joined first and go on as one. Members of a band are compared with a few hubs of the
-band, never with each other: linked texts need no further comparison among themselves. What remains
-are bands whose members fall into several components. There, pairs from different components are
-compared exactly, unless their known distances to a hub differ by more than the threshold allows
-(triangle inequality). Links are verified on whole texts; components are found by star contraction
-over tables. Nothing is collected.
+Equal texts are joined first and go on as one. Members of a band are compared with two hubs of the
+band, never with each other: linked texts need no further comparison among themselves. The first hub
+is the member that shares most bands with others, usually the original of a family of copies. What
+remains are bands whose members fall into several components. There, pairs from different components
+are compared exactly, unless a bound rules them out: a shingle that no other text of such bands has
+cannot be shared, and enough of these keep two texts apart. Links are verified on whole texts;
+components are found by star contraction over tables. Nothing is collected.
 """
 
 from __future__ import annotations
@@ -211,15 +212,14 @@ def classes(docs: DataFrame, threshold: float = SIMILAR, bands: int = BANDS, row
     docs = docs.select("doc_id", "text")
     reps = written(_banded(docs, bands, rows), "signatures")
     member = reps.select("tid", F.explode("bands").alias("band"))
-    spread = F.struct(F.xxhash64("tid", F.lit("hub")), "tid")
-    hubs = (
-        member.groupBy("band")
-        .agg(F.count("*").alias("n"), F.min("tid").alias("lo"), F.max("tid").alias("hi"), F.min(spread)["tid"].alias("any"))
-        .filter("n > 1")
-        .select("band", F.array_distinct(F.array("lo", "hi", "any")).alias("hubs"))
-    )
-    crowded = written(member.join(hubs, "band"), "bands")  # members of bands that hold two or more
-    pairs = crowded.select("tid", F.explode("hubs").alias("hub")).filter("tid != hub")
+    sizes = member.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    crowded = written(member.join(sizes, "band"), "bands")  # members of bands that hold two or more
+    known_by = crowded.groupBy("tid").agg(F.sum("n").alias("fame"))
+    famed = crowded.select("band", "tid").join(known_by, "tid")
+    hubs = famed.groupBy("band").agg(F.max(F.struct("fame", "tid"))["tid"].alias("top"), F.min("tid").alias("low"))
+    hubs = hubs.select("band", F.array_distinct(F.array("top", "low")).alias("hubs"))
+    met = crowded.select("band", "tid").join(hubs, "band")
+    pairs = met.select("tid", F.explode("hubs").alias("hub")).filter("tid != hub")
     pairs = written(pairs.distinct(), "pairs")
     alone = pairs.select(F.col("tid").alias("t")).unionByName(pairs.select(F.col("hub").alias("t"))).distinct()
     needed = reps.join(alone, F.col("tid") == F.col("t"), "left_semi").select("doc_id", "tid")
@@ -227,7 +227,7 @@ def classes(docs: DataFrame, threshold: float = SIMILAR, bands: int = BANDS, row
     known = written(_verified(pairs, profiles), "similarities")
     links = known.filter(F.col("similar") >= threshold).select(F.col("hub").alias("u"), F.col("tid").alias("v"))
     parts = components(links)
-    rest = written(_remaining(crowded, parts, known, threshold), "pairs")
+    rest = written(_remaining(crowded, parts, profiles, known, threshold), "pairs")
     if not rest.isEmpty():
         more = _verified(rest, profiles).filter(F.col("similar") >= threshold)
         links = links.unionByName(more.select(F.col("hub").alias("u"), F.col("tid").alias("v")))
@@ -248,23 +248,52 @@ def classes(docs: DataFrame, threshold: float = SIMILAR, bands: int = BANDS, row
     return found
 
 
-def _remaining(crowded: DataFrame, parts: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (hub, tid) of a band that lie in different components and could still be similar."""
-    labelled = crowded.join(parts, F.col("tid") == F.col("node"), "left").select(
-        "band", "tid", F.element_at("hubs", 1).alias("pivot"), F.coalesce("label", "tid").alias("label")
-    )
+def _remaining(
+    crowded: DataFrame, parts: DataFrame, profiles: DataFrame, known: DataFrame, threshold: float
+) -> DataFrame:
+    """Pairs (hub, tid) of a band that lie in different components and could still be similar.
+
+    With d distinct shingles of total weight n, k of them (weight c) not unique here, at most
+    m = min(k, k') are shared. A side's shared mass is then at most p = min(c, n - d + m) / n, and the
+    similarity at most p q / (q + (1 - q) p) and p q / (p + (1 - p) q). Where this bound does not
+    settle it, m is counted and the bound taken again, all inside the join: what comes out are links,
+    but for weights that differ. A pair counts in the lowest band it shares.
+    """
+    labelled = crowded.select("band", "tid").join(parts, F.col("tid") == F.col("node"), "left")
+    labelled = labelled.select("band", "tid", F.coalesce("label", "tid").alias("label"))
     mixed = labelled.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b"))
     mixed = mixed.filter("a != b").select("band")
-    inside = labelled.join(mixed, "band")
-    far = known.select("hub", F.col("tid").alias("other"), (1 - F.col("similar")).alias("far"))
-    inside = inside.join(
-        far, (F.col("pivot") == F.col("hub")) & (F.col("tid") == F.col("other")), "left"
-    ).select("band", "tid", "label", F.when(F.col("tid") == F.col("pivot"), 0.0).otherwise(F.col("far")).alias("far"))
-    one = inside.select("band", F.col("tid").alias("hub"), F.col("label").alias("l"), F.col("far").alias("f"))
-    near = F.coalesce(F.abs(F.col("far") - F.col("f")) <= 1 - threshold + 1e-9, F.lit(True))
-    pairs = one.join(inside, "band").filter((F.col("hub") < F.col("tid")) & (F.col("l") != F.col("label")) & near)
+    inside = written(labelled.join(mixed, "band"), "mixed")
+    held = profiles.join(inside.select("tid").distinct(), "tid")
+    each = held.select("tid", F.explode(F.arrays_zip("p.h", "p.w")).alias("s")).select("tid", "s.h", "s.w")
+    unique = each.groupBy("h").agg(F.count("*").alias("n"), F.min("tid").alias("tid"), F.min("w").alias("w"))
+    unique = unique.filter("n = 1").groupBy("tid").agg(F.count("*").alias("ud"), F.sum("w").alias("uw"))
+    total = F.aggregate("p.w", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    mass = held.select("tid", F.col("p.h").alias("h"), F.size("p.h").alias("d"), total.alias("n"))
+    mass = mass.join(unique, "tid", "left").join(
+        inside.groupBy("tid").agg(F.collect_set("band").alias("bands")), "tid"  # at most one for each band
+    )
+    mass = mass.withColumn("k", F.col("d") - F.coalesce("ud", F.lit(0)))
+    mass = mass.withColumn("c", F.col("n") - F.coalesce("uw", F.lit(0))).drop("ud", "uw")
+    inside = inside.join(mass, "tid")
+    one = inside.select(*[F.col(c) if c == "band" else F.col(c).alias(f"{c}_") for c in inside.columns])
+
+    def possible(shared):
+        p = F.least(F.col("c"), F.col("n") - F.col("d") + shared) / F.col("n")
+        q = F.least(F.col("c_"), F.col("n_") - F.col("d_") + shared) / F.col("n_")
+        least = threshold - 1e-9
+        return (p * q >= least * (q + (1 - q) * p)) & (p * q >= least * (p + (1 - p) * q))
+
+    lowest = F.array_min(F.array_intersect("bands", "bands_")) == F.col("band")
+    pairs = one.join(inside, "band").filter(
+        (F.col("tid_") < F.col("tid"))
+        & (F.col("label_") != F.col("label"))
+        & possible(F.least("k", "k_"))
+        & lowest
+        & possible(F.size(F.array_intersect("h", "h_")))
+    )
+    pairs = pairs.select(F.col("tid_").alias("hub"), "tid").distinct()
     done = known.select(F.least("hub", "tid").alias("x"), F.greatest("hub", "tid").alias("y"))
-    pairs = pairs.select("hub", "tid").distinct()
     return pairs.join(done, (F.col("hub") == F.col("x")) & (F.col("tid") == F.col("y")), "left_anti")
 
 
