@@ -1,7 +1,7 @@
 """Audit stored model responses against reference answers, as PySpark jobs.
 
-Everything is a function from DataFrame to DataFrame (or Column to Column); nothing runs until the
-caller asks for an action. See README.md for the tour.
+Everything is a function from DataFrame to DataFrame (or Column to Column). Most run nothing until the
+caller asks for an action; those that settle counts or check keys first say so. See README.md.
 """
 
 from answerproof.config import RULES_ONLY, Thresholds

@@ -59,7 +59,7 @@ KEYWORD_STOPWORDS = (
 
 @dataclass(frozen=True)
 class Thresholds:
-    """Per-run settings. They become literals when a plan is built."""
+    """Per-run settings. They become literals when a plan is built. Names and defaults are fixed values."""
 
     # What to do when an enabled score is missing: fail the job, or go on without it.
     strict_dependencies: bool = True

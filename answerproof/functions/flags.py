@@ -28,8 +28,17 @@ def share(flag: Column | str) -> Column:
 
 
 def hash_key(seed: int, *parts: Column | str) -> Column:
-    """Sampling order: the same rows in the same order on any cluster and in any SQL engine."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[as_col(p).cast("string") for p in parts]))
+    """Sampling order: the same rows in the same order on any cluster and in any SQL engine.
+
+    Different keys stay different: separators within a part are escaped, a missing part is marked.
+    """
+
+    def part(c: Column | str) -> Column:
+        text = as_col(c).cast("string")
+        text = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+        return F.coalesce(text, F.lit("\\N"))
+
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[part(p) for p in parts]))
 
 
 def hash_uniform(seed: int, *parts: Column | str) -> Column:

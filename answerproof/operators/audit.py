@@ -31,10 +31,15 @@ def audit_rows(df: DataFrame, source_file: str = "source_file", label: str = LAB
     return df.select(*run, source_file, *kept, flag_of(df, label).alias("detector_hallucinated"))
 
 
+def file_columns(df: DataFrame, file: str = "source_file") -> list[str]:
+    """What names a file: its name, and its run where there are runs."""
+    return (["run"] if "run" in df.columns else []) + [file]
+
+
 def strata_counts(df: DataFrame, *by: str, flag: str = "detector_hallucinated") -> DataFrame:
-    return df.groupBy(*by).agg(
-        F.count_if(flag).alias("positives"), F.count_if(~F.col(flag)).alias("negatives")
-    )
+    """Rows the detector flags and rows it does not; a missing flag is none."""
+    told = flag_of(df, flag)
+    return df.groupBy(*by).agg(F.count_if(told).alias("positives"), F.count_if(~told).alias("negatives"))
 
 
 def pool_goals(n_total: int) -> tuple[int, int]:
@@ -47,13 +52,15 @@ def pool_goals(n_total: int) -> tuple[int, int]:
 def file_pool(
     df: DataFrame, n_total: int, file: str = "source_file", flag: str = "detector_hallucinated"
 ) -> DataFrame:
-    """Files, in name order, up to and including the one with which both strata reach their goal.
+    """Files, in order of run and name, up to and including the one with which both strata reach
+    their goal. Files of the same name in different runs are different files.
 
     Running totals are taken over one row per file.
     """
     pos_goal, neg_goal = pool_goals(n_total)
-    before = Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)
-    counted = strata_counts(df, file, flag=flag).withColumns(
+    files = file_columns(df, file)
+    before = Window.orderBy(*files).rowsBetween(Window.unboundedPreceding, -1)
+    counted = strata_counts(df, *files, flag=flag).withColumns(
         {
             "positives_before": F.coalesce(F.sum("positives").over(before), F.lit(0)),
             "negatives_before": F.coalesce(F.sum("negatives").over(before), F.lit(0)),
@@ -67,15 +74,17 @@ def file_pool(
 def pool_rows(
     df: DataFrame, n_total: int, file: str = "source_file", flag: str = "detector_hallucinated"
 ) -> DataFrame:
-    files = settle_if_small(file_pool(df, n_total, file, flag).select(file))
-    return join_on(df, files, [file], "left_semi")
+    names = file_columns(df, file)
+    files = settle_if_small(file_pool(df, n_total, file, flag).select(*names))
+    return join_on(df, files, names, "left_semi")
 
 
 def balanced_quotas(df: DataFrame, n_total: int, flag: str = "detector_hallucinated") -> DataFrame:
     """Two rows (flag, quota): half each; what one stratum lacks goes once to the one with more left."""
     pos_target = n_total // 2
+    told = flag_of(df, flag)
     counts = df.agg(
-        F.count_if(flag).alias("pos"), F.count_if(~F.col(flag)).alias("neg")
+        F.count_if(told).alias("pos"), F.count_if(~told).alias("neg")
     ).withColumns(
         {
             "n_pos": F.least("pos", F.lit(pos_target)),
@@ -104,6 +113,7 @@ def balanced_sample(
 
     ``keys`` identify a row; the hash of seed and keys decides who is drawn and in which order.
     """
+    df = df.withColumn(flag, flag_of(df, flag))
     keyed = df.withColumn("__h", hash_key(seed, *keys))
     quotas = settle_if_small(balanced_quotas(df, n_total, flag))
     drawn = take_by_hash(keyed, [flag], quotas, "quota", "__h")
@@ -153,7 +163,7 @@ def attach_weights(
     """Analysis weight of audited rows: 1 for positives, the inverse inclusion probability else."""
     joined = join_on(rows, plan.select(category, "p_negative"), [category], "left")
     inverse = F.when(F.col("p_negative") > 0, 1 / F.col("p_negative"))
-    return joined.withColumn("weight", F.when(F.col(flag), 1.0).otherwise(inverse)).drop(
+    return joined.withColumn("weight", F.when(flag_of(rows, flag), 1.0).otherwise(inverse)).drop(
         "p_negative"
     )
 
@@ -163,6 +173,7 @@ def audit_sample(
     category: str = "category", flag: str = "detector_hallucinated",
 ) -> DataFrame:
     """All positives and a simple random sample of negatives per category, with weights."""
+    frame = frame.withColumn(flag, flag_of(frame, flag))
     plan = settle_if_small(sampling_plan(frame, per_category, category, flag))
     negatives = frame.filter(~F.col(flag)).withColumn("__h", hash_key(seed, *keys))
     drawn = take_by_hash(negatives, [category], plan, "audited_negatives", "__h").drop("__h")
@@ -229,7 +240,7 @@ def confusion(
     flag: str = "detector_hallucinated", weight: str | None = None,
 ) -> DataFrame:
     """Detector against reviewers per group and in total; weighted sums if ``weight`` is named."""
-    d, c = F.col(flag), is_contradiction(label)
+    d, c = flag_of(df, flag), is_contradiction(label)
 
     def cell(condition: Column) -> Column:
         if weight is None:
@@ -336,15 +347,26 @@ def audit_structure(
     df: DataFrame, by: str = "category", prompt: str = "prompt", response: str = "model_response",
     flag: str = "detector_hallucinated",
 ) -> DataFrame:
-    """Rows, distinct prompts, distinct prompt-response pairs and positives, with a total."""
+    """Rows, distinct prompts, distinct prompt-response pairs and positives, with a total.
+
+    Texts are compared by 128-bit digests, so no text is shuffled. A missing prompt is none.
+    """
+    told = flag_of(df, flag)
+    digest = {
+        "__prompt": F.md5(F.col(prompt).cast("binary")),
+        "__pair": F.concat(
+            *[F.coalesce(F.md5(F.col(c).cast("binary")), F.lit("-")) for c in (prompt, response)]
+        ),
+    }
     return (
-        df.rollup(by)
+        df.withColumns(digest)
+        .rollup(by)
         .agg(
             _rollup_name(by).alias("group"),
             F.count(F.lit(1)).alias("n"),
-            F.count_distinct(prompt).alias("prompts"),
-            F.count_distinct(F.struct(prompt, response)).alias("pairs"),
-            F.count_if(flag).alias("positives"),
+            F.count_distinct("__prompt").alias("prompts"),
+            F.count_distinct("__pair").alias("pairs"),
+            F.count_if(told).alias("positives"),
         )
         .drop(by)
     )
@@ -354,8 +376,9 @@ def error_labels(
     df: DataFrame, label: str = "final_label", flag: str = "detector_hallucinated"
 ) -> DataFrame:
     """False positives and false negatives by final reviewer label."""
-    wrong = F.col(flag) != is_contradiction(label)
-    kind = F.when(F.col(flag), "false_positive").otherwise("false_negative")
+    told = flag_of(df, flag)
+    wrong = told != is_contradiction(label)
+    kind = F.when(told, "false_positive").otherwise("false_negative")
     return (
         df.filter(wrong)
         .groupBy(kind.alias("error"), F.col(label).alias("label"))

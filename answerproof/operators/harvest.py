@@ -143,9 +143,13 @@ def majority_vote(
 def incomplete_seeds(
     df: DataFrame, count: int, seed: str = "seed", question: str = "question"
 ) -> DataFrame:
-    """Seeds that did not yield exactly ``count`` distinct questions."""
-    distinct = df.groupBy(seed).agg(F.count_distinct(question).alias("found"))
-    return distinct.filter(F.col("found") != count).withColumn("expected", F.lit(count))
+    """Seeds with fewer than ``count`` distinct questions; blank ones do not count, nor outer blanks.
+
+    More are no fault: a harvest stops at ``count``.
+    """
+    asked = strip(text_or_empty(question))
+    distinct = df.groupBy(seed).agg(F.count_distinct(F.when(asked != "", asked)).alias("found"))
+    return distinct.filter(F.col("found") < count).withColumn("expected", F.lit(count))
 
 
 def blank_answers(df: DataFrame, answer: str = "correct_answer") -> DataFrame:

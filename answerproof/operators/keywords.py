@@ -58,40 +58,42 @@ def tfidf_keywords(
     top_n: int = 10,
     prompt: str = "prompt",
     label: str = LABEL,
-    key: str = "id",
     stop_words: Sequence[str] = KEYWORD_STOPWORDS,
 ) -> DataFrame:
     """The top words by mean TF-IDF weight over positive prompts (``keyword, weight``).
 
     The vocabulary is capped at 5 × top_n words by total count, and rows are L2-normalised. It is
-    settled when this is called, so that it is counted once and broadcast; the weights of positive
-    prompts are the only rows grouped per prompt. ``key`` must be unique.
+    fetched when this is called (5 × top_n words at most) and becomes a literal, so that each prompt is
+    weighed by itself: rows need no key, and only sums by word are shuffled.
     """
-    vocab = settle_if_small(vocabulary(df, 5 * top_n, prompt, stop_words).select("term", "idf"))
-    positives = df.filter(flag_of(df, label))
-    cells = (
-        positives.select(F.col(key).alias("__key"), F.explode(words(prompt)).alias("term"))
-        .join(vocab, "term")
-        .groupBy("__key", "term")
-        .agg((F.count(F.lit(1)) * F.max("idf")).alias("w"))
+    vocab = [(r["term"], r["idf"]) for r in vocabulary(df, 5 * top_n, prompt, stop_words).collect()]
+    schema = "keyword string, weight double"
+    if not vocab:
+        return df.sparkSession.createDataFrame([], schema)
+    terms = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(i).alias("idf")) for t, i in vocab])
+    known = F.array(*[F.lit(t) for t, _ in vocab])
+    positives = df.filter(flag_of(df, label)).select(
+        F.filter(words(prompt), lambda t: F.array_contains(known, t)).alias("toks")
     )
-    # at most 5 × top_n cells per prompt, so a prompt's cells fit in one small array
-    rows = cells.groupBy("__key").agg(
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
-        F.collect_list(F.struct("term", "w")).alias("cells"),
+    cells = F.transform(
+        terms,
+        lambda v: F.struct(
+            v["term"].alias("keyword"),
+            (F.size(F.filter("toks", lambda t: t == v["term"])) * v["idf"]).alias("w"),
+        ),
     )
-    scaled = rows.select("norm", F.inline("cells")).select(
-        F.col("term").alias("keyword"), (F.col("w") / F.col("norm")).alias("w")
+    weighed = positives.select(cells.alias("cells")).withColumn(
+        "norm", F.sqrt(F.aggregate("cells", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
     )
-    n = positives.agg(F.nullif(F.count(F.lit(1)), F.lit(0))).scalar()
-    # a word of the vocabulary that no positive prompt has still takes part, with weight 0
+    # a word that no positive prompt has takes part with weight 0; a prompt without words counts
     weights = (
-        scaled.groupBy("keyword")
-        .agg(F.sum("w").alias("w"))
-        .unionByName(vocab.select(F.col("term").alias("keyword"), F.lit(0.0).alias("w")))
+        weighed.select("norm", F.inline("cells"))
         .groupBy("keyword")
-        .agg((F.sum("w") / n).alias("weight"))
-        .filter(F.col("weight").isNotNull())
+        .agg(
+            F.sum(F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(0.0)).alias("w"),
+            F.count(F.lit(1)).alias("n"),
+        )
+        .select("keyword", (F.col("w") / F.col("n")).alias("weight"))
     )
     # rounded, so that the order in which weights were added up does not decide ties
     return weights.orderBy(F.desc(F.round("weight", 12)), F.asc("keyword")).limit(top_n)
@@ -114,14 +116,13 @@ def rate_by_keyword(
     top_n: int = 10,
     prompt: str = "prompt",
     label: str = LABEL,
-    key: str = "id",
     stop_words: Sequence[str] = KEYWORD_STOPWORDS,
 ) -> DataFrame:
     """Rate among the prompts that contain each top keyword; empty if nothing is positive.
 
     The keywords, top_n rows, are settled when this is called.
     """
-    top = settle_if_small(tfidf_keywords(df, top_n, prompt, label, key, stop_words))
+    top = settle_if_small(tfidf_keywords(df, top_n, prompt, label, stop_words))
     hits = keyword_matches(df, top, prompt, [label])
     rates = hits.groupBy("keyword").agg(
         share(flag_of(df, label)).alias("hallucination_rate"), F.count(F.lit(1)).alias("n")

@@ -52,10 +52,11 @@ def number_rows(
     ``order`` is a bigint position, or with ``hashed`` a hexadecimal hash. Positions need not be
     dense; at most 2^20 distinct ones share a block.
     """
+    # rows without a position come first, in a block of their own
     block = (
-        F.substring(order, 1, NUMBERING_DIGITS)
+        F.coalesce(F.substring(order, 1, NUMBERING_DIGITS), F.lit(""))
         if hashed
-        else F.shiftright(F.col(order).cast("bigint"), BLOCK_ROWS_LOG2)
+        else F.coalesce(F.shiftright(F.col(order).cast("bigint"), BLOCK_ROWS_LOG2), F.lit(-(2**62)))
     )
     # as one struct the keys match when missing, and window and join share a single shuffle
     place = ["__group", "__block"] if keys else ["__block"]

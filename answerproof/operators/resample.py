@@ -45,9 +45,11 @@ def bootstrap_rate_ci(
     Resampling n yes/no labels with replacement draws a Binomial(n, k/n) count. Each replicate has
     one hashed uniform number, and the count is its inverse distribution function. That function is
     monotone, so sorting the uniforms and inverting only the two that bound the interval gives
-    exactly the interval of all sorted replicates. The distribution function is tabulated around its
+    exactly the interval of all sorted replicates. Without replicates there is no interval. The distribution function is tabulated around its
     mean: about sqrt(n) rows per group, whatever n is. The counts are settled when this is called.
     """
+    if replicates < 0:
+        raise ValueError("a number of replicates below 0")
     flag = flag_of(df, label)
     # one row per group, used three times below
     groups = settle_if_small(
@@ -55,6 +57,13 @@ def bootstrap_rate_ci(
             F.count_if(flag).alias("hallucinations"), F.count(F.lit(1)).alias("n")
         )
     )
+    if replicates == 0:
+        plain = F.col("hallucinations").cast("double") / F.col("n")
+        none = F.lit(None).cast("double")
+        return groups.select(
+            *by, plain.alias("hallucination_rate"), "hallucinations", "n", none.alias("ci_low"),
+            none.alias("ci_high"), F.lit(0).alias("bootstrap_samples"), F.lit(seed).alias("bootstrap_seed"),
+        )
     low, high = interval_ranks(replicates)
     draws = groups.select(*by, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("__r"))
     ranked = draws.withColumn("__u", hash_uniform(seed, *by, "__r")).withColumn(
@@ -107,13 +116,21 @@ def bootstrap_rate_ci(
 
 
 def metric_records(metrics: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Bootstrap rows in the shape of the metric files, the interval as an array."""
+    """Bootstrap rows in the shape of the metric files, the interval as an array.
+
+    Rows without replicates are records of the rate alone: JSON leaves out what is NULL.
+    """
+    drawn = F.col("bootstrap_samples") > 0
+    plain = ("hallucinations", "n", "bootstrap_samples", "bootstrap_seed")
+    metrics = metrics.withColumns({c: F.when(drawn, F.col(c)) for c in plain[:2] + plain[3:]}).withColumn(
+        "bootstrap_samples", F.when(F.col("bootstrap_samples") > 0, F.col("bootstrap_samples"))
+    )
     return metrics.select(
         *by,
         "hallucination_rate",
         "hallucinations",
         "n",
-        F.array("ci_low", "ci_high").alias("hallucination_rate_ci95"),
+        F.when(F.col("ci_low").isNotNull(), F.array("ci_low", "ci_high")).alias("hallucination_rate_ci95"),
         "bootstrap_samples",
         "bootstrap_seed",
     )

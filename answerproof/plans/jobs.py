@@ -18,7 +18,14 @@ from answerproof.operators.decide import (
     label_pairs,
 )
 from answerproof.operators.ranking import number_rows
-from answerproof.operators.schema import POSITION, add_features, attach_generations, clean_response
+from answerproof.operators.schema import (
+    POSITION,
+    add_features,
+    attach_generations,
+    clean_response,
+    file_keys,
+    one_to_one_violations,
+)
 from answerproof.operators.small import is_empty
 from answerproof.session import written
 from answerproof.sources.tables import LABELED_COLUMNS
@@ -45,15 +52,19 @@ def label_answers(
 def label_responses(
     prompts: DataFrame,
     generations: DataFrame,
-    th: Thresholds = RULES_ONLY,
+    th: Thresholds | None = None,
     run: str = "run",
     scores: DataFrame | None = None,
 ) -> DataFrame:
     """Prompts × raw generations → labelled responses: join, clean, decide, apply abstention.
 
-    ``scores`` may hold ``embed_score``, ``nli_entail_min`` and ``nli_contradiction_max`` per
-    (run, id). One shuffle for the join; the rest is row-local.
+    Rows belong to files: the keys are (run, source, id) where both tables have a source, and the
+    labels keep it, so that they can be written by file. ``scores`` may hold ``embed_score``,
+    ``nli_entail_min`` and ``nli_contradiction_max`` per key; scores that are given are used, unless
+    ``th`` turns them off. Repeated keys of scores are refused. The joins shuffle, the rest is
+    row-local.
     """
+    file = file_keys(prompts, generations, run=run)
     joined = attach_generations(prompts, generations, run)
     if scores is not None:
         names = [
@@ -61,15 +72,21 @@ def label_responses(
             for c in (EMBED_SCORE, NLI_ENTAIL_MIN, NLI_CONTRADICTION_MAX)
             if c in scores.columns
         ]
-        joined = joined.join(scores.select(run, "id", *names), [run, "id"], "left")
+        keys = [*file_keys(prompts, generations, scores, run=run), "id"]
+        if not is_empty(one_to_one_violations(scores.select(*keys), keys)):
+            raise ValueError(f"scores repeat {keys}")
+        joined = joined.join(scores.select(*keys, *names), keys, "left")
+        th = th or Thresholds(
+            enable_embeddings=EMBED_SCORE in names,
+            enable_nli=NLI_ENTAIL_MIN in names and NLI_CONTRADICTION_MAX in names,
+        )
     cleaned = joined.withColumn("model_response", clean_response("model_response_raw", "prompt"))
-    return label_answers(cleaned, th, keep=[run])
+    return label_answers(cleaned, th or RULES_ONLY, keep=file)
 
 
 def report(
     labelled: DataFrame,
     source: str = "source",
-    key: str = "id",
     top_keywords: int = 10,
     replicates: int = 1000,
     seed: int = 0,
@@ -84,7 +101,7 @@ def report(
     return {
         "processed": rows.select("prompt", "model_response", "is_correct", "hallucinated"),
         "template": rates.rate_by_template(rows),
-        "keywords": keywords.rate_by_keyword(rows, top_keywords, key=key, stop_words=stop_words),
+        "keywords": keywords.rate_by_keyword(rows, top_keywords, stop_words=stop_words),
         "correlation": rates.correlation_matrix(rows),
         "metrics": resample.metric_records(metrics, [source]),
     }
@@ -94,11 +111,19 @@ def audit_set(
     labelled: DataFrame,
     n_total: int = 300,
     seed: int = 1337,
-    keys: Sequence[str] = ("source_file", "id"),
+    keys: Sequence[str] | None = None,
 ) -> DataFrame:
-    """A balanced sample for reviewers out of the first files that hold enough of both labels."""
+    """A balanced sample for reviewers out of the first files that hold enough of both labels.
+
+    ``keys`` name a row; by default run, file and id. Repeated keys are refused, as such rows would be
+    drawn together.
+    """
     rows = audit.audit_rows(labelled)
-    drawn = audit.balanced_sample(audit.pool_rows(rows, n_total), n_total, keys, seed)
+    keys = keys or [*audit.file_columns(rows), "id"]
+    pool = audit.pool_rows(rows, n_total)
+    if not is_empty(one_to_one_violations(pool.select(*keys), keys)):
+        raise ValueError(f"rows repeat {list(keys)}")
+    drawn = audit.balanced_sample(pool, n_total, keys, seed)
     flags = ["detector_hallucinated", "human_hallucinated", "human_notes"]
     return drawn.select(*[c for c in drawn.columns if c not in flags], *flags)
 
@@ -122,7 +147,8 @@ def build_prompt_set(
     kept = harvest.dedupe_questions(asked.withColumn("position", place), per_seed)
     kept = written(kept, "questions")
     short = harvest.incomplete_seeds(kept, per_seed)
-    seeds = generations.select("seed_no", "seed").distinct()
+    # a seed listed twice is one seed, at its first place
+    seeds = generations.groupBy("seed").agg(F.min("seed_no").alias("seed_no"))
     short = short.select("seed").unionByName(
         seeds.join(kept.select("seed").distinct(), "seed", "left_anti").select("seed")
     )

@@ -149,7 +149,7 @@ hits as (select distinct k, label, term as keyword from tf)"""
 KEYWORD_RATES = """select keyword, avg(cast(label as double)) as hallucination_rate, count(*) as n
  from hits join top10 using (keyword) group by keyword"""
 
-TOXIC = "select d.doc_id, d.text, l.toxic = 1 as toxic from documents d join labels l using (doc_id)"
+TOXIC = "select d.doc_id, d.text, coalesce(l.toxic = 1, false) as toxic from documents d left join labels l using (doc_id)"
 
 FILES = f"""files as (select *, 'responses_labeled_' || lpad(cast(cluster_id % 50 as varchar), 2, '0') || '.csv' as source_file
  from review)"""
@@ -304,7 +304,7 @@ select * from ids where trim(prompt) <> ''""",
     "clean_conversations": f"""select a.conv_id, a.turn, case when starts_with(first, p.text) then
   regexp_replace(trim(substr(first, length(p.text) + 1)), '[.\\s]+$', '') else regexp_replace(first, '[.\\s]+$', '') end as model_response
  from (select *, trim(regexp_extract(trim(text, chr(10) || ' '), '^[^\\n]*')) as first from conversations where role = 'assistant') a
- join (select * from conversations where role = 'user') p on a.conv_id = p.conv_id and a.turn = p.turn + 1""",
+ left join (select * from conversations where role = 'user') p on a.conv_id = p.conv_id and a.turn = p.turn + 1""",
     "attach_generations": f"""with qa as ({QA}) select model as run, id, case when id % 11 > 0 then model_response end as model_response_raw
  from qa where model not in (select model from qa where model = 'm3' and id % 100 = 1 and id % 11 > 0)""",
     "one_to_one_violations": f"""with review as ({REVIEW}) select category, cluster_id, count(*) as rows from review
@@ -315,7 +315,7 @@ select id, cast(length(prompt) as int) as prompt_length,
  cast(case when model_response = '' then 3 else length(model_response) end as int) as response_length,
  model as hallucinated, cast(not model as int) as is_correct from qa""",
     "validate_prompts": f"""with qa as ({QA}) select bool_or(trim(prompt) <> '') as ok,
- case when bool_or(trim(prompt) <> '') then 'ok' else 'prompts CSV has no non-empty prompts.' end as message from qa""",
+ case when bool_or(trim(prompt) <> '') then 'ok' else 'every prompt is blank' end as message from qa""",
     "prompt_files": f"with qa as ({QA}) select template, id, prompt, correct_answer from qa",
     "labelled_files": f"""{LABELLED} select id, template, prompt, nullif(model_response, '') as model_response, correct_answer,
  hallucinated, reason as reasoning, cast(length(model_response) as int) as response_length from labelled""",
@@ -439,7 +439,7 @@ f as (select seed, trim(question) as question, min(position) as position from as
 k as (select *, cast(row_number() over (partition by seed order by position) as int) as question_no from f)
 select seed, question, position, question_no from k where question_no <= 40""",
     "incomplete_seeds": f"""with asked as ({fixtures.ASKED.format(orders='orders')})
-select seed, count(distinct question) as found, 40 as expected from asked group by seed having count(distinct question) <> 40""",
+select seed, count(distinct nullif(trim(question), '')) as found, 40 as expected from asked group by seed having count(distinct nullif(trim(question), '')) < 40""",
     "majority_vote": f"""with votes as ({fixtures.VOTES.format(orders='orders')}),
 v as (select question, vote_no, lower(regexp_replace(trim(regexp_replace(regexp_extract(trim(answer, ' ' || chr(10)), '^[^\\n]*'), '\\s+', ' ', 'g')), '[.\\s]+$', '')) as a from votes),
 c as (select question, a, count(*) as votes, min(vote_no) as first from v where a <> '' group by question, a),

@@ -335,7 +335,7 @@ def clean_conversations(spark: SparkSession, d: str) -> DataFrame:
         "conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("prompt")
     )
     # the answer is the next turn, so an equi-join on both keys does; no long conversation is sorted
-    answers = turns.filter("role = 'assistant'").join(asked, ["conv_id", "turn"])
+    answers = turns.filter("role = 'assistant'").join(asked, ["conv_id", "turn"], "left")
     return answers.select(
         "conv_id", "turn", schema.clean_response("text", "prompt").alias("model_response")
     )
@@ -471,18 +471,19 @@ def rate_by_keyword(spark: SparkSession, d: str) -> DataFrame:
 
 def _toxic_documents(spark: SparkSession, d: str) -> DataFrame:
     labels = views.read(spark, d, "labels").select("doc_id", (F.col("toxic") == 1).alias("toxic"))
-    return _documents(spark, d).join(labels, "doc_id")
+    # a document without a label is not positive, but its words count
+    return _documents(spark, d).join(labels, "doc_id", "left")
 
 
 @query
 def tfidf_documents(spark: SparkSession, d: str) -> DataFrame:
-    top = keywords.tfidf_keywords(_toxic_documents(spark, d), 10, "text", "toxic", "doc_id")
+    top = keywords.tfidf_keywords(_toxic_documents(spark, d), 10, "text", "toxic")
     return top.withColumn("weight", F.round("weight", 9))
 
 
 @query
 def rate_by_keyword_documents(spark: SparkSession, d: str) -> DataFrame:
-    found = keywords.rate_by_keyword(_toxic_documents(spark, d), 10, "text", "toxic", "doc_id")
+    found = keywords.rate_by_keyword(_toxic_documents(spark, d), 10, "text", "toxic")
     return found.select("keyword", "hallucination_rate", "n")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import tempfile
 import uuid
 
@@ -49,18 +50,18 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return _own_folder()
 
 
-def spread(df: DataFrame, most: int = 64) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """Use all cores on an input with fewer splits than cores.
 
     Labelling costs far more than reading, and a small file is a single split. Inputs with a split
     per core, which is any large table, are left alone.
     """
-    target = min(df.sparkSession.sparkContext.defaultParallelism, most)
+    target = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import csv
+import fnmatch
 import io
+import uuid
 from collections import defaultdict
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -24,6 +26,7 @@ from answerproof.operators.schema import (
 )
 from answerproof.operators.small import is_empty, settle_if_small
 
+# Delimiters and columns of the files.
 DELIMITERS = ",\t;|"
 SAMPLE_CHARS = 4096
 SAMPLE_LINES = 400
@@ -51,14 +54,26 @@ _PATH = "__path"
 
 
 def discover(spark: SparkSession, root: str, pattern: str = "responses_labeled_*.csv") -> DataFrame:
-    """Paths of all files under ``root`` whose name matches, sorted. File contents are not read."""
+    """Paths of all files under ``root`` whose name, or whose folder's source, matches; sorted.
+
+    The writers below put a table of part files where other tools put one file, in a folder
+    ``source=<name of that file>``. File contents are not read.
+    """
     found = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
+        .option("pathGlobFilter", "*" + pattern[pattern.rfind(".") :])
         .load(root)
     )
-    return found.select("path").orderBy("path")
+    name = fnmatch.translate(pattern).removeprefix("(?s:").removesuffix(r")\Z").removesuffix(r")\z")
+    own = F.regexp_extract("path", "/([^/]+)$", 1).rlike(f"^{name}$")
+    return found.select("path").filter(own | _folder_value("source", "path").rlike(f"^{name}$")).orderBy("path")
+
+
+def _folder_value(column: str, path: Column | str) -> Column:
+    """Value of a ``column=value`` folder of a path, as it was written; empty if there is none."""
+    raw = F.regexp_extract(as_col(path), f"/{column}=([^/]*)/", 1)
+    return F.url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))
 
 
 def file_path() -> Column:
@@ -68,15 +83,19 @@ def file_path() -> Column:
 
 
 def sample_file(spark: SparkSession, path: str) -> str | None:
-    """The first 4,096 characters of a file; None if there is no such file.
+    """The whole first line of a file, and what else there is of its first 4,096 characters.
 
-    Only its first lines are read, however large it is.
+    None if there is no such file. Only the first lines are read, however large the file is.
     """
     try:
-        lines = spark.read.text(path).select(F.substring("value", 1, SAMPLE_CHARS))
+        lines = spark.read.text(path)
     except AnalysisException:
         return None
-    return "\n".join(r[0] for r in lines.limit(SAMPLE_LINES).collect())[:SAMPLE_CHARS]
+    # the header counts whole, however long; delimiters are guessed from the beginning
+    head = F.monotonically_increasing_id() == 0
+    told = lines.select(F.when(head, F.col("value")).otherwise(F.substring("value", 1, SAMPLE_CHARS)))
+    first, *rest = [r[0] for r in told.limit(SAMPLE_LINES).collect()] or [""]
+    return "\n".join([first, *rest])[: max(SAMPLE_CHARS, len(first))]
 
 
 def sample_files(spark: SparkSession, paths: Sequence[str]) -> dict[str, str | None]:
@@ -88,7 +107,7 @@ def sample_files(spark: SparkSession, paths: Sequence[str]) -> dict[str, str | N
 def sniff_delimiter(sample: str) -> str:
     """Delimiter guessed from a sample; a comma when in doubt."""
     try:
-        return csv.Sniffer().sniff(sample, delimiters=DELIMITERS).delimiter
+        return csv.Sniffer().sniff(sample[:SAMPLE_CHARS], delimiters=DELIMITERS).delimiter
     except csv.Error:
         return ","
 
@@ -176,7 +195,7 @@ def validate_prompt_file(spark: SparkSession, path: str) -> DataFrame:
     name = path.rsplit("/", 1)[-1]
     if sample:
         return validate_prompts(read_prompts(spark, path))
-    problem = f"{name} not found." if sample is None else f"{name} is empty (0 bytes)."
+    problem = f"no file {name}" if sample is None else f"nothing in {name}"
     return spark.createDataFrame([(False, problem)], "ok boolean, message string")
 
 
@@ -228,10 +247,13 @@ def read_labeled(
         cells = cells.drop("__too_long")
         frames.append(blank_missing(cells, header) if missing_words else cells)
     table = _union(spark, frames, [*required, _PATH, POSITION])
-    name = F.substring_index(_PATH, "/", -1)
+    # tables written by write_labeled keep run and file name in their folders
+    folder, run = _folder_value("source", _PATH), _folder_value("run", _PATH)
+    name = F.when(folder != "", folder).otherwise(F.substring_index(_PATH, "/", -1))
+    above = F.regexp_extract(_PATH, "([^/]+)/(?:processed|raw)/[^/]*$", 1)
     return table.withColumns(
         {
-            "run": F.regexp_extract(_PATH, "([^/]+)/(?:processed|raw)/[^/]*$", 1),
+            "run": F.when(run != "", run).otherwise(above),
             "source_file": name,
             "source": source_name(name),
         }
@@ -271,11 +293,21 @@ def write_labeled(df: DataFrame, out: str, by: Sequence[str] = ("run", "source")
 
 
 def write_prompts(df: DataFrame, out: str) -> None:
-    """A prompt set, every cell quoted, columns in order; replaces an earlier one, refuses none."""
+    """A prompt set, every cell quoted, columns in order; replaces an earlier one, refuses none.
+
+    An earlier set goes only when the new one is complete.
+    """
     ordered = df.select(*PROMPT_COLUMNS)
     if is_empty(ordered):
         raise ValueError("refusing to write an empty prompt set")
-    _write_csv(ordered.write, out, "overwrite", quoteAll=True)
+    fresh = f"{out.rstrip('/')}.new-{uuid.uuid4().hex}"
+    _write_csv(ordered.write, fresh, "errorifexists", quoteAll=True)
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (out, fresh))
+    store = old.getFileSystem(conf)
+    store.delete(old, True)
+    if not store.rename(new, old):
+        raise OSError(f"the new set is in {fresh}, but could not be renamed to {out}")
 
 
 def write_audit(df: DataFrame, out: str) -> None:

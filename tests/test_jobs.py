@@ -91,8 +91,8 @@ def test_prompt_file_verdicts(spark, tmp_path):
         row = tables.validate_prompt_file(spark, str(tmp_path / name)).first()
         return row["ok"], row["message"]
 
-    assert verdict("none.csv", None) == (False, "none.csv not found.")
-    assert verdict("empty.csv", "") == (False, "empty.csv is empty (0 bytes).")
+    assert verdict("none.csv", None) == (False, "no file none.csv")
+    assert verdict("empty.csv", "") == (False, "nothing in empty.csv")
     assert verdict("other.csv", "a,b\n1,2\n")[0] is False
-    assert verdict("blank.csv", "prompt,b\n ,2\n") == (False, "prompts CSV has no non-empty prompts.")
+    assert verdict("blank.csv", "prompt,b\n ,2\n") == (False, "every prompt is blank")
     assert verdict("good.csv", "text,b\nq,2\n") == (True, "ok")

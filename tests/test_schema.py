@@ -121,7 +121,7 @@ def test_validate_prompts(spark):
     other = spark.createDataFrame([("q",)], "other string")
     assert schema.validate_prompts(ok).first()["ok"] is True
     assert schema.validate_prompts(blank).first()["ok"] is False
-    assert "missing required" in schema.validate_prompts(other).first()["message"]
+    assert "no column named" in schema.validate_prompts(other).first()["message"]
 
 
 def test_wrapped_prompt_ends_with_the_question(spark):
