@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerproof.llm import common
+from answerproof.session import written
 
 MIN_WORDS = 25
 SHORT = 6
@@ -72,8 +73,10 @@ def later_units(docs: DataFrame, kind: str, rank: Column) -> DataFrame:
     ).select("r", "d", "k", "u.*")
     place = F.struct("r", "d", "k", "start")
     first = rows.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
+    # a table of its own: the join can then split a hash that very many documents share
+    first = written(first.drop("n"), "first-units")
     return (
-        rows.join(first.drop("n"), ["h", "c"])
+        rows.join(first, ["h", "c"])
         .filter(place != F.col("first"))
         .select("d", "k", "i", "start", "end", "words")
     )
