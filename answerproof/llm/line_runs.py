@@ -131,7 +131,8 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs = _windows(active, levels, min_words)
     place = F.struct("d", "k", "start")
     earliest = runs.groupBy("n", "a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    earliest = earliest.filter(F.col("first") != F.col("last")).drop("last")
+    # a table of its own: the join can then split an interval that very many documents share
+    earliest = written(earliest.filter(F.col("first") != F.col("last")).drop("last"), "intervals")
     copies = runs.join(earliest, ["n", "a", "b"]).filter(place != F.col("first"))
     inside = common.same(F.col("d"), F.col("first.d")) & (F.col("k") == F.col("first.k"))
     skip = F.when(
