@@ -187,10 +187,11 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u != v").distinct()
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large, "large-stars")
+        lower = written(large.groupBy("u").agg(F.min("v").alias("m")), "lower")
         small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(lower.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
         links = written(small, "links")
@@ -213,12 +214,14 @@ def classes(docs: DataFrame, threshold: float = SIMILAR, bands: int = BANDS, row
     reps = written(_banded(docs, bands, rows), "signatures")
     member = reps.select("tid", F.explode("bands").alias("band"))
     sizes = member.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    # aggregates that meet hot keys again are written first: a join can then split such a key
+    sizes = written(sizes, "band-sizes")
     crowded = written(member.join(sizes, "band"), "bands")  # members of bands that hold two or more
     known_by = crowded.groupBy("tid").agg(F.sum("n").alias("fame"))
     famed = crowded.select("band", "tid").join(known_by, "tid")
     hubs = famed.groupBy("band").agg(F.max(F.struct("fame", "tid"))["tid"].alias("top"), F.min("tid").alias("low"))
     hubs = hubs.select("band", F.array_distinct(F.array("top", "low")).alias("hubs"))
-    met = crowded.select("band", "tid").join(hubs, "band")
+    met = crowded.select("band", "tid").join(written(hubs, "hubs"), "band")
     pairs = met.select("tid", F.explode("hubs").alias("hub")).filter("tid != hub")
     pairs = written(pairs.distinct(), "pairs")
     alone = pairs.select(F.col("tid").alias("t")).unionByName(pairs.select(F.col("hub").alias("t"))).distinct()
@@ -237,7 +240,7 @@ def classes(docs: DataFrame, threshold: float = SIMILAR, bands: int = BANDS, row
     lowest = own.groupBy("label").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")).alias("first")
     )
-    placed = own.select("tid", "label").join(lowest, "label").select("tid", F.col("first.doc_id").alias("class_id"), F.col("first").alias("f"))
+    placed = own.select("tid", "label").join(written(lowest, "classes"), "label").select("tid", F.col("first.doc_id").alias("class_id"), F.col("first").alias("f"))
     every = docs.filter(F.col("text").isNotNull()).select("doc_id", common.text_key(F.col("text")).alias("tid")).distinct()
     found = every.join(placed, "tid").select(
         "doc_id",
@@ -262,7 +265,7 @@ def _remaining(
     labelled = crowded.select("band", "tid").join(parts, F.col("tid") == F.col("node"), "left")
     labelled = labelled.select("band", "tid", F.coalesce("label", "tid").alias("label"))
     mixed = labelled.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b"))
-    mixed = mixed.filter("a != b").select("band")
+    mixed = written(mixed.filter("a != b").select("band"), "mixed-bands")
     inside = written(labelled.join(mixed, "band"), "mixed")
     held = profiles.join(inside.select("tid").distinct(), "tid")
     each = held.select("tid", F.explode(F.arrays_zip("p.h", "p.w")).alias("s")).select("tid", "s.h", "s.w")
