@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from answerproof.functions.flags import flag_of, hash_key
 from answerproof.operators.ranking import join_on, take_by_hash
 from answerproof.operators.rates import LABEL
-from answerproof.operators.small import settle_if_small
+from answerproof.operators.small import settle
 
 AUDIT_COLUMNS = ("template", "id", "prompt", "correct_answer", "model_response")
 POSITIVE_LABEL = "contradiction"
@@ -75,7 +75,7 @@ def pool_rows(
     df: DataFrame, n_total: int, file: str = "source_file", flag: str = "detector_hallucinated"
 ) -> DataFrame:
     names = file_columns(df, file)
-    files = settle_if_small(file_pool(df, n_total, file, flag).select(*names))
+    files = settle(file_pool(df, n_total, file, flag).select(*names))
     return join_on(df, files, names, "left_semi")
 
 
@@ -115,7 +115,7 @@ def balanced_sample(
     """
     df = df.withColumn(flag, flag_of(df, flag))
     keyed = df.withColumn("__h", hash_key(seed, *keys))
-    quotas = settle_if_small(balanced_quotas(df, n_total, flag))
+    quotas = settle(balanced_quotas(df, n_total, flag))
     drawn = take_by_hash(keyed, [flag], quotas, "quota", "__h")
     return (
         drawn.orderBy(hash_key(seed, F.lit("order"), *keys))
@@ -129,7 +129,7 @@ def sample_per_stratum(
 ) -> DataFrame:
     """k rows of every stratum (all of a smaller one), chosen by hash."""
     keyed = df.withColumn("__h", hash_key(seed, *keys))
-    quotas = settle_if_small(df.select(*strata).distinct()).withColumn("__quota", F.lit(k))
+    quotas = settle(df.select(*strata).distinct()).withColumn("__quota", F.lit(k))
     return take_by_hash(keyed, strata, quotas, "__quota", "__h").drop("__h")
 
 
@@ -174,7 +174,7 @@ def audit_sample(
 ) -> DataFrame:
     """All positives and a simple random sample of negatives per category, with weights."""
     frame = frame.withColumn(flag, flag_of(frame, flag))
-    plan = settle_if_small(sampling_plan(frame, per_category, category, flag))
+    plan = settle(sampling_plan(frame, per_category, category, flag))
     negatives = frame.filter(~F.col(flag)).withColumn("__h", hash_key(seed, *keys))
     drawn = take_by_hash(negatives, [category], plan, "audited_negatives", "__h").drop("__h")
     return attach_weights(frame.filter(flag).unionByName(drawn), plan, category, flag)
@@ -187,9 +187,10 @@ def sampling_design(
     """Frame and audited counts per category, inclusion probability, distinct prompts in each."""
 
     def counts(df: DataFrame, prefix: str) -> DataFrame:
+        told = flag_of(df, flag)
         return df.groupBy(category).agg(
-            F.count_if(flag).alias(f"{prefix}_positives"),
-            F.count_if(~F.col(flag)).alias(f"{prefix}_negatives"),
+            F.count_if(told).alias(f"{prefix}_positives"),
+            F.count_if(~told).alias(f"{prefix}_negatives"),
             F.count_distinct(prompt).alias(f"{prefix}_prompts"),
         )
 
@@ -327,7 +328,7 @@ def cohen_kappa(
         .agg(_rollup_name(by).alias("group"), F.count(F.lit(1)).alias("__n"))
         .select("group", "__a", "__b", "__n")
     )
-    cells = settle_if_small(cells)
+    cells = settle(cells)
     totals = cells.groupBy("group").agg(
         F.sum("__n").alias("n"),
         F.sum(F.when(F.col("__a").eqNullSafe(F.col("__b")), F.col("__n")).otherwise(0)).alias("agree"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from answerproof.config import KEYWORD_STOPWORDS
 from answerproof.functions.flags import flag_of, share
 from answerproof.functions.text import text_or_empty
-from answerproof.operators.small import settle_if_small
+from answerproof.operators.small import settle
 
 # Fixed value: a word of the report.
 WORD = r"(?U)\b[a-zA-Z]{2,}\b"
@@ -122,7 +122,7 @@ def rate_by_keyword(
 
     The keywords, top_n rows, are settled when this is called.
     """
-    top = settle_if_small(tfidf_keywords(df, top_n, prompt, label, stop_words))
+    top = settle(tfidf_keywords(df, top_n, prompt, label, stop_words))
     hits = keyword_matches(df, top, prompt, [label])
     rates = hits.groupBy("keyword").agg(
         share(flag_of(df, label)).alias("hallucination_rate"), F.count(F.lit(1)).alias("n")

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from answerproof.operators.small import broadcast_rows, collect_if_small
+from answerproof.operators.small import settle
 
 BLOCK_ROWS_LOG2 = 20  # about a million consecutive positions per block
 NUMBERING_DIGITS = 5  # about a million blocks when numbering by a hash
@@ -107,21 +107,16 @@ def take_by_hash(
     Whole hash blocks below the cut are kept by a filter, and only the block the quota ends in is
     sorted: nothing but that block and the sample itself is shuffled. The cuts (one row per group)
     are looked for when this is called, each time in blocks 4,096 times finer, until the blocks to
-    be sorted are short (only once with more than 20,000 groups). Groups without a quota are dropped.
+    be sorted are short, however many groups there are. Groups without a quota are dropped.
     Hash a unique key: equal hashes are taken in arbitrary order.
     """
     digits = CUT_DIGITS
     wanted = join_on(df, quotas.select(*keys, quota), keys)
-    cut = _cuts(wanted, keys, quota, order, digits)
-    rows = collect_if_small(cut)
-    while rows and digits < 30 and max(r["__size"] for r in rows) > SORTED_ROWS:
-        inside = join_on(df, broadcast_rows(cut, rows), keys)
-        inside = inside.filter(F.substring(order, 1, digits) == F.col("__cut"))
+    cut = settle(_cuts(wanted, keys, quota, order, digits))
+    while digits < 30 and (cut.agg(F.max("__size")).first()[0] or 0) > SORTED_ROWS:
+        inside = join_on(df, cut, keys).filter(F.substring(order, 1, digits) == F.col("__cut"))
         digits += CUT_DIGITS
-        cut = _cuts(inside, keys, "__left", order, digits)
-        rows = collect_if_small(cut)
-    if rows is not None:
-        cut = broadcast_rows(cut, rows)
+        cut = settle(_cuts(inside, keys, "__left", order, digits))
     blocked = join_on(df.withColumn("__block", F.substring(order, 1, digits)), cut, keys)
     whole = blocked.filter(F.col("__block") < F.col("__cut"))
     within = Window.partitionBy(*keys, "__block").orderBy(order)

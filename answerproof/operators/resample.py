@@ -18,7 +18,7 @@ from answerproof.functions.flags import flag_of, hash_key, hash_uniform
 from answerproof.operators.audit import TOTAL, is_contradiction
 from answerproof.operators.ranking import join_on, number_rows, take_first
 from answerproof.operators.rates import LABEL
-from answerproof.operators.small import settle_if_small
+from answerproof.operators.small import settle
 
 # Replicates a task draws per input row.
 REPLICATE_BLOCK = 500
@@ -45,14 +45,15 @@ def bootstrap_rate_ci(
     Resampling n yes/no labels with replacement draws a Binomial(n, k/n) count. Each replicate has
     one hashed uniform number, and the count is its inverse distribution function. That function is
     monotone, so sorting the uniforms and inverting only the two that bound the interval gives
-    exactly the interval of all sorted replicates. Without replicates there is no interval. The distribution function is tabulated around its
-    mean: about sqrt(n) rows per group, whatever n is. The counts are settled when this is called.
+    exactly the interval of all sorted replicates. Without replicates there is no interval. The
+    distribution function is tabulated around its mean: about sqrt(n) rows per group, whatever n is.
+    The counts are settled when this is called.
     """
     if replicates < 0:
         raise ValueError("a number of replicates below 0")
     flag = flag_of(df, label)
     # one row per group, used three times below
-    groups = settle_if_small(
+    groups = settle(
         df.groupBy(*by).agg(
             F.count_if(flag).alias("hallucinations"), F.count(F.lit(1)).alias("n")
         )
@@ -154,7 +155,7 @@ def cluster_profiles(
     negative = ~is_contradiction(label)
     zero = F.lit(0.0)
     known = audited.filter(negative).groupBy(category, cluster).agg(
-        F.sum(F.when(F.col(flag), F.col(weight)).otherwise(zero)).alias("fp"),
+        F.sum(F.when(flag_of(audited, flag), F.col(weight)).otherwise(zero)).alias("fp"),
         F.sum(weight).alias("neg"),
     )
     clusters = frame.select(category, cluster).distinct()
@@ -167,17 +168,18 @@ def cluster_profiles(
 def _draw_replicates(category: str, seed: int):
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                name = getattr(row, category)
-                sizes = np.asarray([p["clusters"] for p in row.profiles], dtype=np.int64)
-                values = np.asarray([(p["fp"], p["neg"]) for p in row.profiles], dtype=float)
+            # by place, as a column name need not be an identifier
+            places = batch[[category, "profiles", "start", "until"]]
+            for name, profiles, start, until in places.itertuples(index=False, name=None):
+                sizes = np.asarray([p["clusters"] for p in profiles], dtype=np.int64)
+                values = np.asarray([(p["fp"], p["neg"]) for p in profiles], dtype=float)
                 total = int(sizes.sum())
                 tag = zlib.crc32(str(name).encode())
                 sums = []
-                for replicate in range(row.start, row.until):
+                for replicate in range(start, until):
                     rng = np.random.default_rng([seed, tag, replicate])
                     sums.append((replicate, *rng.multinomial(total, sizes / total) @ values))
-                if row.start == 0:  # the clusters as they are, next to the first replicates
+                if start == 0:  # the clusters as they are, next to the first replicates
                     sums.append((OBSERVED, *sizes @ values))
                 frame = pd.DataFrame(sums, columns=["replicate", "fp", "neg"])
                 frame.insert(0, category, name)

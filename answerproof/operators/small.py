@@ -1,34 +1,21 @@
-"""Broadcasts behind a size check."""
+"""Summaries that several later steps join."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-# One row per stratum, category or file: beyond this many the planner picks the join instead.
-SMALL_ROWS = 20_000
+from answerproof.session import written
 
 
-def collect_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> list[Row] | None:
-    """The rows of a summary table, or None if it has more than ``limit``."""
-    rows = df.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a summary table now, in the shared checkpoint folder.
 
-
-def broadcast_rows(df: DataFrame, rows: list[Row]) -> DataFrame:
-    """Collected rows of ``df`` as a table that joins broadcast."""
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
-def settle_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """Compute a summary table now and broadcast it if it has at most ``limit`` rows.
-
-    For tables with one short row per group that several later steps join to the full data. Without
-    a known size the planner would shuffle the full data by group, hot groups included. A larger
-    table is returned as it is, and joins to it are ordinary shuffled joins.
+    For tables with one short row per group that several later steps join to the full data. Nothing
+    passes through the driver. The planner knows the size of a written table, so it broadcasts one
+    below ``spark.sql.autoBroadcastJoinThreshold``; beyond that a hot group of the full data is left
+    to adaptive skew joins, which can split it because the summary has one row per key.
     """
-    rows = collect_if_small(df, limit)
-    return df if rows is None else broadcast_rows(df, rows)
+    return written(df, "summary")
 
 
 def is_empty(df: DataFrame) -> bool:

@@ -440,6 +440,8 @@ k as (select *, cast(row_number() over (partition by seed order by position) as
 select seed, question, position, question_no from k where question_no <= 40""",
     "incomplete_seeds": f"""with asked as ({fixtures.ASKED.format(orders='orders')})
 select seed, count(distinct nullif(trim(question), '')) as found, 40 as expected from asked group by seed having count(distinct nullif(trim(question), '')) < 40""",
+    "blank_answers": f"""with votes as ({fixtures.VOTES.format(orders='orders')})
+select question, vote_no from votes where trim(answer) = ''""",
     "majority_vote": f"""with votes as ({fixtures.VOTES.format(orders='orders')}),
 v as (select question, vote_no, lower(regexp_replace(trim(regexp_replace(regexp_extract(trim(answer, ' ' || chr(10)), '^[^\\n]*'), '\\s+', ' ', 'g')), '[.\\s]+$', '')) as a from votes),
 c as (select question, a, count(*) as votes, min(vote_no) as first from v where a <> '' group by question, a),

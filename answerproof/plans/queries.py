@@ -686,6 +686,12 @@ def incomplete_seeds(spark: SparkSession, d: str) -> DataFrame:
     return harvest.incomplete_seeds(asked, 40)
 
 
+@query
+def blank_answers(spark: SparkSession, d: str) -> DataFrame:
+    votes = spark.sql(fixtures.VOTES, orders=views.read(spark, d, "orders"))
+    return harvest.blank_answers(votes, "answer").select("question", "vote_no")
+
+
 @query
 def majority_vote(spark: SparkSession, d: str) -> DataFrame:
     votes = spark.sql(fixtures.VOTES, orders=views.read(spark, d, "orders"))

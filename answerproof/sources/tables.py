@@ -24,7 +24,7 @@ from answerproof.operators.schema import (
     normalize_prompts,
     validate_prompts,
 )
-from answerproof.operators.small import is_empty, settle_if_small
+from answerproof.operators.small import is_empty, settle
 
 # Delimiters and columns of the files.
 DELIMITERS = ",\t;|"
@@ -239,10 +239,11 @@ def read_labeled(
     frames = []
     for header, members in groups.items():
         cells = read_cells(spark, members, header, multi_line=multi_line)
-        malformed = settle_if_small(cells.filter("__too_long").select(_PATH).distinct())
+        malformed = settle(cells.filter("__too_long").select(_PATH).distinct())
         if not is_empty(malformed):
             if on_problem == "fail":
-                raise ValueError(f"malformed rows in {sorted(r[0] for r in malformed.collect())}")
+                named = sorted(r[0] for r in malformed.limit(20).collect())
+                raise ValueError(f"malformed rows in {named}")
             cells = join_on(cells, malformed, [_PATH], "left_anti")
         cells = cells.drop("__too_long")
         frames.append(blank_missing(cells, header) if missing_words else cells)

@@ -122,3 +122,30 @@ def test_keys_do_not_collide(spark):
     rows = [("a|b", "c"), ("a", "b|c"), ("a", None), (None, "a"), ("\\N", "a")]
     df = spark.createDataFrame(rows, "x string, y string")
     assert df.select(hash_key(1, "x", "y").alias("h")).distinct().count() == 5
+
+
+def test_hash_cuts_are_refined_however_many_groups_there_are(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "CUT_DIGITS", 1)
+    monkeypatch.setattr(ranking, "SORTED_ROWS", 20)
+    many = spark.range(24_000).select(F.col("id").alias("k"), "id")
+    hot = spark.range(24_000, 27_000).select(F.lit(-1).cast("long").alias("k"), "id")
+    keyed = many.unionByName(hot).withColumn("h", hash_key(4, "id"))
+    quotas = keyed.select("k").distinct().withColumn("q", F.when(F.col("k") < 0, 700).otherwise(F.col("k") % 2))
+    got = ranking.take_by_hash(keyed, ["k"], quotas, "q", "h")
+    want = sorted((r["h"], r["id"]) for r in hot.withColumn("h", hash_key(4, "id")).collect())[:700]
+    assert {r["id"] for r in got.filter("k < 0").collect()} == {i for _, i in want}
+    assert {r["id"] for r in got.filter("k >= 0").collect()} == set(range(1, 24_000, 2))
+
+
+def test_missing_flags_count_as_unflagged_in_the_design(spark):
+    rows = [("a", 1, True), ("a", 2, False), ("a", 3, None)]
+    df = spark.createDataFrame(rows, "category string, cluster_id int, detector_hallucinated boolean")
+    got = audit.sampling_design(df, df).first()
+    assert (got["frame_positives"], got["frame_negatives"]) == (1, 2)
+    assert (got["audited_positives"], got["audited_negatives"]) == (1, 2)
+
+
+def test_category_columns_of_any_name(spark):
+    profiles = spark.createDataFrame([("x", 1.0, 2.0, 3)], "`the class` string, fp double, neg double, clusters bigint")
+    drawn = resample.cluster_replicates(profiles, 4, category="the class").collect()
+    assert sorted((r["replicate"], r["fp"], r["neg"]) for r in drawn) == [(i, 3.0, 6.0) for i in range(-1, 4)]
