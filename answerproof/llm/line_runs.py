@@ -24,6 +24,7 @@ from answerproof.llm import common
 from answerproof.session import written
 
 MIN_WORDS = 25
+BLANK = " \t\x0b\f\r"
 BLANKS = "[ \\t\\x0B\\f\\r]+"
 
 
@@ -32,12 +33,15 @@ def lines_of(docs: DataFrame) -> DataFrame:
     the text), h1, h2 (digest of the trimmed line), words."""
     pieces = F.transform(
         F.split("text", "\n", -1),
-        lambda line, i: F.struct(i.alias("line"), F.regexp_replace(line, f"^{BLANKS}|{BLANKS}$", "").alias("t")),
+        lambda line, i: F.struct(i.alias("line"), F.btrim(line, F.lit(BLANK)).alias("t")),
     )
     filled = F.filter(pieces, lambda x: x["t"] != "")
-    rows = docs.filter(F.col("text").isNotNull()).select(
-        F.col("doc_id").alias("d"), common.text_key(F.col("text")).alias("k"), F.posexplode(filled).alias("pos", "x")
+    # computed beside posexplode, the key of the text would be taken anew for every line; the outer form
+    # spares a filter that would split the text again
+    named = docs.filter(F.col("text").isNotNull()).select(
+        F.col("doc_id").alias("d"), common.text_key(F.col("text")).alias("k"), filled.alias("lines")
     )
+    rows = named.select("d", "k", F.posexplode_outer("lines").alias("pos", "x")).filter("x is not null")
     return rows.select(
         "d",
         "k",
