@@ -68,9 +68,10 @@ def later_units(docs: DataFrame, kind: str, rank: Column) -> DataFrame:
     def cut(text: pd.Series) -> pd.Series:
         return pd.Series([units(t, kind) for t in common.texts_of(text)], dtype=object)
 
-    rows = docs.select(
-        rank.alias("r"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("k"), F.explode(cut("text")).alias("u")
-    ).select("r", "d", "k", "u.*")
+    # computed beside explode, the key of the text would be taken anew for every unit; the outer form
+    # spares a filter that would cut the text again
+    named = docs.select(rank.alias("r"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("k"), cut("text").alias("u"))
+    rows = named.select("r", "d", "k", F.explode_outer("u").alias("u")).filter("u is not null").select("r", "d", "k", "u.*")
     place = F.struct("r", "d", "k", "start")
     first = rows.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
     # a table of its own: the join can then split a hash that very many documents share
