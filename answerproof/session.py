@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import functools
 import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,12 +68,32 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
+_scratch: contextvars.ContextVar[str | None] = contextvars.ContextVar("scratch", default=None)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``written`` makes inside the block are removed when it ends.
+
+    Save the result inside the block: DataFrames are lazy, and one that is read later would miss them.
+    """
+    folder = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    token = _scratch.set(folder)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write a table once into the shared checkpoint folder and read it back.
 
     For results that several passes read: later plans are short, scan only the columns they need, and
-    survive lost executors without redoing the work.
+    survive lost executors without redoing the work. Within ``scratch`` the table goes when the block
+    ends; otherwise it stays.
     """
-    folder = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    folder = f"{_scratch.get() or shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return df.sparkSession.read.parquet(folder)

@@ -1,5 +1,7 @@
 """Where intermediate tables go."""
 
+import os
+
 import pytest
 
 from answerproof import session
@@ -35,3 +37,22 @@ def test_spread_leaves_large_inputs_alone(spark):
     wide = spark.range(10, numPartitions=64)
     assert session.spread(wide) is wide
     assert session.spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == 4
+
+
+def test_scratch_tables_go_at_the_end_of_the_block(spark, tmp_path):
+    with session.scratch(spark):
+        df = session.written(spark.range(5))
+        folder = os.path.dirname(df.inputFiles()[0].removeprefix("file://"))
+        assert os.path.isdir(folder)
+        df.write.parquet(str(tmp_path / "kept"))
+    assert not os.path.exists(folder)
+    assert spark.read.parquet(str(tmp_path / "kept")).count() == 5
+    after = session.written(spark.range(3))
+    assert after.count() == 3 and "scratch-" not in after.inputFiles()[0]
+
+
+def test_scratch_tables_go_when_the_block_fails(spark):
+    with pytest.raises(ZeroDivisionError), session.scratch(spark):
+        folder = os.path.dirname(session.written(spark.range(5)).inputFiles()[0].removeprefix("file://"))
+        1 / 0
+    assert not os.path.exists(folder)
