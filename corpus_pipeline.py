@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from answerproof.llm import common, contamination, line_runs, mixing, near_dups, toxicity
 from answerproof.llm.queries import SOURCE_SHARES, learned_labels
-from answerproof.session import shared_folder
+from answerproof.session import scratch, shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,11 +65,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other, each result written as Parquet and read again."""
+    """The stages one after the other, each result written as Parquet and read again.
+
+    What a stage writes on the way goes as soon as its result is there.
+    """
     docs = common.table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     for number, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{number}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -1,5 +1,6 @@
 """Operators that compare documents, the mix, the archives and the pipeline."""
 
+import os
 import re
 from collections import Counter, defaultdict
 
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from answerproof import session
 from answerproof.llm import common, fixity, line_runs, mixing, near_dups, queries, units
 
 SMALL = "/root/testdata/sf0.001"
@@ -334,6 +336,11 @@ def test_stages_take_effect(spark):
     assert sorted(r["position"] for r in docs.collect()) == list(range(sizes[-1]))
 
 
-def test_run_is_the_stages_in_order(spark):
+def test_run_is_the_stages_in_order_and_keeps_only_their_results(spark):
+    folder = session.shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
     out = corpus_pipeline.run(spark, SMALL)
     assert out.filter("position is null").count() == 0 and out.select("doc_id").distinct().count() == out.count()
+    new = [name for name in os.listdir(folder) if name not in before]
+    assert len(new) == 1 and new[0].startswith("corpus-")
+    assert len(os.listdir(f"{folder}/{new[0]}")) == len(corpus_pipeline.STAGES)
