@@ -83,8 +83,21 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _scratch.reset(token)
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _remove(spark, folder)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``written`` that no later plan reads."""
+    for df in tables:
+        folders = {os.path.dirname(f) for f in df.inputFiles()}
+        for folder in folders:
+            if re.search(r"/[\w-]+-[0-9a-f]{32}$", folder):
+                _remove(df.sparkSession, folder)
 
 
 def written(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -56,3 +56,11 @@ def test_scratch_tables_go_when_the_block_fails(spark):
         folder = os.path.dirname(session.written(spark.range(5)).inputFiles()[0].removeprefix("file://"))
         1 / 0
     assert not os.path.exists(folder)
+
+
+def test_only_written_tables_are_discarded(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "own"))
+    own, made = spark.read.parquet(str(tmp_path / "own")), session.written(spark.range(5))
+    folder = os.path.dirname(made.inputFiles()[0].removeprefix("file://"))
+    session.discard(own, made)
+    assert not os.path.exists(folder) and own.count() == 3
