@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from answerproof.llm import common
-from answerproof.session import written
+from answerproof.session import discard, written
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 6  # a pair at 0.8 shares no band with probability 6e-5
@@ -194,7 +194,8 @@ def components(edges: DataFrame) -> DataFrame:
         lower = written(large.groupBy("u").agg(F.min("v").alias("m")), "lower")
         small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(lower.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
-        links = written(small, "links")
+        old, links = links, written(small, "links")
+        discard(old, least, large, lower)  # the new links are a table, nothing reads these again
         now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
         if now == before:
             break
