@@ -73,6 +73,43 @@ def test_units_of_odd_rows(odd, none):
     assert units.dedup_units(none).count() == 0
 
 
+def test_passages_pasted_into_sentences_are_cut_whole(spark):
+    rng = np.random.default_rng(9)
+    draw = lambda n: [f"v{x}" for x in rng.integers(0, 10**6, n)]
+    rows, want, size = [], {}, units.MIN_WORDS
+    for n in (size - 1, size, size + 1, 40, 51, 100):
+        # sentences of odd lengths inside, none of them at the ends
+        words = draw(n)
+        passage = " ".join(w + "." if rng.random() < 0.1 and 0 < i < n - 1 else w for i, w in enumerate(words))
+        i = len(rows)
+        rows.append((i, f"{' '.join(draw(7))} {passage} {' '.join(draw(9))}."))
+        before = f"{' '.join(draw(3))}. {' '.join(draw(2))} "
+        rows.append((i + 1, f"{before}{passage.upper()} {' '.join(draw(30))}"))
+        if n >= size:
+            want[i + 1] = f"{len(before)}:{len(before) + len(passage)}"
+    got = units.dedup_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["spans"] for r in got} == want
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_passages_equal_brute_force(spark, seed):
+    """Few words, so that passages overlap themselves and each other."""
+    rng = np.random.default_rng(seed)
+    texts = [" ".join(rng.choice(["a", "b", "İc"], rng.integers(0, 60), p=[0.6, 0.3, 0.1])) for _ in range(12)]
+    texts += [f"{a[: len(a) // 2]} {b[len(b) // 3 :]}" for a, b in zip(texts, texts[1:])]
+    rows, size = list(enumerate(texts)), 10
+    first, want = {}, {}
+    for doc_id, text in rows:
+        places = [m.span() for m in re.finditer(r"\w+", text)]
+        words = [text[a:b] for a, b in places]
+        later = [i for i in range(len(words) - size + 1) if first.setdefault(tuple(words[i : i + size]), (doc_id, i)) != (doc_id, i)]
+        if later:
+            gone = set().union(*(range(places[i][0], places[i + size - 1][1]) for i in later))
+            want[doc_id] = "".join(c for i, c in enumerate(text) if i not in gone)
+    got = units.dedup_units(spark.createDataFrame(rows, "doc_id long, text string"), min_words=size).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == want and want
+
+
 # --- lines ---------------------------------------------------------------------------------------
 
 
