@@ -6,7 +6,8 @@ the race, so only repeated material is ever sorted. Equal ranks at level k are a
 suffix array whose common prefix has 2^k lines at least, and the interval at any depth n in between
 is named by two overlapping ranks, those of the first and of the last 2^k lines.
 
-A run counts if it has ``min_words`` words. From every position the shortest such prefix is taken,
+A run counts if it has ``min_words`` words, few enough that single lines count: boilerplate stands alone
+between unique lines. Below that, lines repeat by chance ("Yes.", "}"). From every position the shortest such prefix is taken,
 and to every position the shortest such run that ends there: together they cover each maximal
 repeated run completely, and none is longer than ``min_words`` lines, which bounds the levels.
 Members of an interval other than the earliest are later copies.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from answerproof.llm import common
 from answerproof.session import written
 
-MIN_WORDS = 25
+MIN_WORDS = 4
 BLANK = " \t\x0b\f\r"
 BLANKS = "[ \\t\\x0B\\f\\r]+"
 

@@ -151,6 +151,13 @@ def test_lines_equal_brute_force(spark):
         assert got[doc_id]["text"] == "\n".join(left)
 
 
+def test_single_repeated_lines_are_cut(spark):
+    """Boilerplate of a few words that stands alone between unique lines."""
+    rows = [(i, f"own opening line of number {i}\n All rights reserved by us.\nown last line of number {i}\nYes.") for i in range(30)]
+    got = {r["doc_id"]: r["removed"] for r in line_runs.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: [1] if i else [] for i in range(30)}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_random_lines_equal_brute_force(spark, seed):
     rng = np.random.default_rng(seed)
