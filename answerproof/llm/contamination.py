@@ -6,8 +6,8 @@ and the search can skip by it: postings are cut into blocks of items with the la
 block, and a passage visits only blocks whose bound reaches the threshold (block-max WAND with a fixed
 threshold instead of a growing k-th score, hence nothing above it is missed). The most frequent words
 add to a bound what they can add at most in any item of the block, so only the postings of the other
-words are read to find the blocks. What is found is verified on the words: five-word overlap with the
-question and with the answer.
+words are read to find the blocks. Every passage found is verified on the words, the best one first:
+five-word overlap with the question and with the answer.
 
 The index is broadcast in blocks of at most ``BLOCK_WORDS`` words of items, one pass over the texts
 for each; its statistics are those of the block. Texts are neither shuffled nor collected.
@@ -58,6 +58,18 @@ def _grams(words: list[str], n: int = GRAM) -> set[tuple[str, ...]]:
     return set(zip(*(words[i:] for i in range(n)))) if words else set()
 
 
+def overlaps(question: set, answer: set, of_question: set, of_answer: set) -> tuple[float, float]:
+    """Shares of the runs of question and answer that are among those given."""
+    return (
+        len(question & of_question) / len(question) if question else 0.0,
+        len(answer & of_answer) / len(answer) if answer else 0.0,
+    )
+
+
+def verified(q: set, a: set, question: float, answer: float) -> bool:
+    return question >= QUESTION or (not q and answer >= QUESTION) or (question >= PARTLY and answer >= ANSWER)
+
+
 class Index:
     """BM25 impacts of item segments, as shares of the segment's own score, in blocks."""
 
@@ -169,27 +181,34 @@ class Index:
 
     def hits(self, text: str) -> list[tuple]:
         """(item, first code point, end, score, question overlap, answer overlap) of each verified
-        item, at its best passage; the span is that of the passage."""
+        item, at its best passage that verifies; the span is that of the passage."""
         low = text.lower()
         words = common.TOKEN.findall(low)
         if not words or not self.items:
             return []
         get = self.terms.get
         ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        best: dict[int, tuple[float, int, int]] = {}
+        found: dict[int, dict[int, float]] = {}  # item -> passage -> score of its best segment
         for p, segment, score in self.search(ids):
-            owner = int(self.owner[segment])
-            if owner not in best or score > best[owner][0]:
-                best[owner] = (score, p * STRIDE, min(len(words), p * STRIDE + PASSAGE))
+            scores = found.setdefault(int(self.owner[segment]), {})
+            scores[p] = max(score, scores.get(p, 0.0))
         out = []
-        for owner, (score, s, e) in sorted(best.items()):
+        whole: dict[int, set] = {}  # runs of words of the whole text, by their length
+        for owner, scores in sorted(found.items()):
             item_id, q, qn, a, an, length = self.items[owner]
-            near = words[max(0, s - length) : e + length]
-            question = len(q & _grams(near, qn)) / len(q) if q else 0.0
-            answer = len(a & _grams(near, an)) / len(a) if a else 0.0
-            whole = question >= QUESTION or (not q and answer >= QUESTION)
-            if whole or (question >= PARTLY and answer >= ANSWER):
-                out.append((item_id, s, e, score, question, answer))
+            for n in (qn, an):
+                if n not in whole:
+                    whole[n] = _grams(words, n)
+            # what the whole text lacks, no passage has
+            if not verified(q, a, *overlaps(q, a, whole[qn], whole[an])):
+                continue
+            for p in sorted(scores, key=lambda p: (-scores[p], p)):
+                s, e = p * STRIDE, min(len(words), p * STRIDE + PASSAGE)
+                near = words[max(0, s - length) : e + length]
+                question, answer = overlaps(q, a, _grams(near, qn), _grams(near, an))
+                if verified(q, a, question, answer):
+                    out.append((item_id, s, e, scores[p], question, answer))
+                    break
         if not out:
             return []
         # lower case may change the number of characters of rare letters; spans are of the text itself

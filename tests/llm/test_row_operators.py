@@ -181,6 +181,19 @@ def test_search_finds_every_segment_above_the_threshold():
         assert got == want
 
 
+def test_a_shuffled_decoy_does_not_hide_a_copy():
+    rng = np.random.default_rng(12)
+    item = [f"q{i}" for i in range(20)]
+    filler = lambda n: [f"f{x}" for x in rng.integers(0, 10**6, n)]
+    # decoys hold all words in another order, so each scores as much as the copy
+    decoys = [w for _ in range(3) for w in [*rng.permutation(item), *filler(100)]]
+    index = contamination.Index([("1", " ".join(item), "")])
+    assert index.hits(" ".join(decoys)) == []
+    text = " ".join([*decoys, *item, *filler(50)])
+    ((item_id, start, end, score, question, _),) = index.hits(text)
+    assert item_id == "1" and question == 1 and score > 0.99 and " ".join(item) in text[start - 200 : end + 200]
+
+
 def test_items_are_split_into_question_and_answer():
     assert contamination.split_item("What is it? Four.") == ("What is it?", "Four.")
     assert contamination.split_item("Q\nAnswer: yes") == ("Q", "yes")
