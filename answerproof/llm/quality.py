@@ -5,7 +5,7 @@ unusual rows after few steps; the score is 2 to the power of minus the mean path
 expectation. Each split on a path also credits its statistic with what it isolated, and the statistic
 with most credit is the reason. What is unusual is not always bad, so every reason has a threshold of
 its own, set on a histogram of the scores of all labelled rows. The forest is fitted on a bounded
-sample (``FIT_ROWS`` rows by hash).
+sample (``FIT_ROWS`` rows by the hash of their id).
 """
 
 from __future__ import annotations
@@ -192,11 +192,11 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     stats = written(stats.withColumn("base_failed", base_failed), "rule-statistics")
     columns = list(BASE + MORE)
-    order = F.xxhash64(*columns, F.lit("forest"))
-    # a sample of fixed size of those the base rules pass
-    sample = (
-        stats.filter("not base_failed").select("doc_id", *columns).orderBy(order, F.xxhash64("doc_id")).limit(FIT_ROWS)
-    ).toPandas()
+    # a sample of fixed size of those the base rules pass, by a hash of the id: copies of one text have
+    # ids of their own and enter like any other rows, and repeated rows are one
+    order = [F.xxhash64("doc_id", F.lit("forest")), F.col("doc_id"), F.xxhash64(*columns)]
+    passed = stats.filter("not base_failed").select("doc_id", *columns).dropDuplicates()
+    sample = passed.orderBy(*order).limit(FIT_ROWS).toPandas()
     forest = Forest(features(sample[columns]))
     shared = docs.sparkSession.sparkContext.broadcast(forest)
 

@@ -94,6 +94,22 @@ def test_forest_scores_outliers_higher():
     assert score[-1] == score.max() and reason[-1] == 0 and 0 < score.min() < score.max() < 1
 
 
+@pytest.mark.parametrize("copied", range(4))
+def test_copies_of_a_text_do_not_fill_the_sample_of_the_forest(spark, monkeypatch, copied):
+    rng = np.random.default_rng(copied)
+    text = lambda: " ".join(f"w{x}" for x in rng.integers(0, 10**6, int(rng.integers(20, 90))))
+    copy, seen, grow = text(), [], quality.Forest.__init__
+    rows = [(i, copy if i % 3 == 0 else text()) for i in range(600)]
+    monkeypatch.setattr(quality, "FIT_ROWS", 90)
+    monkeypatch.setattr(quality.Forest, "__init__", lambda self, sample: seen.append(sample) or grow(self, sample, trees=3))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    quality.judge(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    (sample,) = seen
+    # about a third of the rows, neither all of them nor none
+    _, counts = np.unique(sample, axis=0, return_counts=True)
+    assert len(sample) == 90 and 10 <= counts.max() <= 50
+
+
 def test_quality_of_odd_rows(odd, none, labels):
     rows = quality.judge(odd, labels).collect()
     assert len(rows) == odd.count()
