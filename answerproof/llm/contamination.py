@@ -9,8 +9,9 @@ add to a bound what they can add at most in any item of the block, so only the p
 words are read to find the blocks. Every passage found is verified on the words, the best one first:
 five-word overlap with the question and with the answer.
 
-The index is broadcast in blocks of at most ``BLOCK_WORDS`` words of items, one pass over the texts
-for each; its statistics are those of the block. Texts are neither shuffled nor collected.
+The index is broadcast in blocks of about ``BLOCK_WORDS`` words of items, one pass over the texts for
+each, and a block goes before the next one comes. Document frequencies and lengths are those of all
+items, so a score does not depend on the block. Texts are neither shuffled nor collected.
 """
 
 from __future__ import annotations
@@ -18,13 +19,15 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from answerproof.llm import common
+from answerproof.session import discard, written
 
 PASSAGE, STRIDE = 64, 16  # words of a passage, words to the next
 SEGMENT = PASSAGE - STRIDE  # longer items are indexed in pieces, each lies whole in some passage
@@ -70,10 +73,27 @@ def verified(q: set, a: set, question: float, answer: float) -> bool:
     return question >= QUESTION or (not q and answer >= QUESTION) or (question >= PARTLY and answer >= ANSWER)
 
 
+def segments_of(words: list[str]) -> list[list[str]]:
+    """An item's words in pieces that each lie whole in some passage."""
+    pieces = max(1, -(-len(words) // SEGMENT))
+    size = -(-len(words) // pieces)
+    return [words[i : i + size] for i in range(0, len(words), size)]
+
+
+class Statistics(NamedTuple):
+    """Of all items: number of segments, their mean length, and in how many each word is."""
+
+    segments: int
+    mean: float
+    df: dict[str, int]
+
+
 class Index:
-    """BM25 impacts of item segments, as shares of the segment's own score, in blocks."""
+    """BM25 impacts of item segments, as shares of the segment's own score, in blocks.
+
+    ``of_all``: the statistics, if the items are only some; ``df`` then has the words of these."""
 
-    def __init__(self, items: list[tuple[str, str, str]], least: float = MIN_SHARE):
+    def __init__(self, items: list[tuple[str, str, str]], least: float = MIN_SHARE, of_all: Statistics | None = None):
         self.least = least
         self.items = []
         segments: list[tuple[int, list[str]]] = []
@@ -84,14 +104,14 @@ class Index:
             if not words:
                 continue
             self.items.append((item_id, _grams(q), min(GRAM, len(q)), _grams(a), min(GRAM, len(a)), len(words)))
-            pieces = max(1, -(-len(words) // SEGMENT))
-            size = -(-len(words) // pieces)
-            segments += [(len(self.items) - 1, words[i : i + size]) for i in range(0, len(words), size)]
+            segments += [(len(self.items) - 1, part) for part in segments_of(words)]
         bags = [Counter(words) for _, words in segments]
         df = Counter(t for bag in bags for t in bag)
         self.terms = {t: i for i, t in enumerate(df)}
-        idf = np.log(1 + (len(bags) - np.array(list(df.values()), float) + 0.5) / (np.array(list(df.values())) + 0.5))
         mean = sum(len(w) for _, w in segments) / max(1, len(segments))
+        of_all = of_all or Statistics(len(bags), mean, df)
+        mean, many = of_all.mean, np.array([of_all.df[t] for t in df], float)
+        idf = np.log(1 + (of_all.segments - many + 0.5) / (many + 0.5))
         self.blocks = max(1, -(-len(bags) // BLOCK))
         self.owner = np.array([o for o, _ in segments], int)
         lists: list[list[tuple[int, float]]] = [[] for _ in df]
@@ -219,8 +239,8 @@ class Index:
         return [(i, spans[s][0], spans[e - 1][1], *rest) for i, s, e, *rest in out]
 
 
-def index_blocks(items: DataFrame, least: float) -> Iterator[Index]:
-    """Indexes over blocks of items (item_id, question, answer), each of bounded size.
+def index_blocks(items: DataFrame, least: float) -> tuple[int, Iterator[Index]]:
+    """Number of indexes over items (item_id, question, answer), each of bounded size, and the indexes.
 
     Items are dealt to blocks by a hash of the id; a block is fetched when its turn comes.
     """
@@ -232,9 +252,36 @@ def index_blocks(items: DataFrame, least: float) -> Iterator[Index]:
     size = F.length("question") + F.length("answer")
     chars = told.agg(F.sum(size)).first()[0] or 0
     blocks = max(1, -(-int(chars) // (5 * BLOCK_WORDS)))
+    return blocks, _indexes(told, blocks, least)
+
+
+def _indexes(told: DataFrame, blocks: int, least: float) -> Iterator[Index]:
+    if blocks == 1:
+        yield Index(sorted(tuple(r) for r in told.collect()), least)
+        return
+
+    @F.pandas_udf("struct<segments: long, words: long, terms: array<struct<term: string, n: long>>>")
+    def counted(question: pd.Series, answer: pd.Series) -> pd.DataFrame:
+        rows = []
+        for q, a in zip(question, answer):
+            words = common.TOKEN.findall(q.lower()) + common.TOKEN.findall(a.lower())
+            parts = segments_of(words) if words else []
+            rows.append((len(parts), len(words), list(Counter(t for part in parts for t in set(part)).items())))
+        return pd.DataFrame(rows, columns=["segments", "words", "terms"])
+
+    told = told.withColumn("block", F.pmod(F.xxhash64("item_id", "question"), F.lit(blocks)))
+    counts = written(told.select("block", counted("question", "answer").alias("s")).select("block", "s.*"), "item-counts")
+    total = counts.agg(F.sum("segments").alias("segments"), F.sum("words").alias("words")).first()
+    terms = counts.select("block", F.explode("terms").alias("t")).select("block", "t.*")
+    terms = terms.groupBy("block", "term").agg(F.sum("n").alias("n"))
+    df = terms.groupBy("term").agg(F.sum("n").alias("df"))
+    terms = written(terms.select("block", "term").join(df, "term"), "item-terms")
+    mean = total["words"] / max(1, total["segments"])
     for b in range(blocks):
-        part = told.filter(F.pmod(F.xxhash64("item_id", "question"), F.lit(blocks)) == b)
-        yield Index(sorted(tuple(r) for r in part.collect()), least)
+        # the items of one block and their words
+        here = terms.filter(F.col("block") == b).select("term", "df").collect()
+        part = told.filter(F.col("block") == b).drop("block").collect()
+        yield Index(sorted(tuple(r) for r in part), least, Statistics(total["segments"], mean, dict(map(tuple, here))))
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
@@ -248,29 +295,47 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     return benchmark.withColumn("__h", halves("text")).select("item_id", "__h.question", "__h.answer")
 
 
-def matches(docs: DataFrame, items: DataFrame, least: float = MIN_SHARE) -> Column:
-    """A column of verified matches of ``text``, over all blocks of the index; empty for a missing or
-    empty text and for an empty benchmark."""
-    context = docs.sparkSession.sparkContext
+def searcher(shared):
+    """A column function: text → verified matches in one index; empty for a missing or empty text and
+    for an empty benchmark."""
 
-    def searcher(shared):
-        @F.pandas_udf(HIT)
-        def search(text: pd.Series) -> pd.Series:
-            return pd.Series([shared.value.hits(t) for t in common.texts_of(text)], dtype=object)
+    @F.pandas_udf(HIT)
+    def search(text: pd.Series) -> pd.Series:
+        return pd.Series([shared.value.hits(t) for t in common.texts_of(text)], dtype=object)
 
-        return search
-
-    found = [searcher(context.broadcast(index))(F.col("text")) for index in index_blocks(items, least)]
-    return found[0] if len(found) == 1 else F.concat(*found)
+    return search
 
 
 def contaminated(docs: DataFrame, items: DataFrame, least: float = MIN_SHARE) -> DataFrame:
     """One row per document and item found in it: doc_id, item_id, start and end (code points of the
-    passage), score, question and answer (overlaps). Repeated rows of documents report each."""
-    hits = docs.select("doc_id", F.explode(matches(docs, items, least)).alias("m"))
-    return hits.select("doc_id", "m.*")
+    passage), score, question and answer (overlaps). Repeated rows of documents report each.
+
+    With several blocks of items the call makes a pass over the texts for each."""
+    blocks, indexes = index_blocks(items, least)
+    found = None
+    for index in indexes:
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        hits = docs.select("doc_id", F.explode(searcher(shared)("text")).alias("m")).select("doc_id", "m.*")
+        if blocks > 1:
+            hits = written(hits, "matches")
+            shared.destroy()
+        found = hits if found is None else found.unionByName(hits)
+    return found
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, least: float = MIN_SHARE) -> DataFrame:
-    """The rows without a verified match, with the columns of ``docs``."""
-    return docs.filter(F.size(matches(docs, items, least)) == 0)
+    """The rows without a verified match, with the columns of ``docs``.
+
+    With several blocks of items the call makes a pass for each over what the ones before left."""
+    blocks, indexes = index_blocks(items, least)
+    clean = docs
+    for number, index in enumerate(indexes):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        left = clean.filter(F.size(searcher(shared)("text")) == 0)
+        if blocks > 1:
+            left = written(left, "without-matches")
+            shared.destroy()
+            if number:
+                discard(clean)
+        clean = left
+    return clean

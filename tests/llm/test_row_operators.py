@@ -210,6 +210,22 @@ def test_a_shuffled_decoy_does_not_hide_a_copy():
     assert item_id == "1" and question == 1 and score > 0.99 and " ".join(item) in text[start - 200 : end + 200]
 
 
+def test_matches_do_not_depend_on_the_number_of_blocks(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    items = contamination.items_of(spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet"))
+
+    def results():
+        found = contamination.contaminated(docs, items)
+        rows = sorted((r["doc_id"], r["item_id"], r["start"], r["end"], round(r["score"], 9)) for r in found.collect())
+        return rows, sorted(r["doc_id"] for r in contamination.drop_contaminated(docs, items).collect())
+
+    whole = results()
+    monkeypatch.setattr(contamination, "BLOCK_WORDS", 500)
+    blocks, indexes = contamination.index_blocks(items, contamination.MIN_SHARE)
+    assert blocks > 1 and sum(len(index.items) for index in indexes) == items.count()
+    assert results() == whole and whole[0]
+
+
 def test_items_are_split_into_question_and_answer():
     assert contamination.split_item("What is it? Four.") == ("What is it?", "Four.")
     assert contamination.split_item("Q\nAnswer: yes") == ("Q", "yes")
