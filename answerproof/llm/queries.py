@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerproof.llm import (
+    alignment,
+    ball_tree,
     contamination,
     fixity,
     languages,
     line_runs,
     mixing,
     near_dups,
+    packing,
     quality,
     secret_spans,
     toxicity,
@@ -102,6 +105,21 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's pieces of the training sequences."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return ball_tree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How two tokenizers cut each document."""
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -121,6 +139,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_warc_fixity,
         op9_line_dedup,
         op10_secret_scan,
+        op11_packing,
+        op12_lexical_search,
+        op13_tokenizer_alignment,
         pipeline,
     )
 }
