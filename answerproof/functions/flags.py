@@ -27,24 +27,31 @@ def share(flag: Column | str) -> Column:
     return F.avg(as_col(flag).cast("double"))
 
 
-def hash_key(seed: int, *parts: Column | str) -> Column:
-    """Sampling order: the same rows in the same order on any cluster and in any SQL engine.
-
-    Different keys stay different: separators within a part are escaped, a missing part is marked.
-    """
+def key_text(seed: int, *parts: Column | str) -> Column:
+    """Seed and key as one text. Different keys stay different: separators within a part are escaped, a
+    missing part is marked."""
 
     def part(c: Column | str) -> Column:
         text = as_col(c).cast("string")
         text = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
         return F.coalesce(text, F.lit("\\N"))
 
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[part(p) for p in parts]))
+    return F.concat_ws("|", F.lit(str(seed)), *[part(p) for p in parts])
+
+
+def hash_key(seed: int, *parts: Column | str) -> Column:
+    """Sampling order: the same rows in the same order on any cluster and in any SQL engine."""
+    return F.md5(key_text(seed, *parts))
+
+
+def uniform_of(digest: Column, first: int = 1) -> Column:
+    """Uniform number in [0, 1) out of 13 hexadecimal digits of a hash, 52 random bits."""
+    return F.conv(F.substring(digest, first, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
 def hash_uniform(seed: int, *parts: Column | str) -> Column:
     """Uniform number in [0, 1) with 52 random bits."""
-    digits = F.substring(hash_key(seed, *parts), 1, 13)
-    return F.conv(digits, 16, 10).cast("double") / F.lit(float(2**52))
+    return uniform_of(hash_key(seed, *parts))
 
 
 def cosine(u: Column | str, v: Column | str) -> Column:

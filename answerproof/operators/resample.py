@@ -6,22 +6,20 @@ replicate is made, so the cost depends on the number of replicates and not on th
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from answerproof.functions.flags import flag_of, hash_key, hash_uniform
+from answerproof.functions.draws import binomial
+from answerproof.functions.flags import flag_of, hash_key, hash_uniform, key_text
 from answerproof.operators.audit import TOTAL, is_contradiction
 from answerproof.operators.ranking import join_on, number_rows, take_first
 from answerproof.operators.rates import LABEL
 from answerproof.operators.small import settle
 
-# Replicates a task draws per input row.
-REPLICATE_BLOCK = 500
+# Splits of a clustered resample that a task draws, about.
+DRAWS_PER_TASK = 200_000
 # Binomial outcomes further than this many standard deviations (and 50 counts) out have no mass
 # a double can hold.
 TAIL_SD = 9
@@ -165,27 +163,30 @@ def cluster_profiles(
     return rounded.groupBy(category, "fp", "neg").agg(F.count(F.lit(1)).alias("clusters"))
 
 
-def _draw_replicates(category: str, seed: int):
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            # by place, as a column name need not be an identifier
-            places = batch[[category, "profiles", "start", "until"]]
-            for name, profiles, start, until in places.itertuples(index=False, name=None):
-                sizes = np.asarray([p["clusters"] for p in profiles], dtype=np.int64)
-                values = np.asarray([(p["fp"], p["neg"]) for p in profiles], dtype=float)
-                total = int(sizes.sum())
-                tag = zlib.crc32(str(name).encode())
-                sums = []
-                for replicate in range(start, until):
-                    rng = np.random.default_rng([seed, tag, replicate])
-                    sums.append((replicate, *rng.multinomial(total, sizes / total) @ values))
-                if start == 0:  # the clusters as they are, next to the first replicates
-                    sums.append((OBSERVED, *sizes @ values))
-                frame = pd.DataFrame(sums, columns=["replicate", "fp", "neg"])
-                frame.insert(0, category, name)
-                yield frame
+def _numbered(profiles: DataFrame, category: str) -> tuple[DataFrame, int]:
+    """Profiles numbered from 0 within their category, and how many bits the numbers take.
 
-    return draw
+    Numbers follow a hash of the contribution, so neighbours are unrelated and no task sorts a category.
+    """
+    amounts = [F.col(c).cast("decimal(38,9)") for c in ("fp", "neg")]
+    keyed = profiles.withColumn("__h", hash_key(0, *amounts))
+    numbered = number_rows(keyed, [category], "__h", "__no", hashed=True)
+    numbered = settle(numbered.withColumn("__no", (F.col("__no") - 1).cast("bigint")).drop("__h"))
+    return numbered, (numbered.agg(F.max("__no")).first()[0] or 0).bit_length()
+
+
+def _splits(numbered: DataFrame, category: str, height: int) -> DataFrame:
+    """How many clusters are below each node of a binary tree over the numbers, and below its left
+    child. The node of a number at height h is the number without its last h bits."""
+    each = numbered.select(
+        category, "clusters", "__no", F.explode(F.sequence(F.lit(1), F.lit(height))).alias("__height")
+    )
+    node = F.expr("shiftright(__no, __height)")
+    to_left = F.expr("shiftright(__no, __height - 1)") % 2 == 0
+    return each.groupBy(category, "__height", node.alias("__node")).agg(
+        F.sum("clusters").alias("__below"),
+        F.sum(F.when(to_left, F.col("clusters")).otherwise(0)).alias("__left"),
+    )
 
 
 def cluster_replicates(
@@ -195,23 +196,55 @@ def cluster_replicates(
 
     Replicate -1 is the observed sample.
 
-    Drawing C clusters with replacement is one multinomial draw over the distinct contributions, so
-    a replicate costs as much as there are profiles, not clusters or rows. Profiles are the distinct
-    pairs (false positives, negatives) a prompt can contribute, a few dozen in practice. Each
-    replicate has its own generator, seeded by (seed, category, replicate): retries and other
-    partitionings repeat it.
+    Drawing C clusters with replacement is one multinomial draw over the distinct contributions. The
+    draw is split down a binary tree of these: of the draws that reach a node, a binomial number goes to
+    its left child. What is random in a split is a hash of (seed, category, replicate, node), so SQL can
+    repeat the draw, and retries and other partitionings cannot change it. A split is one row, whatever the number of profiles; nodes no draw reaches have none.
+    Numbers and splits (a row for each profile and level) are settled when this is called.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("fp", "neg", "clusters")))
-    per_category = profiles.groupBy(category).agg(ordered.alias("profiles"))
-    starts = F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(REPLICATE_BLOCK))
-    blocks = per_category.withColumn("start", F.explode(starts)).withColumn(
-        "until", F.least(F.col("start") + REPLICATE_BLOCK, F.lit(replicates))
+    if replicates < 1:
+        raise ValueError("a number of replicates below 1")
+    zero = F.lit(0).cast("bigint")
+    numbered, height = _numbered(profiles, category)
+    sizes = numbered.groupBy(category).agg(
+        F.sum("clusters").alias("__n"), F.sum(F.col("clusters") * F.col("fp")).alias("fp"),
+        F.sum(F.col("clusters") * F.col("neg")).alias("neg"),
     )
-    kind = profiles.schema[category].dataType.simpleString()
-    return blocks.repartition(category, "start").mapInPandas(
-        _draw_replicates(category, seed),
-        f"`{category}` {kind}, replicate long, fp double, neg double",
+    observed = sizes.select(category, F.lit(OBSERVED).cast("bigint").alias("replicate"), "fp", "neg")
+    rows = sizes.select(
+        category,
+        F.explode(F.sequence(zero, zero + replicates - 1)).alias("replicate"),
+        zero.alias("__no"),
+        "__n",
+    )
+    # a draw costs far more than its row weighs, so the rows are spread by number and not by size
+    cores = profiles.sparkSession.sparkContext.defaultParallelism
+    rows = rows.repartition(max(cores, replicates * max(1, 2**height // 2) // DRAWS_PER_TASK), "replicate", category)
+    splits = settle(_splits(numbered, category, height)) if height else None
+    for level in range(height, 0, -1):
+        here = splits.filter(F.col("__height") == level).select(
+            category, F.col("__node").alias("__no"), "__below", "__left"
+        )
+        left, below = F.col("__left"), F.col("__below")
+        # the smaller side is drawn, the other one has the rest
+        share = F.least(left, below - left) / below
+        text = key_text(seed, category, "replicate", F.lit(level), "__no")
+        drawn = F.when((left == 0) | (left == below), zero).otherwise(
+            binomial(F.col("__n"), share, text)
+        )
+        split = join_on(rows, here, [category, "__no"]).withColumn("__drawn", drawn)
+        to_left = F.when(left <= below - left, F.col("__drawn")).otherwise(F.col("__n") - F.col("__drawn"))
+        split = split.withColumn("__to_left", to_left)
+        children = F.array(
+            F.struct((F.col("__no") * 2).alias("__no"), F.col("__to_left").alias("__n")),
+            F.struct((F.col("__no") * 2 + 1).alias("__no"), (F.col("__n") - F.col("__to_left")).alias("__n")),
+        )
+        rows = split.select(category, "replicate", F.inline(children)).filter(F.col("__n") > 0)
+    drawn = join_on(rows, numbered.select(category, "__no", "fp", "neg"), [category, "__no"])
+    sums = drawn.groupBy(category, "replicate").agg(
+        F.sum(F.col("__n") * F.col("fp")).alias("fp"), F.sum(F.col("__n") * F.col("neg")).alias("neg")
     )
+    return sums.unionByName(observed)
 
 
 def cluster_bootstrap_fpr(

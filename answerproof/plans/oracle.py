@@ -453,3 +453,64 @@ select question, a as answer, votes, cast(ballots as bigint) as ballots from k w
 }
 
 ORACLES["metric_files"] = ORACLES["bootstrap_rate_ci"]
+
+
+def _stirling(x: str) -> str:
+    return f"((1 / 12.0::double - (1 / 360.0::double - 1 / 1260.0::double / (({x} + 1) ** 2)) / (({x} + 1) ** 2)) / ({x} + 1))"
+
+
+def _cluster_bootstrap(replicates: int, height: int) -> str:
+    """The splits level by level; a level above the highest number has one node that passes all to the left.
+
+    Means below ten look their uniform number up in a table of the distribution, others take the first of
+    sixteen proposals that transformed rejection accepts.
+    """
+    levels = []
+    for h in range(height, 0, -1):
+        text = f"'42|' || j.category || '|' || cast(replicate as varchar) || '|{h}|' || cast(no as varchar)"
+        second = f"cast(cast('0x' || substr(md5({text} || '|' || cast(i as varchar)), 14, 13) as bigint) as double) / 4503599627370496.0"
+        levels.append(f"""
+w{h} as (select category, no >> {h} as no, sum(clusters) as below,
+  sum(case when (no >> {h - 1}) % 2 = 0 then clusters else 0 end) as lft from numbered group by all),
+i{h} as (select d.*, lft, below, least(lft, below - lft) as small, least(lft, below - lft) / below::double as p
+  from d{h} d join w{h} w on d.category = w.category and d.no = w.no),
+j{h} as (select *, n::double as x, n * p as mean, sqrt(n * p * (1 - p)) as sd, p / (1 - p) as odds from i{h}),
+k{h} as (select distinct n, p from j{h} where p > 0 and mean < 10),
+s{h} as (select n, p, unnest(range(0, cast(least(n, 150) as bigint) + 1)) as s from k{h}),
+g{h} as (select *, sum(case when s = 0 then n * ln(1 - p) else ln((n - s + 1) * p / (s * (1 - p))) end) over (partition by n, p order by s) as lg from s{h}),
+c{h} as (select n, p, s, sum(exp(lg)) over (partition by n, p order by s) as cdf from g{h}),
+u{h} as (select *, {_uniform(text + " || '|0'")} as u from j{h} j where p > 0 and mean < 10),
+v{h} as (select u.category, replicate, no, coalesce(c.s, u.n) as k from u{h} u asof left join c{h} c on u.n = c.n and u.p = c.p and u.u <= c.cdf),
+e{h} as (select j.*, i, {_uniform(text + " || '|' || cast(i as varchar)")} - 0.5 as u, {second} as w, 1.15 + 2.53 * sd as b from j{h} j, range(1, 17) t(i) where p > 0 and mean >= 10),
+f{h} as (select *, 0.5 - abs(u) as us, -0.0873 + 0.0248 * b + 0.01 * p as a, floor((x + 1) * p) as m from e{h}),
+p{h} as (select *, floor((2 * a / us + b) * u + mean + 0.5) as k from f{h}),
+a{h} as (select category, replicate, no, cast(arg_min(k, i) as bigint) as k from p{h} where us >= 0.07 and w <= 0.92 - 4.2 / b
+  or case when k < 0 or k > x then false else ln(w * (2.83 + 5.1 / b) * sd / (a / (us * us) + b)) <=
+  (m + 0.5) * ln((m + 1) / (odds * (x - m + 1))) + (x + 1) * ln((x - m + 1) / (x - k + 1)) + (k + 0.5) * ln(odds * (x - k + 1) / (k + 1))
+  + {_stirling('m')} + {_stirling('(x - m)')} - {_stirling('k')} - {_stirling('(x - k)')} end group by all),
+q{h} as (select category, replicate, no, 0 as k from j{h} where p = 0 union all select * from v{h} union all select * from a{h}),
+t{h} as (select category, replicate, no, n, case when lft <= below - lft then k else n - k end as l from j{h} join q{h} using (category, replicate, no)),
+d{h - 1} as (select category, replicate, no * 2 as no, l as n from t{h} where l > 0
+ union all select category, replicate, no * 2 + 1, n - l from t{h} where n > l)""")
+    low, high = (replicates * 25) // 1000 + 1, (replicates * 975) // 1000
+    return f"""{WITH_AUDIT}, cl as (select category, cluster_id, 0.0 as fp, 0.0 as neg from review
+ union all select category, cluster_id, case when detector_hallucinated then weight else 0.0 end, weight
+ from audited where final_label <> 'contradiction'),
+sm as (select category, cluster_id, round(sum(fp), 9) as fp, round(sum(neg), 9) as neg from cl group by all),
+profiles as (select category, fp, neg, count(*) as clusters from sm group by all),
+numbered as (select *, row_number() over (partition by category order by
+ md5('0|' || cast(cast(fp as decimal(38,9)) as varchar) || '|' || cast(cast(neg as decimal(38,9)) as varchar))) - 1 as no from profiles),
+d{height} as (select category, replicate, 0 as no, sum(clusters) as n from numbered, range({replicates}) t(replicate) group by all),
+{",".join(levels)},
+drawn as (select category, replicate, sum(n * fp) as fp, sum(n * neg) as neg from d0 join numbered using (category, no) group by all
+ union all select category, -1, sum(clusters * fp), sum(clusters * neg) from numbered group by all),
+rates as (select category as g, replicate, fp / nullif(neg, 0) as rate from drawn
+ union all select 'ALL', replicate, sum(fp) / nullif(sum(neg), 0) from drawn group by replicate),
+o as (select *, row_number() over (partition by g, replicate < 0 order by rate, replicate) as rk from rates),
+b as (select g, max(rate) filter (where replicate < 0) as fpr, max(rate) filter (where replicate >= 0 and rk = {low}) as ci_low,
+ max(rate) filter (where replicate >= 0 and rk = {high}) as ci_high from o group by g)
+select g as "group", round(fpr, 9) as fpr, round(ci_low, 9) as ci_low, round(ci_high, 9) as ci_high, round(1 - fpr, 9) as specificity,
+ round(1 - ci_high, 9) as specificity_low, round(1 - ci_low, 9) as specificity_high from b"""
+
+
+ORACLES["cluster_bootstrap_fpr"] = _cluster_bootstrap(2000, 8)

@@ -631,7 +631,8 @@ def cluster_profiles(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def cluster_bootstrap_fpr(spark: SparkSession, d: str) -> DataFrame:
-    return resample.cluster_bootstrap_fpr(_review(spark, d), _audited(spark, d), 2000)
+    found = resample.cluster_bootstrap_fpr(_review(spark, d), _audited(spark, d), 2000)
+    return found.select("group", *[F.round(c, 9).alias(c) for c in found.columns if c != "group"])
 
 
 def _prompt_set(spark: SparkSession, d: str) -> DataFrame:
