@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerproof.config import KEYWORD_STOPWORDS
+from answerproof.functions.bind import bound
 from answerproof.functions.flags import flag_of, share
 from answerproof.functions.text import text_or_empty
 from answerproof.operators.small import settle
@@ -17,38 +18,83 @@ WORD = r"(?U)\b[a-zA-Z]{2,}\b"
 
 LABEL = "hallucinated"
 
+# Counters of the frequency summary of a task, and candidates it names for each word wanted.
+TRACKED_WORDS = 65_536
+CANDIDATES = 4
+
 
 def words(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(text_or_empty(text)), F.lit(WORD), F.lit(0))
 
 
-def _counted_words(df: DataFrame, prompt: str, stop_words: Sequence[str]) -> DataFrame:
+def _counted_words(
+    df: DataFrame, prompt: str, stop_words: Sequence[str], among: Sequence[str] | None = None
+) -> DataFrame:
     """Total count and number of documents per word, in one pass over the texts.
 
     Every word is emitted once per occurrence and once more per document; both are summed by word
-    with map-side combining, so the shuffle carries vocabularies, not texts.
+    with map-side combining, so the shuffle carries vocabularies, not texts. ``among``: only these words,
+    and the shuffle carries no more than these for each task.
     """
-    toks = words(prompt)
-    emitted = F.concat(
-        F.transform(toks, lambda t: F.struct(t.alias("term"), F.lit(0).alias("first"))),
-        F.transform(
-            F.array_distinct(toks), lambda t: F.struct(t.alias("term"), F.lit(1).alias("first"))
-        ),
-    )
-    flat = df.select(F.inline(emitted))
+
+    def emitted(v: Column) -> Column:
+        return F.concat(
+            F.transform(v["toks"], lambda t: F.struct(t.alias("term"), F.lit(0).alias("first"))),
+            F.transform(
+                F.array_distinct(v["toks"]), lambda t: F.struct(t.alias("term"), F.lit(1).alias("first"))
+            ),
+        )
+
+    flat = df.select(F.inline(bound({"toks": words(prompt)}, emitted)))
     if stop_words:
         flat = flat.filter(~F.col("term").isin(*stop_words))
+    if among is not None:
+        flat = flat.filter(F.col("term").isin(*among))
     return flat.groupBy("term").agg(
         F.count_if(F.col("first") == 0).alias("total"), F.sum("first").alias("df")
     )
 
 
+def _frequent_words(
+    df: DataFrame, size: int, prompt: str, stop_words: Sequence[str], tracked: int
+) -> tuple[list[str], int]:
+    """Words that may be among the ``size`` most frequent, and a count that no other word exceeds.
+
+    Each task sums up its words in a summary of at most ``tracked`` counters, and the summaries are
+    merged: what is shuffled does not depend on how many different words there are. An estimate is never
+    below the count it stands for. With a total of N words, a word without a counter has at most
+    3.5 N / tracked, and one whose counter is no proof that it is frequent at most twice that.
+    """
+    wanted = min(CANDIDATES * size, tracked)
+    flat = df.select(F.explode(words(prompt)).alias("term"))
+    if stop_words:
+        flat = flat.filter(~F.col("term").isin(*stop_words))
+    summary = F.expr(f"approx_top_k(term, {wanted}, {tracked})")
+    found, total = flat.agg(summary.alias("found"), F.count(F.lit(1)).alias("total")).first()
+    others = 2 * 3.5 * total / tracked
+    if found and len(found) == wanted:
+        others = max(others, found[-1]["count"])
+    return [x["item"] for x in found or ()], others
+
+
 def vocabulary(
-    df: DataFrame, size: int, prompt: str = "prompt", stop_words: Sequence[str] = KEYWORD_STOPWORDS
+    df: DataFrame, size: int, prompt: str = "prompt", stop_words: Sequence[str] = KEYWORD_STOPWORDS,
+    tracked: int = TRACKED_WORDS,
 ) -> DataFrame:
-    """The ``size`` most frequent words with total, document frequency and smoothed idf."""
-    counts = _counted_words(df, prompt, stop_words)
-    top = counts.orderBy(F.desc("total"), F.asc("term")).limit(size)
+    """The ``size`` most frequent words with total, document frequency and smoothed idf.
+
+    A summary of bounded size names candidates, and a second pass counts these exactly. If the last
+    word of the list is more frequent than any word left out can be, the list is the one a full count
+    gives; where the counts are too flat for that proof, all words are counted. Candidates and counts are
+    settled when this is called.
+    """
+    candidates, others = _frequent_words(df, size, prompt, stop_words, tracked)
+    first = F.desc("total"), F.asc("term")
+    counts = _counted_words(df, prompt, stop_words, candidates) if len(candidates) >= size else None
+    top = settle(counts.orderBy(*first).limit(size)) if counts is not None else None
+    # a word of the same count could come first by name, so only a larger count is a proof
+    if top is None or not (top.agg(F.min("total")).first()[0] or 0) > others:
+        top = _counted_words(df, prompt, stop_words).orderBy(*first).limit(size)
     docs = df.agg(F.count(F.lit(1))).scalar()
     return top.withColumn("idf", F.log((1 + docs) / (1 + F.col("df"))) + 1)
 
@@ -72,22 +118,26 @@ def tfidf_keywords(
         return df.sparkSession.createDataFrame([], schema)
     terms = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(i).alias("idf")) for t, i in vocab])
     known = F.array(*[F.lit(t) for t, _ in vocab])
-    positives = df.filter(flag_of(df, label)).select(
-        F.filter(words(prompt), lambda t: F.array_contains(known, t)).alias("toks")
-    )
-    cells = F.transform(
-        terms,
-        lambda v: F.struct(
-            v["term"].alias("keyword"),
-            (F.size(F.filter("toks", lambda t: t == v["term"])) * v["idf"]).alias("w"),
-        ),
-    )
-    weighed = positives.select(cells.alias("cells")).withColumn(
+
+    def weighed(v: Column) -> Column:
+        return F.transform(
+            terms,
+            lambda term: F.struct(
+                term["term"].alias("keyword"),
+                (F.size(F.filter(v["toks"], lambda t: t == term["term"])) * term["idf"]).alias("w"),
+            ),
+        )
+
+    toks = F.filter(words(prompt), lambda t: F.array_contains(known, t))
+    cells = df.filter(flag_of(df, label)).select(bound({"toks": toks}, weighed).alias("cells"))
+    normed = cells.withColumn(
         "norm", F.sqrt(F.aggregate("cells", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
     )
     # a word that no positive prompt has takes part with weight 0; a prompt without words counts
     weights = (
-        weighed.select("norm", F.inline("cells"))
+        # an outer explode: for a plain one a filter on the cells is inferred, which would be pushed below
+        # the caller's joins and weigh every row of the table
+        normed.select("norm", F.inline_outer("cells"))
         .groupBy("keyword")
         .agg(
             F.sum(F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(0.0)).alias("w"),
@@ -107,7 +157,8 @@ def keyword_matches(
     A keyword of the report is itself a word, so containment is equality with one of the prompt's
     words: an equi-join instead of a pattern match per keyword.
     """
-    exploded = df.select(*carry, F.explode(F.array_distinct(words(prompt))).alias("keyword"))
+    # an outer explode, so that no filter on the words is inferred and evaluates them once more
+    exploded = df.select(*carry, F.explode_outer(F.array_distinct(words(prompt))).alias("keyword"))
     return exploded.join(keywords.select("keyword"), "keyword")
 
 
