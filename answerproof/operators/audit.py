@@ -259,26 +259,40 @@ def confusion(
     return _quality(grouped.drop(by))
 
 
+def _unnamed(category: str, categories: Sequence[str]) -> Column:
+    """Rows of a category that has no column of its own, a missing one included."""
+    return ~F.coalesce(F.col(category).isin(*categories), F.lit(False))
+
+
 def reason_attribution(
-    df: DataFrame, categories: Sequence[str], category: str = "category", reason: str = "reason"
+    df: DataFrame, categories: Sequence[str], category: str = "category", reason: str = "reason",
+    rest: str | None = None,
 ) -> DataFrame:
-    """First triggering rule × category counts. Naming the categories saves a pass to find them."""
+    """First triggering rule × category counts. Naming the categories saves a pass to find them.
+
+    ``rest`` names a column for all other categories.
+    """
     counts = [F.count_if(F.col(category) == c).alias(c) for c in categories]
+    if rest is not None:
+        counts.append(F.count_if(_unnamed(category, categories)).alias(rest))
     return df.groupBy(reason).agg(*counts, F.count(F.lit(1)).alias("total"))
 
 
 def composition(
     df: DataFrame, categories: Sequence[str], model: str = "model", category: str = "category",
-    flag: str = "detector_hallucinated",
+    flag: str = "detector_hallucinated", rest: str | None = None,
 ) -> DataFrame:
-    """Per model, a "positive/negative" cell for each category."""
+    """Per model, a "positive/negative" cell for each category; a missing flag is a negative one.
+
+    ``rest`` names a column for all other categories.
+    """
+    told = flag_of(df, flag)
+    columns = {c: F.col(category) == c for c in categories}
+    if rest is not None:
+        columns[rest] = _unnamed(category, categories)
     cells = [
-        F.concat_ws(
-            "/",
-            F.count_if((F.col(category) == c) & F.col(flag)),
-            F.count_if((F.col(category) == c) & ~F.col(flag)),
-        ).alias(c)
-        for c in categories
+        F.concat_ws("/", F.count_if(inside & told), F.count_if(inside & ~told)).alias(name)
+        for name, inside in columns.items()
     ]
     return df.groupBy(model).agg(*cells)
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerproof.config import Thresholds
+from answerproof.functions import cues
 from answerproof.functions.text import strip, text_or_empty
 from answerproof.operators import scores
 from answerproof.operators.signals import (
@@ -66,20 +67,30 @@ def _score_column(df: DataFrame, name: str, enabled: bool, what: str, th: Thresh
     return F.lit(None).cast("double")
 
 
-def _with_scores(df: DataFrame, th: Thresholds) -> DataFrame:
-    answered = w("resp") != ""
+def _lacking(th: Thresholds, undecided: Column) -> dict[str, Column]:
+    """Rows without a score they need, by kind of score."""
+    needs = {}
+    if th.enable_embeddings:
+        needs["embedding"] = (w("resp") != "") & w("embed").isNull()
+    if th.enable_nli:
+        absent = w("nli_entail_min").isNull() | w("nli_contradiction_max").isNull()
+        needs["entailment"] = undecided & scores.nli_eligible(th) & absent
+    return needs
+
+
+def _with_scores(df: DataFrame, th: Thresholds, undecided: Column) -> DataFrame:
+    """Score columns, NULL where they are not used. ``undecided``: rows that need an entailment score
+    if their texts are long enough for one."""
     embed = _score_column(df, EMBED_SCORE, th.enable_embeddings, "embedding", th)
     entail = _score_column(df, NLI_ENTAIL_MIN, th.enable_nli, "entailment", th)
     contra = _score_column(df, NLI_CONTRADICTION_MAX, th.enable_nli, "entailment", th)
-    if th.enable_embeddings:
-        embed = scores.require_score(embed, answered, "embedding", th)
     if th.enable_nli:
-        eligible = answered & scores.nli_eligible(th)
-        entail = F.when(eligible, scores.require_score(entail, eligible, "entailment", th))
-        contra = F.when(eligible, scores.require_score(contra, eligible, "entailment", th))
-    return df.withColumns(
+        eligible = (w("resp") != "") & scores.nli_eligible(th)
+        entail, contra = F.when(eligible, entail), F.when(eligible, contra)
+    df = df.withColumns(
         {"__embed": embed, "__nli_entail_min": entail, "__nli_contradiction_max": contra}
     )
+    return scores.all_scored(df, _lacking(th, undecided)) if th.strict_dependencies else df
 
 
 def preflight(
@@ -93,24 +104,30 @@ def preflight(
     Tells before a long job starts what the strict policy would stumble over in the middle of it.
     """
     lenient = replace(th, strict_dependencies=False)
-    df = _with_scores(add_canonical(df, response, gold), lenient)
-    answered = w("resp") != ""
-    needs = {}
-    if th.enable_embeddings:
-        needs["embedding"] = answered & w("embed").isNull()
-    if th.enable_nli:
-        lacking = w("nli_entail_min").isNull() | w("nli_contradiction_max").isNull()
-        needs["entailment"] = answered & scores.nli_eligible(th) & lacking
+    undecided = scores.undecided_before_nli()
+    signals = add_canonical(df, response, gold).withColumn("__negated", cues.negation_cue(w("resp"), w("gold")))
+    needs = _lacking(th, undecided)
     if not needs:
         return
+    df = _with_scores(signals, lenient, undecided)
     counts = df.agg(*[F.count_if(c).alias(name) for name, c in needs.items()]).first()
     missing = {name: n for name, n in counts.asDict().items() if n}
     if missing:
         raise RuntimeError(f"rows without a score they need: {missing}")
 
 
-def _decided(df: DataFrame, th: Thresholds, response: str, gold: str) -> DataFrame:
-    df = _with_scores(add_signals(df, th, response, gold), th)
+def with_signals(
+    df: DataFrame, th: Thresholds, response: str, gold: str, for_reason: bool = True
+) -> DataFrame:
+    """All signals and the scores in use, as working columns."""
+    undecided = scores.undecided_before_nli() if for_reason else scores.undecided_by_rules()
+    return _with_scores(add_signals(df, th, response, gold), th, undecided)
+
+
+def _decided(
+    df: DataFrame, th: Thresholds, response: str, gold: str, for_reason: bool = True
+) -> DataFrame:
+    df = with_signals(df, th, response, gold, for_reason)
     contradiction = _first_reason(
         CONTRADICTION_REASONS,
         [
@@ -199,8 +216,11 @@ def flag_pairs(
     response: str = "model_response",
     gold: str = "correct_answer",
 ) -> DataFrame:
-    """Only the yes/no decision; signals that merely explain an acceptance are pruned away."""
-    df = _decided(df, th, response, gold)
+    """Only the yes/no decision; signals that merely explain an acceptance are pruned away.
+
+    With the strict policy an entailment score is needed only where no rule decides.
+    """
+    df = _decided(df, th, response, gold, for_reason=False)
     return _observed(drop_working(df.withColumn("hallucinated", w("contradiction").isNotNull())))
 
 

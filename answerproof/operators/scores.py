@@ -18,6 +18,7 @@ from answerproof.config import Thresholds
 from answerproof.functions import text
 from answerproof.functions.flags import cosine
 from answerproof.operators.signals import w
+from answerproof.operators.small import is_empty
 
 NLI_DIRECTIONS = ("fwd", "rev")
 
@@ -50,8 +51,14 @@ def pair_cosine(
 ) -> DataFrame:
     """Cosine of the response vector and the gold vector of each row.
 
-    Vectors are joined to distinct key pairs only; the rows themselves never carry a vector.
+    Vectors are joined to distinct key pairs only; the rows themselves never carry a vector. A key that
+    stands twice among the vectors would multiply rows and is refused; keys are checked when this is
+    called.
     """
+    repeated = vectors.groupBy(vec_key).count().filter("count > 1")
+    if not is_empty(repeated):
+        named = sorted(str(r[0]) for r in repeated.limit(5).collect())
+        raise ValueError(f"vectors repeat keys, for example {named}")
 
     def score(keys: DataFrame) -> DataFrame:
         left = vectors.select(F.col(vec_key).alias(resp_key), F.col(vec).alias("__u"))
@@ -84,6 +91,18 @@ def nli_eligible(th: Thresholds) -> Column:
     )
 
 
+def undecided_before_nli() -> Column:
+    """No rule that is tried ahead of the entailment veto has decided (needs the signals)."""
+    return (w("resp") != "") & ~w("negated")
+
+
+def undecided_by_rules() -> Column:
+    """No deterministic rule has decided, so the veto alone can make it a contradiction."""
+    return undecided_before_nli() & ~(
+        w("alternative_conflict") | w("numeric_conflict") | w("unavailability_conflict") | w("atomic_mismatch")
+    )
+
+
 def nli_veto(entail_min: Column, contradiction_max: Column, th: Thresholds) -> Column:
     return F.coalesce(
         (contradiction_max >= th.nli_contradiction_veto)
@@ -122,12 +141,16 @@ def embedding_support(score: Column, th: Thresholds) -> Column:
     )
 
 
-def require_score(score: Column, needed: Column, what: str, th: Thresholds) -> Column:
-    """Strict policy: a row that needs a score and has none fails the job. Lenient: NULL stays."""
-    if not th.strict_dependencies:
-        return score
-    message = F.lit(f"{what} score missing; supply it, disable {what} or use the lenient policy")
-    return F.when(needed & score.isNull(), F.raise_error(message).cast("double")).otherwise(score)
+def all_scored(df: DataFrame, needs: dict[str, Column]) -> DataFrame:
+    """Strict policy: a row that needs a score and has none fails the job.
+
+    ``needs`` has for each kind of score the rows that lack one. It is a filter that lets every row
+    pass, not a part of the score, so it holds whatever columns are selected later.
+    """
+    for what, lacking in needs.items():
+        message = F.lit(f"{what} score missing; supply it, disable {what} or use the lenient policy")
+        df = df.filter(F.when(lacking, F.raise_error(message).cast("boolean")).otherwise(True))
+    return df
 
 
 def missing_scores(pairs: DataFrame, scored: Column, needed: Column, *by: str) -> DataFrame:

@@ -369,13 +369,15 @@ f as (select category, count(*) filter (where detector_hallucinated) as frame_po
 a as (select category, count(*) filter (where detector_hallucinated) as audited_positives,
  count(*) filter (where not detector_hallucinated) as audited_negatives, count(distinct cluster_id) as audited_prompts from audited group by category)
 select *, audited_negatives / cast(frame_negatives as double) as p_negative from f join a using (category)""",
-    "audit_composition": f"""{WITH_AUDIT} select 'm' || cast(cluster_id % 4 as varchar) as model, """
+    "audit_composition": f"""{WITH_AUDIT}, told as (select *, id % 13 > 0 and detector_hallucinated as told,
+ case when category = '5-LOW' then 'other' else category end as shown from audited)
+select 'm' || cast(cluster_id % 4 as varchar) as model, """
     + ", ".join(
-        f"concat(count(*) filter (where category = '{c}' and detector_hallucinated), '/', "
-        f"count(*) filter (where category = '{c}' and not detector_hallucinated)) as \"{c}\""
-        for c in fixtures.PRIORITIES
+        f"concat(count(*) filter (where shown = '{c}' and told), '/', "
+        f"count(*) filter (where shown = '{c}' and not told)) as \"{c}\""
+        for c in (*fixtures.PRIORITIES[:4], "other")
     )
-    + " from audited group by 1",
+    + " from told group by 1",
     "reason_attribution": f"{WITH_DECISION} select reason, "
     + ", ".join(f"count(*) filter (where template = '{c}') as \"{c}\"" for c in fixtures.PRIORITIES)
     + ", count(*) as total from decided where hallucinated group by reason",
@@ -452,6 +454,54 @@ select question, a as answer, votes, cast(ballots as bigint) as ballots from k w
  count(*) filter (where hallucinated) as hallucinations, count(*) as n from labelled group by model""",
 }
 
+STORE_SCORES = f"""{WITH_SIGNALS}, lengths as (select *, length(r) as lr, length(g) as lg, r <> '' and len(rt) >= 3 and len(gt) >= 3 as ok from s4),
+cons as (select *, (lr * 37 + lg * 11) % 101 / 100.0::double as cf, (lg * 37 + lr * 11) % 101 / 100.0::double as cr from lengths),
+probs as (select *, (1 - cf) * ((lr * 53 + lg * 7) % 101 / 100.0::double) as ef, (1 - cr) * ((lg * 53 + lr * 7) % 101 / 100.0::double) as er from cons),
+vetoed as (select *, ok and greatest(cf, cr) >= 0.75 and least(ef, er) <= 0.3 as veto from probs)"""
+
+ORACLES["score_store"] = f"""{STORE_SCORES},
+{_decide(nli='veto').replace('from s4)', 'from vetoed)')},
+n as (select count(distinct (r, g)) filter (where id % 3 = 0) as n_part, count(distinct (r, g)) as n_all
+ from vetoed where ok and not negated),
+kept as (select distinct r as kr, g as kg from vetoed where ok and not negated)
+select id, reason, case when r <> '' then ok and kr is not null and veto end as nli_contradiction_veto,
+ case when kr is not null then round(ef, 9) end as nli_entailment, case when kr is not null then round(cf, 9) end as nli_contradiction,
+ case when kr is not null then round(er, 9) end as nli_entailment_reverse, case when kr is not null then round(cr, 9) end as nli_contradiction_reverse,
+ n_part as scored_1, n_all - n_part as scored_2, cast(0 as bigint) as scored_3
+from decided left join kept on r = kr and g = kg, n"""
+
+ORACLES["flags_from_store"] = f"""{STORE_SCORES},
+{_decide(nli='veto').replace('from s4)', 'from vetoed)')},
+n as (select count(distinct (r, g)) as scored from vetoed where ok and not negated and len(alts) = 0 and not num_conflict
+ and not unavail_conflict and not mismatch)
+select id, hallucinated, scored from decided, n"""
+
+
+
+def _grid(name: str, values: tuple[float, ...], measure: str, positive: str) -> str:
+    """One comparison of every row with every value of a grid."""
+    grid = ", ".join(f"({v!r}::double)" for v in values)
+    return f"""select model, '{name}' as threshold, t as value, '{measure}' as measure, count(*) as n,
+ count(*) filter (where {positive}) as positives, count(*) filter (where {positive}) / count(*)::double as rate
+ from flags, (values {grid}) g(t) group by model, t"""
+
+
+VETO = "r <> '' and len(rt) >= 3 and len(gt) >= 3 and con >= {} and ent <= {}"
+SWEEPS = (
+    ("nli_contradiction_veto", (0.0, 0.25, 0.5, 0.6, 0.7, 0.75, 0.8, 0.9, 0.95, 1.0), "hallucinated", f"by_rule or {VETO.format('t', 0.3)}"),
+    ("nli_entailment_veto_floor", (0.0, 0.1, 0.2, 0.3, 0.5, 0.9), "hallucinated", f"by_rule or {VETO.format(0.75, 't')}"),
+    ("embed_min_similarity", (-0.2, 0.0, 0.1, 0.2, 0.5, 0.72), "baseline_embed",
+     "r <> '' and case when c is null then jaccard >= 0.4 else c >= t end"),
+    ("embed_min_similarity", (-0.2, 0.0, 0.1, 0.2, 0.5, 0.72), "embedding_support",
+     f"not by_rule and not ({VETO.format(0.75, 0.3)}) and good = 'no_contradiction_evidence' and coalesce(c >= t, false) and len(gt) > 1 and shared >= 1"),
+    ("jaccard_min", (0.0, 0.1, 0.2, 0.25, 0.4, 0.5, 1.0), "baseline_embed",
+     "r <> '' and case when c is null then jaccard >= t else c >= 0.72 end"),
+)
+ORACLES["threshold_sweep"] = f"""{NUMBERED}, {LEAST},
+scored as (select * exclude (cosine), case when id % 3 > 0 then round(cosine, 9) end as c from cosines join least_nli using (id)),
+{_signals('scored')}, {_decide()}, flags as (select *, bad is not null as by_rule from decided)
+""" + " union all ".join(_grid(*x) for x in SWEEPS)
+
 ORACLES["metric_files"] = ORACLES["bootstrap_rate_ci"]
 
 

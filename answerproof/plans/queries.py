@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from answerproof.config import RULES_ONLY, Thresholds
 from answerproof.functions import numeric, text
+from answerproof.operators import score_store as score_store_jobs
 from answerproof.operators import (
     audit,
     decide,
@@ -25,6 +26,7 @@ from answerproof.operators import (
     schema,
     scores,
     signals,
+    sweep,
 )
 from answerproof.operators.signals import w
 from answerproof.plans import fixtures, jobs, views
@@ -300,6 +302,70 @@ def scorer_hook(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("id", F.round("embed_score", 9).alias("embed_score"))
 
 
+def _length_scorer() -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A stand-in for an entailment model: probabilities out of the lengths of both texts."""
+
+    def score(batch: pd.DataFrame) -> pd.DataFrame:
+        a, b = batch["premise"].str.len(), batch["hypothesis"].str.len()
+        contradiction = (a * 37 + b * 11) % 101 / 100.0
+        entailment = (1 - contradiction) * ((a * 53 + b * 7) % 101 / 100.0)
+        return batch.assign(
+            contradiction=contradiction, entailment=entailment, neutral=1 - contradiction - entailment
+        )
+
+    return score
+
+
+GRIDS = {
+    "nli_contradiction_veto": (0.0, 0.25, 0.5, 0.6, 0.7, 0.75, 0.8, 0.9, 0.95, 1.0),
+    "nli_entailment_veto_floor": (0.0, 0.1, 0.2, 0.3, 0.5, 0.9),
+    "embed_min_similarity": (-0.2, 0.0, 0.1, 0.2, 0.5, 0.72),
+    "jaccard_min": (0.0, 0.1, 0.2, 0.25, 0.4, 0.5, 1.0),
+}
+
+
+@query
+def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
+    half = F.when(F.col("id") % 3 > 0, F.round("embed_score", 9))
+    scored = scores.attach_nli(_with_cosine(spark, d), views.nli(spark, d)).withColumn("embed_score", half)
+    return sweep.threshold_sweep(scored, GRIDS, ["model"], LENIENT)
+
+
+ENTAILMENT_ONLY = Thresholds(enable_embeddings=False)
+
+
+@query
+def score_store(spark: SparkSession, d: str) -> DataFrame:
+    """Labels with kept scores, and how many pairs each run had to score: a part of the table first, then
+    all of it, then all of it again."""
+    qa, path = views.qa(spark, d), _folder(spark, "scores")
+    runs = []
+    for rows in (qa.filter("id % 3 = 0"), qa, qa):
+        pairs = score_store_jobs.pairs_to_score(rows, ENTAILMENT_ONLY)
+        runs.append(score_store_jobs.score_missing(pairs, path, _length_scorer))
+    scored = score_store_jobs.attach_stored(qa, path, ENTAILMENT_ONLY)
+    labelled = decide.label_pairs(scored, ENTAILMENT_ONLY, diagnostics=True)
+    parts = {
+        "nli_entailment": "nli_fwd.entailment", "nli_contradiction": "nli_fwd.contradiction",
+        "nli_entailment_reverse": "nli_rev.entailment", "nli_contradiction_reverse": "nli_rev.contradiction",
+    }
+    return labelled.select(
+        "id", "reason", "nli_contradiction_veto",
+        *[F.round(c, 9).alias(name) for name, c in parts.items()],
+        *[F.lit(n).cast("bigint").alias(f"scored_{i}") for i, n in enumerate(runs, 1)],
+    )
+
+
+@query
+def flags_from_store(spark: SparkSession, d: str) -> DataFrame:
+    """Flags alone need fewer pairs: those no rule has decided."""
+    qa, path = views.qa(spark, d), _folder(spark, "scores")
+    pairs = score_store_jobs.pairs_to_score(qa, ENTAILMENT_ONLY, for_reason=False)
+    scored = score_store_jobs.score_missing(pairs, path, _length_scorer)
+    flagged = decide.flag_pairs(score_store_jobs.attach_stored(qa, path, ENTAILMENT_ONLY), ENTAILMENT_ONLY)
+    return flagged.select("id", "hallucinated", F.lit(scored).cast("bigint").alias("scored"))
+
+
 # ---- shaping --------------------------------------------------------------------------------
 
 
@@ -560,7 +626,10 @@ def sampling_design(spark: SparkSession, d: str) -> DataFrame:
 @query
 def audit_composition(spark: SparkSession, d: str) -> DataFrame:
     model = F.concat(F.lit("m"), F.col("cluster_id") % 4)
-    return audit.composition(_audited(spark, d).withColumn("model", model), PRIORITIES)
+    # some rows without a flag, which count as negative
+    flag = F.when(F.col("id") % 13 > 0, F.col("detector_hallucinated"))
+    rows = _audited(spark, d).withColumns({"model": model, "detector_hallucinated": flag})
+    return audit.composition(rows, PRIORITIES[:4], rest="other")
 
 
 # ---- reviewer statistics --------------------------------------------------------------------

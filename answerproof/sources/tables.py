@@ -296,19 +296,32 @@ def write_labeled(df: DataFrame, out: str, by: Sequence[str] = ("run", "source")
 def write_prompts(df: DataFrame, out: str) -> None:
     """A prompt set, every cell quoted, columns in order; replaces an earlier one, refuses none.
 
-    An earlier set goes only when the new one is complete.
+    The new set is complete before the earlier one is renamed aside, and that one is dropped when the
+    new set is in its place: at any moment one of them is there whole. A name with ``.old-`` that is left
+    behind is an earlier set whose replacement was cut short.
     """
     ordered = df.select(*PROMPT_COLUMNS)
     if is_empty(ordered):
         raise ValueError("refusing to write an empty prompt set")
-    fresh = f"{out.rstrip('/')}.new-{uuid.uuid4().hex}"
+    place, tag = out.rstrip("/"), uuid.uuid4().hex
+    fresh, aside = f"{place}.new-{tag}", f"{place}.old-{tag}"
     _write_csv(ordered.write, fresh, "errorifexists", quoteAll=True)
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (out, fresh))
+    old, new, earlier = (jvm.org.apache.hadoop.fs.Path(p) for p in (place, fresh, aside))
     store = old.getFileSystem(conf)
-    store.delete(old, True)
-    if not store.rename(new, old):
+    replaced = store.exists(old)
+    if replaced and not store.rename(old, earlier):
+        raise OSError(f"the new set is in {fresh}; {out} could not be renamed")
+    moved = False
+    try:
+        moved = store.rename(new, old)
+    finally:
+        if replaced and not moved:
+            store.rename(earlier, old)
+    if not moved:
         raise OSError(f"the new set is in {fresh}, but could not be renamed to {out}")
+    if replaced:
+        store.delete(earlier, True)
 
 
 def write_audit(df: DataFrame, out: str) -> None:
