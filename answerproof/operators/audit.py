@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from answerproof.functions.flags import flag_of, hash_key
+from answerproof.operators.distinct import distinct_counts, group_bitmaps, with_total
 from answerproof.operators.ranking import join_on, take_by_hash
 from answerproof.operators.rates import LABEL
 from answerproof.operators.small import settle
@@ -188,11 +189,12 @@ def sampling_design(
 
     def counts(df: DataFrame, prefix: str) -> DataFrame:
         told = flag_of(df, flag)
-        return df.groupBy(category).agg(
-            F.count_if(told).alias(f"{prefix}_positives"),
-            F.count_if(~told).alias(f"{prefix}_negatives"),
-            F.count_distinct(prompt).alias(f"{prefix}_prompts"),
+        rows = df.groupBy(category).agg(
+            F.count_if(told).alias(f"{prefix}_positives"), F.count_if(~told).alias(f"{prefix}_negatives")
         )
+        named = df.select(category, F.md5(F.col(prompt).cast("string").cast("binary")).alias("__prompt"))
+        prompts = distinct_counts(group_bitmaps(named, [category], "__prompt"), [category], f"{prefix}_prompts")
+        return join_on(rows, prompts, [category], "left").fillna(0, [f"{prefix}_prompts"])
 
     both = join_on(counts(frame, "frame"), counts(audited, "audited"), [category], "left")
     zero = {c: 0 for c in both.columns if c.startswith("audited")}
@@ -364,27 +366,22 @@ def audit_structure(
 ) -> DataFrame:
     """Rows, distinct prompts, distinct prompt-response pairs and positives, with a total.
 
-    Texts are compared by 128-bit digests, so no text is shuffled. A missing prompt is none.
+    Texts are compared by 128-bit digests, so no text is shuffled, and the total merges the groups'
+    bitmaps. A missing prompt is none. Groups are settled when this is called.
     """
-    told = flag_of(df, flag)
     digest = {
         "__prompt": F.md5(F.col(prompt).cast("binary")),
-        "__pair": F.concat(
-            *[F.coalesce(F.md5(F.col(c).cast("binary")), F.lit("-")) for c in (prompt, response)]
+        "__pair": F.md5(
+            F.concat(*[F.coalesce(F.md5(F.col(c).cast("binary")), F.lit("-")) for c in (prompt, response)])
         ),
+        "__one": F.lit(1),
+        "__told": flag_of(df, flag).cast("int"),
     }
-    return (
-        df.withColumns(digest)
-        .rollup(by)
-        .agg(
-            _rollup_name(by).alias("group"),
-            F.count(F.lit(1)).alias("n"),
-            F.count_distinct("__prompt").alias("prompts"),
-            F.count_distinct("__pair").alias("pairs"),
-            F.count_if(told).alias("positives"),
-        )
-        .drop(by)
+    rows = df.withColumns(digest).select(by, *digest)
+    found = with_total(
+        rows, by, {"__prompt": "prompts", "__pair": "pairs"}, {"__one": "n", "__told": "positives"}, TOTAL
     )
+    return found.select("group", "n", "prompts", "pairs", "positives")
 
 
 def error_labels(

@@ -6,7 +6,9 @@ contradicting only on positive evidence; everything else is accepted.
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Sequence
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
@@ -49,6 +51,20 @@ ACCEPTING_REASONS = (
 )
 
 
+# Columns that labelling adds, and those it adds with diagnostics.
+DECIDED = (
+    "hallucinated", "accepted", "reason", "baseline_exact", "baseline_embed", "baseline_embed_score",
+    "baseline_embed_method",
+)
+DIAGNOSED = (
+    "normalized_substring", "token_subsequence", "jaccard", "numeric_match", "numeric",
+    "numeric_conflict_if_present", "numeric_alternative_conflict", "embedding_gate", "embedding_match",
+    "nli_entail_min", "nli_contradiction_max", "nli_contradiction_veto", "contradiction_heuristic",
+    "unavailability_claim", "weak_passes", "weak_required", "normalized_response",
+    "normalized_correct_answer",
+)
+
+
 def _first_reason(names: tuple[str, ...], hits: list[Column]) -> Column:
     chain = F.when(hits[0], names[0])
     for name, hit in zip(names[1:], hits[1:]):
@@ -149,14 +165,17 @@ def label_pairs(
     response: str = "model_response",
     gold: str = "correct_answer",
     diagnostics: bool = False,
+    where: Sequence[str] = (),
 ) -> DataFrame:
     """Add the decision, its reason and the baseline columns to a table of pairs.
 
     Optional score columns are picked up by name: ``embed_score``, ``nli_entail_min`` and
     ``nli_contradiction_max``. With ``diagnostics`` every signal is added too, always with the same
-    schema; signals are NULL for an empty response.
+    schema; signals are NULL for an empty response. ``where``: conditions on the result; those on columns
+    of the table alone are applied to it before anything is computed, so they reach its scan.
     """
-    df = _decided(df, th, response, gold)
+    before, after = split_conditions(where, DECIDED if not diagnostics else DECIDED + DIAGNOSED)
+    df = _decided(_filtered(df, before), th, response, gold)
     answered = w("resp") != ""
     accepting = _first_reason(
         ACCEPTING_REASONS,
@@ -207,7 +226,7 @@ def label_pairs(
         }
         added |= {name: F.when(answered, c) for name, c in plain.items()}
         added |= {"normalized_response": w("resp"), "normalized_correct_answer": w("gold")}
-    return _observed(drop_working(df.withColumns(added)))
+    return _filtered(_observed(drop_working(df.withColumns(added))), after)
 
 
 def flag_pairs(
@@ -215,13 +234,38 @@ def flag_pairs(
     th: Thresholds = Thresholds(),
     response: str = "model_response",
     gold: str = "correct_answer",
+    where: Sequence[str] = (),
 ) -> DataFrame:
     """Only the yes/no decision; signals that merely explain an acceptance are pruned away.
 
-    With the strict policy an entailment score is needed only where no rule decides.
+    With the strict policy an entailment score is needed only where no rule decides. ``where`` as in
+    ``label_pairs``.
+    """
+    before, after = split_conditions(where, DECIDED[:1])
+    df = _decided(_filtered(df, before), th, response, gold, for_reason=False)
+    flagged = df.withColumn("hallucinated", w("contradiction").isNotNull())
+    return _filtered(_observed(drop_working(flagged)), after)
+
+
+def split_conditions(where: Sequence[str], added: Sequence[str]) -> tuple[list[str], list[str]]:
+    """Conditions on a table's own columns, and those that name a column that is added to it.
+
+    Labelling cannot be left to the optimiser for this: the fence above it and Unicode normalisation
+    below keep a filter on the result where it is.
     """
-    df = _decided(df, th, response, gold, for_reason=False)
-    return _observed(drop_working(df.withColumn("hallucinated", w("contradiction").isNotNull())))
+    late = {c.lower() for c in added}
+    before, after = [], []
+    for condition in where:
+        bare = re.sub(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"", " ", condition)
+        names = {n.lower() for n in re.findall(r"[A-Za-z_]\w*", bare)}
+        (after if names & late else before).append(condition)
+    return before, after
+
+
+def _filtered(df: DataFrame, conditions: Sequence[str]) -> DataFrame:
+    for condition in conditions:
+        df = df.filter(condition)
+    return df
 
 
 def _observed(df: DataFrame) -> DataFrame:

@@ -162,6 +162,62 @@ def keyword_matches(
     return exploded.join(keywords.select("keyword"), "keyword")
 
 
+# Borders between runs of word characters and runs of others.
+BORDER = r"(?U)\b"
+
+
+def segments(text: Column | str) -> Column:
+    """A text in lower case as runs of word characters and runs of others, one after the other."""
+    return F.filter(F.split(F.lower(text_or_empty(text)), BORDER), lambda s: s != "")
+
+
+def phrase_matches(
+    df: DataFrame, phrases: DataFrame, prompt: str = "prompt", carry: Sequence[str] = (LABEL,)
+) -> DataFrame:
+    """Rows × phrases their prompt contains between word borders, in any case; each pair once.
+
+    For keywords of several words, or with signs in them; ``phrases`` has them as ``keyword``. Such a
+    phrase is a number of whole segments, so a row emits its distinct runs of as many segments as some
+    phrase has, and an equi-join finds the phrases among them: no pattern is matched per phrase. The
+    numbers of segments are read when this is called. A phrase without a word character is not looked for.
+    """
+    cut = phrases.select("keyword").distinct().withColumn("__parts", segments("keyword"))
+    cut = settle(cut.filter(F.col("keyword").rlike(r"(?U)\w")))
+    sizes = sorted(r[0] for r in cut.select(F.size("__parts")).distinct().collect())
+    if not sizes:
+        return df.select(*carry, F.lit("").alias("keyword")).limit(0)
+    word = r"(?U)^\w"
+
+    def runs(v: Column) -> Column:
+        parts = v["parts"]
+
+        def of_size(size: int) -> Column:
+            places = F.sequence(F.lit(1), F.size(parts) - size + 1)
+            # a border in front of signs needs a word before them, one behind signs a word after them
+            inside = F.filter(
+                F.when(F.size(parts) >= size, places).otherwise(F.array().cast("array<int>")),
+                lambda i: ((i > 1) | F.get(parts, i - 1).rlike(word))
+                & ((i + size - 1 < F.size(parts)) | F.get(parts, i + size - 2).rlike(word)),
+            )
+            return F.transform(inside, lambda i: F.array_join(F.slice(parts, i, size), ""))
+
+        return F.array_distinct(F.concat(*[of_size(size) for size in sizes]))
+
+    found = df.select(*carry, F.explode_outer(bound({"parts": segments(prompt)}, runs)).alias("__run"))
+    keyed = cut.select("keyword", F.array_join("__parts", "").alias("__run"))
+    return found.join(keyed, "__run").select(*carry, "keyword")
+
+
+def rate_by_phrase(
+    df: DataFrame, phrases: DataFrame, prompt: str = "prompt", label: str = LABEL
+) -> DataFrame:
+    """Rate among the prompts that contain each phrase; phrases without a prompt are left out."""
+    hits = phrase_matches(df, phrases, prompt, [label])
+    return hits.groupBy("keyword").agg(
+        share(flag_of(df, label)).alias("hallucination_rate"), F.count(F.lit(1)).alias("n")
+    )
+
+
 def rate_by_keyword(
     df: DataFrame,
     top_n: int = 10,

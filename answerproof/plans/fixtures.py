@@ -76,3 +76,17 @@ select concat('q', cast(cast(floor(o_orderkey / 3) as bigint) as varchar(20))) a
   when 2 then concat('New   ', o_orderstatus, ' . ') else ' ' end as answer
 from {orders}
 """
+
+# Coordinates south of the equator as answers, and five kinds of responses.
+COORDINATES = """
+select o_orderkey as id, concat(cast(m as varchar(20)), '.5 S') as correct_answer, case o_orderkey % 5
+ when 0 then concat(cast(m as varchar(20)), '.5 S')
+ when 1 then concat(cast(m as varchar(20)), '.5 N')
+ when 2 then concat('-', cast(m as varchar(20)), '.5')
+ when 3 then concat('-', cast(m as varchar(20)), '.5 or ', cast(m as varchar(20)), '.9')
+ else 'somewhere warm' end as model_response
+from (select o_orderkey, o_orderkey % 90 as m from {orders}) x
+"""
+
+# Phrases of several words or with signs, some in other case than the prompts.
+PHRASES = ("which customer", "PLACED ORDER", "rounded down, did", "in which nation", "live?", "order 1", "customer which")

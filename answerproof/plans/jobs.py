@@ -32,13 +32,16 @@ from answerproof.sources.tables import LABELED_COLUMNS
 
 
 def label_answers(
-    df: DataFrame, th: Thresholds = RULES_ONLY, keep: Sequence[str] = ()
+    df: DataFrame, th: Thresholds = RULES_ONLY, keep: Sequence[str] = (), where: Sequence[str] = ()
 ) -> DataFrame:
     """Label cleaned answers the way the batch job reports them.
 
     Both sides are stripped first, and blank answers count as abstentions: not hallucinated, with the
-    reasoning still saying ``empty_response``.
+    reasoning still saying ``empty_response``. ``where``: conditions on the table's columns, applied to
+    its scan.
     """
+    for condition in where:
+        df = df.filter(condition)
     stripped = df.withColumns(
         {"__answer": strip("model_response"), "__correct": strip("correct_answer")}
     )

@@ -502,6 +502,37 @@ scored as (select * exclude (cosine), case when id % 3 > 0 then round(cosine, 9)
 {_signals('scored')}, {_decide()}, flags as (select *, bad is not null as by_rule from decided)
 """ + " union all ".join(_grid(*x) for x in SWEEPS)
 
+ORACLES["coordinate_signals"] = """with x as (select o_orderkey as id, o_orderkey % 5 as v, o_orderkey % 90 + 0.5::double as deg from orders)
+select id, v in (0, 2, 3) as numeric_match, -deg as gold,
+ case v when 0 then -deg when 1 then deg when 2 then -deg when 3 then -deg end as resp,
+ v in (0, 1) as conflict, v = 3 as alternatives, cast(case v when 3 then 1 else 0 end as int) as n_differing,
+ case v when 0 then 'numeric_conflict' when 1 then 'numeric_conflict' when 2 then 'numeric_match'
+  when 3 then 'numeric_alternative_conflict' else 'no_contradiction_evidence' end as reason from x"""
+ORACLES["label_pairs_of_a_model"] = f"{WITH_DECISION} {DECISION} where model = 'm1' and id % 2 = 0 and hallucinated"
+ORACLES["attach_keyed_generations"] = f"""with qa as ({QA})
+select model as run, template as source, id, case when id % 11 > 0 then model_response end as model_response_raw from qa"""
+ORACLES["audit_files"] = ORACLES["audit_set"]
+ORACLES["processed_files"] = f"""{LABELLED} select prompt, model_response, cast(not hallucinated as int) as is_correct, hallucinated from labelled"""
+FEATURES = ("dollars", "customer", "nation", "order", "placed", "absent")
+ORACLES["sparse_correlation"] = (
+    f"""{LABELLED}, f as (select id, 'prompt_length' as x, cast(length(prompt) as double) as v from labelled
+ union all select id, 'response_length', cast(length(model_response) as double) from labelled
+ union all select id, 'hallucinated', cast(hallucinated as double) from labelled"""
+    + "".join(
+        f" union all select id, 'contains_{t}', cast(regexp_matches(lower(prompt), '\\b{t}\\b') as double) from labelled"
+        for t in FEATURES
+    )
+    + """),
+m as (select x from f group by x having min(v) < max(v)),
+p as (select a.x as x, b.x as y, corr(a.v, b.v) as r from f a join f b using (id) where a.x in (from m) and b.x in (from m) group by a.x, b.x),
+names as (select distinct x from f)
+select a.x as x, b.x as y, round(p.r, 9) as r from names a cross join names b left join p on p.x = a.x and p.y = b.x"""
+)
+ORACLES["rate_by_phrase"] = f"""{LABELLED}, k as (select unnest([{", ".join(map(_quoted, fixtures.PHRASES))}]) as keyword)
+select keyword, avg(cast(hallucinated as double)) as hallucination_rate, count(*) as n
+from labelled join k on regexp_matches(prompt, '(?i)' || case when regexp_matches(keyword, '^\\w') then '\\b' else '\\B' end
+ || regexp_escape(keyword) || case when regexp_matches(keyword, '\\w$') then '\\b' else '\\b' end) group by keyword"""
+
 ORACLES["metric_files"] = ORACLES["bootstrap_rate_ci"]
 
 

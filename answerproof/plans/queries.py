@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerproof.config import RULES_ONLY, Thresholds
-from answerproof.functions import numeric, text
+from answerproof.functions import flags, numeric, text
 from answerproof.operators import score_store as score_store_jobs
 from answerproof.operators import (
     audit,
@@ -31,7 +31,7 @@ from answerproof.operators import (
 from answerproof.operators.signals import w
 from answerproof.plans import fixtures, jobs, views
 from answerproof.session import shared_folder, spread, written
-from answerproof.sources import tables
+from answerproof.sources import keyed, tables
 from answerproof.streaming import labelling
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,6 +168,19 @@ def coordinate_values(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", numeric.coordinate(numeric.ascii_digits(F.col("can"))).alias("degrees"))
 
 
+@query
+def coordinate_signals(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.sql(fixtures.COORDINATES, orders=spread(views.read(spark, d, "orders")))
+    found = decide.label_pairs(rows, RULES_ONLY, diagnostics=True)
+    differing = F.coalesce(F.col("numeric_alternative_conflict.diff_alternatives"), F.array().cast("array<double>"))
+    return found.select(
+        "id", "numeric_match", "numeric.gold", "numeric.resp",
+        F.col("numeric_conflict_if_present.flag").alias("conflict"),
+        F.col("numeric_alternative_conflict.flag").alias("alternatives"),
+        F.size(differing).alias("n_differing"), "reason",
+    )
+
+
 # ---- decisions ------------------------------------------------------------------------------
 
 DECISION = (
@@ -186,6 +199,13 @@ def label_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _decision(decide.label_pairs(views.qa(spark, d), RULES_ONLY))
 
 
+@query
+def label_pairs_of_a_model(spark: SparkSession, d: str) -> DataFrame:
+    """Conditions on the table reach its scan, those on the label stay above it."""
+    conditions = ["model = 'm1'", "id % 2 = 0", "hallucinated"]
+    return _decision(decide.label_pairs(views.qa(spark, d), RULES_ONLY, where=conditions))
+
+
 @query
 def flag_pairs(spark: SparkSession, d: str) -> DataFrame:
     return decide.flag_pairs(views.qa(spark, d), RULES_ONLY).select("id", "hallucinated")
@@ -419,6 +439,21 @@ def attach_generations(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("run", "id", "model_response_raw")
 
 
+@query
+def attach_keyed_generations(spark: SparkSession, d: str) -> DataFrame:
+    """The same join on tables that are stored by their keys."""
+    qa = views.qa(spark, d).withColumnRenamed("model", "run").withColumn("source", F.col("template"))
+    tag = uuid.uuid4().hex
+    stored = [
+        keyed.save_keyed(side, f"{name}_{tag}", _folder(spark, name), 8)
+        for name, side in (
+            ("prompts", qa.select("run", "source", "id", "prompt")),
+            ("generations", qa.filter("id % 11 > 0").select("run", "source", "id", F.col("model_response").alias("model_response_raw"))),
+        )
+    ]
+    return schema.attach_generations(*stored).select("run", "source", "id", "model_response_raw")
+
+
 @query
 def one_to_one_violations(spark: SparkSession, d: str) -> DataFrame:
     return schema.one_to_one_violations(views.review(spark, d), ["category", "cluster_id"])
@@ -481,6 +516,31 @@ def metric_files(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def audit_files(spark: SparkSession, d: str) -> DataFrame:
+    out = _folder(spark, "audit")
+    tables.write_audit(audit_set(spark, d), out)
+    paths = [r.path for r in tables.discover(spark, out, "*.csv").collect()]
+    names = [*audit.AUDIT_COLUMNS, "source_file", "detector_hallucinated", "human_hallucinated", "human_notes"]
+    # a part without rows has a header all the same
+    cells = tables.read_cells(spark, paths, tables.header_of(tables.sample_file(spark, paths[0])))
+    return cells.select(*names).withColumns(
+        {"id": F.col("id").cast("bigint"), "detector_hallucinated": flags.as_bool("detector_hallucinated")}
+    )
+
+
+@query
+def processed_files(spark: SparkSession, d: str) -> DataFrame:
+    out = _folder(spark, "processed")
+    tables.write_processed(schema.add_features(_labelled(spark, d)), out)
+    paths = [r.path for r in tables.discover(spark, out, "*.csv").collect()]
+    cells = tables.read_cells(spark, paths, ["prompt", "model_response", "is_correct", "hallucinated"])
+    return cells.select(
+        "prompt", "model_response", F.col("is_correct").cast("int").alias("is_correct"),
+        flags.as_bool("hallucinated").alias("hallucinated"),
+    )
+
+
 # ---- rates ----------------------------------------------------------------------------------
 
 
@@ -518,6 +578,18 @@ def length_correlation(spark: SparkSession, d: str) -> DataFrame:
     return rates.correlation_matrix(rows).withColumn("r", F.round("r", 9))
 
 
+@query
+def sparse_correlation(spark: SparkSession, d: str) -> DataFrame:
+    """Lengths and label against the words of the prompts, as features of their own."""
+    rows = schema.add_features(_labelled(spark, d))
+    present = F.transform(keywords.words("prompt"), lambda t: F.concat(F.lit("contains_"), t))
+    features = [f"contains_{t}" for t in ("dollars", "customer", "nation", "order", "placed", "absent")]
+    found = rates.sparse_correlation(
+        rows.withColumn("present", present), "present", features, ["prompt_length", "response_length"]
+    )
+    return found.withColumn("r", F.round("r", 9))
+
+
 @query
 def template_extremes(spark: SparkSession, d: str) -> DataFrame:
     return rates.template_extremes(_labelled(spark, d), run="model", top=2)
@@ -535,6 +607,12 @@ def rate_by_keyword(spark: SparkSession, d: str) -> DataFrame:
     return found.select("keyword", "hallucination_rate", "n")
 
 
+@query
+def rate_by_phrase(spark: SparkSession, d: str) -> DataFrame:
+    phrases = spark.createDataFrame([(p,) for p in fixtures.PHRASES], "keyword string")
+    return keywords.rate_by_phrase(_labelled(spark, d), phrases)
+
+
 def _toxic_documents(spark: SparkSession, d: str) -> DataFrame:
     labels = views.read(spark, d, "labels").select("doc_id", (F.col("toxic") == 1).alias("toxic"))
     # a document without a label is not positive, but its words count
