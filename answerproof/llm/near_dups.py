@@ -20,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerproof.llm import common
@@ -117,6 +117,11 @@ def similarity(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> fl
     return float((u / total).sum())
 
 
+def _key(text: Column) -> Column:
+    """16-byte name of a text."""
+    return F.unhex(common.text_key(text))
+
+
 def _banded(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """tid, bands: once for each distinct text with a word, with the smallest id that has it."""
 
@@ -138,7 +143,7 @@ def _banded(docs: DataFrame, bands: int, rows: int) -> DataFrame:
         return pd.Series(out)
 
     named = docs.filter(F.col("text").isNotNull()).select(
-        "doc_id", common.text_key(F.col("text")).alias("tid"), keys("text").alias("bands")
+        "doc_id", _key(F.col("text")).alias("tid"), keys("text").alias("bands")
     )
     # partial results leave one row for each distinct text and task
     return named.groupBy("tid").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
@@ -147,7 +152,7 @@ def _banded(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 def _profiles(docs: DataFrame, needed: DataFrame) -> DataFrame:
     """tid, shingle hashes (sorted) and weights of the texts in ``needed`` (doc_id, tid)."""
     wanted = needed.select(F.col("doc_id").alias("__d"), F.col("tid").alias("__t"))
-    named = docs.select("doc_id", "text", common.text_key(F.col("text")).alias("tid"))
+    named = docs.select("doc_id", "text", _key(F.col("text")).alias("tid"))
     on = common.same(F.col("doc_id"), F.col("__d")) & (F.col("tid") == F.col("__t"))
     texts = named.join(wanted, on, "left_semi").dropDuplicates(["doc_id", "tid"])
 
@@ -211,6 +216,7 @@ def classes(docs: DataFrame, threshold: float = SIMILAR, bands: int = BANDS, row
     (smallest id, then text key; missing ids last). Equal texts are alike, empty ones too; missing
     texts are alike to nothing. Texts without a word have no shingles and equal only themselves.
     """
+    common.bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     reps = written(_banded(docs, bands, rows), "signatures")
     member = reps.select("tid", F.explode("bands").alias("band"))
@@ -236,13 +242,14 @@ def classes(docs: DataFrame, threshold: float = SIMILAR, bands: int = BANDS, row
         more = _verified(rest, profiles).filter(F.col("similar") >= threshold)
         links = links.unionByName(more.select(F.col("hub").alias("u"), F.col("tid").alias("v")))
         parts = components(links)
+    discard(sizes, crowded, pairs, profiles, known, rest)  # the components are a table by now
     label = F.coalesce("label", "tid")
     own = reps.join(parts, F.col("tid") == F.col("node"), "left").select("tid", "doc_id", label.alias("label"))
     lowest = own.groupBy("label").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")).alias("first")
     )
     placed = own.select("tid", "label").join(written(lowest, "classes"), "label").select("tid", F.col("first.doc_id").alias("class_id"), F.col("first").alias("f"))
-    every = docs.filter(F.col("text").isNotNull()).select("doc_id", common.text_key(F.col("text")).alias("tid")).distinct()
+    every = docs.filter(F.col("text").isNotNull()).select("doc_id", _key(F.col("text")).alias("tid")).distinct()
     found = every.join(placed, "tid").select(
         "doc_id",
         "tid",
@@ -262,18 +269,28 @@ def _remaining(
     similarity at most p q / (q + (1 - q) p) and p q / (p + (1 - p) q). Where this bound does not
     settle it, m is counted and the bound taken again, all inside the join: what comes out are links,
     but for weights that differ. A pair counts in the lowest band it shares.
+
+    Bands with the same members give the same pairs, so one of them is looked at; a text is copied for
+    each of these only. Its shingles go along as 32 bits of their hashes. Two that fall together could
+    hide a shared one, so the count is raised by how many did; shingles that look alike raise it too.
     """
     labelled = crowded.select("band", "tid").join(parts, F.col("tid") == F.col("node"), "left")
     labelled = labelled.select("band", "tid", F.coalesce("label", "tid").alias("label"))
-    mixed = labelled.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b"))
-    mixed = written(mixed.filter("a != b").select("band"), "mixed-bands")
+    members = [F.bit_xor(F.xxhash64(F.lit(i), "tid")).alias(f"x{i}") for i in (1, 2)]
+    mixed = labelled.groupBy("band").agg(
+        F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n"), *members
+    )
+    mixed = mixed.filter("a != b").groupBy("n", "x1", "x2").agg(F.min("band").alias("band"))
+    mixed = written(mixed.select("band"), "mixed-bands")
     inside = written(labelled.join(mixed, "band"), "mixed")
     held = profiles.join(inside.select("tid").distinct(), "tid")
     each = held.select("tid", F.explode(F.arrays_zip("p.h", "p.w")).alias("s")).select("tid", "s.h", "s.w")
     unique = each.groupBy("h").agg(F.count("*").alias("n"), F.min("tid").alias("tid"), F.min("w").alias("w"))
     unique = unique.filter("n = 1").groupBy("tid").agg(F.count("*").alias("ud"), F.sum("w").alias("uw"))
     total = F.aggregate("p.w", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    mass = held.select("tid", F.col("p.h").alias("h"), F.size("p.h").alias("d"), total.alias("n"))
+    short = F.array_distinct(F.transform("p.h", lambda h: F.shiftright(h, 32).cast("int")))
+    mass = held.select("tid", short.alias("h"), F.size("p.h").alias("d"), total.alias("n"))
+    mass = mass.withColumn("lost", F.col("d") - F.size("h"))
     mass = mass.join(unique, "tid", "left").join(
         inside.groupBy("tid").agg(F.collect_set("band").alias("bands")), "tid"  # at most one for each band
     )
@@ -294,7 +311,7 @@ def _remaining(
         & (F.col("label_") != F.col("label"))
         & possible(F.least("k", "k_"))
         & lowest
-        & possible(F.size(F.array_intersect("h", "h_")))
+        & possible(F.size(F.array_intersect("h", "h_")) + F.least("lost", "lost_"))
     )
     pairs = pairs.select(F.col("tid_").alias("hub"), "tid").distinct()
     done = known.select(F.least("hub", "tid").alias("x"), F.greatest("hub", "tid").alias("y"))
@@ -305,7 +322,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """One row for each row of ``docs``: doc_id, class_id, kept. Rows with a missing text are a class
     of their own. Of rows equal in id and text, each carries the mark of the document."""
     found = classes(docs, threshold)
-    named = docs.select("doc_id", common.text_key(F.col("text")).alias("__t"), F.col("text").isNull().alias("__none"))
+    named = docs.select("doc_id", _key(F.col("text")).alias("__t"), F.col("text").isNull().alias("__none"))
     found = found.select(F.col("doc_id").alias("__d"), "tid", "class_id", "first")
     on = common.same(F.col("doc_id"), F.col("__d")) & (F.col("__t") == F.col("tid")) & ~F.col("__none")
     joined = named.join(found, on, "left")
@@ -319,8 +336,9 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """One document of each class, with the columns of ``docs``; of repeated rows one. Rows with a
     missing text all stay."""
-    keep = classes(docs, threshold).filter("first").select(F.col("doc_id").alias("__d"), F.col("tid").alias("__t"))
-    on = common.same(F.col("doc_id"), F.col("__d")) & (common.text_key(F.col("text")) == F.col("__t"))
+    d, t = common.free_name(docs, "__d"), common.free_name(docs, "__t")
+    keep = classes(docs, threshold).filter("first").select(F.col("doc_id").alias(d), F.col("tid").alias(t))
+    on = common.same(F.col("doc_id"), F.col(d)) & (_key(F.col("text")) == F.col(t))
     filled = docs.filter(F.col("text").isNotNull()).join(keep, on)
-    one = filled.dropDuplicates(["__d", "__t"]).select(*docs.columns)
+    one = filled.dropDuplicates([d, t]).select(*docs.columns)
     return one.unionByName(docs.filter(F.col("text").isNull()))
