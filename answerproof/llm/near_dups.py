@@ -176,8 +176,10 @@ def _verified(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     def exact(a: pd.Series, x: pd.Series, b: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([similarity(*row) for row in zip(a, x, b, y)], dtype=float)
 
-    one = profiles.withColumnsRenamed({"tid": "hub", "p": "q"})
-    joined = pairs.join(profiles, "tid").join(one, "hub")
+    # both sides are renamed alike, so that one shuffle of the profiles serves both joins
+    one, other = (profiles.select(F.col("tid").alias(t), F.col("p").alias(p)) for t, p in (("hub", "q"), ("tid", "p")))
+    hubs = one.join(pairs.select("hub").distinct(), "hub")
+    joined = pairs.join(other, "tid").join(hubs, "hub")
     return joined.select("hub", "tid", exact("q.h", "q.w", "p.h", "p.w").alias("similar"))
 
 
@@ -284,7 +286,8 @@ def _remaining(
     mixed = written(mixed.select("band"), "mixed-bands")
     inside = written(labelled.join(mixed, "band"), "mixed")
     held = profiles.join(inside.select("tid").distinct(), "tid")
-    each = held.select("tid", F.explode(F.arrays_zip("p.h", "p.w")).alias("s")).select("tid", "s.h", "s.w")
+    # an outer explode: the filter that a plain one infers would make another shuffle of the profiles
+    each = held.select("tid", F.explode_outer(F.arrays_zip("p.h", "p.w")).alias("s")).select("tid", "s.h", "s.w")
     unique = each.groupBy("h").agg(F.count("*").alias("n"), F.min("tid").alias("tid"), F.min("w").alias("w"))
     unique = unique.filter("n = 1").groupBy("tid").agg(F.count("*").alias("ud"), F.sum("w").alias("uw"))
     total = F.aggregate("p.w", F.lit(0).cast("bigint"), lambda a, x: a + x)
@@ -297,7 +300,9 @@ def _remaining(
     mass = mass.withColumn("k", F.col("d") - F.coalesce("ud", F.lit(0)))
     mass = mass.withColumn("c", F.col("n") - F.coalesce("uw", F.lit(0))).drop("ud", "uw")
     inside = inside.join(mass, "tid")
-    one = inside.select(*[F.col(c) if c == "band" else F.col(c).alias(f"{c}_") for c in inside.columns])
+    # both sides are renamed, so that one shuffle serves both
+    one = inside.select(*[F.col(c).alias(c if c == "band" else f"{c}_") for c in inside.columns])
+    inside = inside.select(*[F.col(c).alias(c) for c in inside.columns])
 
     def possible(shared):
         p = F.least(F.col("c"), F.col("n") - F.col("d") + shared) / F.col("n")
