@@ -49,7 +49,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
         (F.col("pos") + 1).alias("pos"),
         "x.line",
         F.xxhash64("x.t").alias("h1"),
-        F.xxhash64("x.t", F.lit(1)).alias("h2"),
+        F.xxhash64(F.lit(1), "x.t").alias("h2"),  # the constant first: behind the text it would hash h1 only
         F.size(F.split("x.t", BLANKS)).alias("words"),
     )
 

@@ -388,3 +388,17 @@ def test_run_is_the_stages_in_order_and_keeps_only_their_results(spark):
     new = [name for name in os.listdir(folder) if name not in before]
     assert len(new) == 1 and new[0].startswith("corpus-")
     assert len(os.listdir(f"{folder}/{new[0]}")) == len(corpus_pipeline.STAGES)
+
+
+def test_the_two_halves_of_a_line_digest_are_independent(spark):
+    from answerproof.llm import line_runs
+
+    docs = spark.createDataFrame([(1, "first line\nsecond line\nthird")], "doc_id long, text string")
+    rows = line_runs.lines_of(docs).collect()
+    # a half that is made out of the other one adds nothing to it
+    of_half = spark.createDataFrame([(r["h1"],) for r in rows], "h1 long")
+    made = {r[0] for r in of_half.selectExpr("xxhash64(1, h1)").collect()}
+    seeded = {r["h2"] for r in rows}
+    assert len(seeded) == 3 and not made & seeded
+    chained = {r[0] for r in docs.selectExpr("explode(split(text, '\n')) as t").selectExpr("xxhash64(t, 1)").collect()}
+    assert not chained & seeded
