@@ -221,9 +221,10 @@ def detector(docs: DataFrame, model: Model):
                 held, rows = [], 0
         found += mixtures(held)
         lang, score, mixture = [], [], []
-        for weights in found:
+        for t, weights in zip(texts, found):
             best = int(weights.argmax())
-            known = weights[best] > 0
+            # marks count inside words, but alone they are no letters
+            known = weights[best] > 0 and any(map(str.isalpha, t))
             lang.append(m.languages[best] if known else "und")
             score.append(float(min(1.0, weights[best])) if known else 0.0)
             mixture.append({m.languages[i]: float(w) for i, w in enumerate(weights) if w > 0})

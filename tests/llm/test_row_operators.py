@@ -50,6 +50,14 @@ def test_languages_of_odd_rows(odd, none):
     assert languages.identify(none, F.lit(True)).count() == 0
 
 
+def test_marks_alone_are_no_letters(spark, odd):
+    docs = odd.select("doc_id", "text", "lang").filter("lang is not null")
+    model = languages.train(docs, F.lit(True))
+    texts = spark.createDataFrame([("\u2764\ufe0f",), ("\u0301\u0300 12",), ("e\u0301",)], "text string")
+    got = [r["l"]["lang_pred"] for r in texts.coalesce(1).select(languages.detector(texts, model)("text").alias("l")).collect()]
+    assert got[:2] == ["und", "und"] and got[2] != "und"
+
+
 def repeated(words):
     n = quality.WINDOW
     windows = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
