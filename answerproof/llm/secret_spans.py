@@ -28,8 +28,9 @@ KEYWORDS = ("passw", "secret", "token", "api")
 # a run is one match of the plain pattern; shorter ones fail its length and take nothing else along
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s:,.-]*?)-----END \1-----")
-SIGNED = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)")
+PEM_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{1,40})-----")
+PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s:,.\\-]*")
+DOTTED = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*){2,}")
 ENCODED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 KINDS = ("assign", "access", "hex", "pem", "der", "sshkey", "signed")
 BASE_KINDS = KINDS[:3]
@@ -141,39 +142,72 @@ def _object(run: str) -> dict | None:
     return value if isinstance(value, dict) else None
 
 
-def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
-    spans = []
-    if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
+def pem_spans(text: str) -> list[tuple[int, int, str]]:
+    """Blocks between a BEGIN mark and the END mark of the same label that comes next. Marks are found
+    in one pass, so headers without an end cost no more than other text."""
+    spans, begun = [], None
+    for mark in PEM_MARK.finditer(text):
+        if mark[1] == "BEGIN":
+            begun = mark
+            continue
+        if begun is not None and begun[2] == mark[2] and PEM_BODY.fullmatch(text, begun.end(), mark.start()):
+            # in strings of other formats line ends are written as escapes
+            block = text[begun.end() : mark.start()].replace("\\r", "").replace("\\n", "\n")
             # header lines of an encrypted block are no base64
-            body = "".join(x for x in m[2].strip().splitlines() if ":" not in x)
-            data = decoded(body)
-            enciphered = "ENCRYPTED" in m[2] and data is not None and len(data) >= MIN_KEY_BYTES
+            data = decoded("".join(x for x in block.strip().splitlines() if ":" not in x))
+            enciphered = "ENCRYPTED" in block and data is not None and len(data) >= MIN_KEY_BYTES
             if data and (enciphered or is_der_key(data) or is_ssh_key(data)):
-                spans.append((*m.span(), "pem"))
-    if "." in text and "eyJ" in text:
-        for m in SIGNED.finditer(text):
-            head = _object(m[1])
-            if head is not None and isinstance(head.get("alg"), str) and _object(m[2]) is not None:
-                spans.append((*m.span(), "signed"))
-    inside = [s[:2] for s in spans]
+                spans.append((begun.start(), mark.end(), "pem"))
+        begun = None
+    return spans
+
+
+def signed_spans(text: str) -> list[tuple[int, int, str]]:
+    """Header, payload and signature, parted by dots, wherever they begin in a dotted run."""
+    spans = []
+    for m in DOTTED.finditer(text):
+        parts, at, i = m[0].split("."), m.start(), 0
+        starts = []
+        for part in parts:
+            starts.append(at)
+            at += len(part) + 1
+        while i + 2 < len(parts):
+            # the first character of an encoded "{" is always this one
+            head = _object(parts[i]) if parts[i][:1] == "e" and len(parts[i]) >= 8 and len(parts[i + 1]) >= 4 else None
+            if head is not None and isinstance(head.get("alg"), str) and _object(parts[i + 1]) is not None:
+                spans.append((starts[i], starts[i + 2] + len(parts[i + 2]), "signed"))
+                i += 3
+            else:
+                i += 1
+    return spans
+
+
+def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
+    spans = pem_spans(text) if "-----BEGIN " in text else []
+    if "." in text:
+        spans += signed_spans(text)
+    inside = sorted(s[:2] for s in spans)
+    known = set(spans)
     for pattern in (ENCODED, HEX):
+        nth, until = 0, -1  # runs come in order, so what lies around them is found by going along
         for m in pattern.finditer(text):
-            if any(a <= m.start() < b for a, b in inside):
+            while nth < len(inside) and inside[nth][0] <= m.start():
+                until = max(until, inside[nth][1])
+                nth += 1
+            if m.start() < until:
                 continue
-            run = m[0]
-            options = []
+            run, data = m[0], None
             if pattern is HEX or re.fullmatch(r"[0-9A-Fa-f]+", run):
                 if len(run) % 2 == 0 and len(run) >= 2 * MIN_KEY_BYTES:
-                    options.append(bytes.fromhex(run))
+                    data = bytes.fromhex(run)
             else:
                 data = decoded(run)
-                if data:
-                    options.append(data)
-            for data in options:
-                kind = "sshkey" if is_ssh_key(data) else "der" if is_der_key(data) else None
-                if kind and (*m.span(), kind) not in spans:
-                    spans.append((*m.span(), kind))
+            if not data:
+                continue
+            kind = "sshkey" if is_ssh_key(data) else "der" if is_der_key(data) else None
+            if kind and (*m.span(), kind) not in known:
+                known.add((*m.span(), kind))
+                spans.append((*m.span(), kind))
     return spans
 
 

@@ -293,3 +293,30 @@ def test_secrets_of_odd_rows(odd, none):
     assert len(rows) == odd.count() and {r["n_hex"] for r in rows} == {0}
     assert secret_spans.scan(none).count() == 0
     assert secret_spans.redact(odd).columns == odd.columns
+
+
+def test_hostile_texts_take_time_in_proportion():
+    import time
+
+    token = base64.urlsafe_b64encode(b'{"a": 1}').decode().rstrip("=")
+    for text in ("-----BEGIN A-----\n" * 100_000, "-----BEGIN A----- x -----END B-----\n" * 50_000, f"{token}." * 100_000,
+                 f"{'ab' * 30} " * 30_000, "." * 1_000_000):
+        start = time.process_time()
+        secret_spans.confirmed_spans(text)
+        assert time.process_time() - start < 5
+
+
+def test_secrets_in_other_clothes():
+    b64 = base64.b64encode(KEY).decode()
+    url = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
+    payload = url(b'{"sub": 1}')
+    for head in (b'{"alg":"HS256"}', b'{ "alg" : "none" }', b'{\n"typ":"JWT","alg":"RS256"}'):
+        token = f"{url(head)}.{payload}.c2ln"
+        for text in (token, f"some_prefix.{token}", f"a.b.{token}.tail", f"x {token[:-4]} y", f"{token}.{token}"):
+            spans = [(a, b) for a, b, kind in secret_spans.confirmed_spans(text) if kind == "signed"]
+            assert spans and all(text[a:b].startswith(url(head)) for a, b in spans), text
+        assert len(secret_spans.confirmed_spans(f"{token}.{token}")) == 2
+    escaped = '{"private_key": "-----BEGIN PRIVATE KEY-----\\n' + b64[:64] + "\\n" + b64[64:] + '\\n-----END PRIVATE KEY-----\\n"}'
+    assert [k for _, _, k in secret_spans.confirmed_spans(escaped)] == ["pem"]
+    nested = f"-----BEGIN X-----\n-----BEGIN PRIVATE KEY-----\n{b64}\n-----END PRIVATE KEY-----\n-----END X-----"
+    assert [k for _, _, k in secret_spans.confirmed_spans(nested)] == ["pem"]
