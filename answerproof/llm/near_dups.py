@@ -169,8 +169,9 @@ def _profiles(docs: DataFrame, needed: DataFrame) -> DataFrame:
     return texts.select("tid", profile("text").alias("p"))
 
 
-def _verified(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
-    """``pairs`` (hub, tid) with their exact similarity."""
+def _verified(pairs: DataFrame, profiles: DataFrame, few: bool = False) -> DataFrame:
+    """``pairs`` (hub, tid) with their exact similarity. ``few``: pairs without a hot hub, for which only
+    the profiles in question are shuffled; a hot one is left to a join that can split it."""
 
     @F.pandas_udf("double")
     def exact(a: pd.Series, x: pd.Series, b: pd.Series, y: pd.Series) -> pd.Series:
@@ -178,8 +179,9 @@ def _verified(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
 
     # both sides are renamed alike, so that one shuffle of the profiles serves both joins
     one, other = (profiles.select(F.col("tid").alias(t), F.col("p").alias(p)) for t, p in (("hub", "q"), ("tid", "p")))
-    hubs = one.join(pairs.select("hub").distinct(), "hub")
-    joined = pairs.join(other, "tid").join(hubs, "hub")
+    if few:
+        one = one.join(pairs.select("hub").distinct(), "hub")
+    joined = pairs.join(other, "tid").join(one, "hub")
     return joined.select("hub", "tid", exact("q.h", "q.w", "p.h", "p.w").alias("similar"))
 
 
@@ -241,7 +243,7 @@ def classes(docs: DataFrame, threshold: float = SIMILAR, bands: int = BANDS, row
     parts = components(links)
     rest = written(_remaining(crowded, parts, profiles, known, threshold), "pairs")
     if not rest.isEmpty():
-        more = _verified(rest, profiles).filter(F.col("similar") >= threshold)
+        more = _verified(rest, profiles, few=True).filter(F.col("similar") >= threshold)
         links = links.unionByName(more.select(F.col("hub").alias("u"), F.col("tid").alias("v")))
         parts = components(links)
     discard(sizes, crowded, pairs, profiles, known, rest)  # the components are a table by now
