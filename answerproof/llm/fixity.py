@@ -4,12 +4,17 @@ The records of an archive, in the order of their offsets, are the leaves of a tr
 range of offsets and hashes the ranges and digests below it. Two replicas agree if their roots do.
 Where roots differ, only children of differing nodes are compared, level by level, down to the
 records. Only digests and offsets are shuffled, never record bytes.
+
+Leaves hash their offsets, so one record of another length makes all later ones differ. The records
+found by the descent are therefore matched by content and then by name, which tells those that changed
+from those that only moved, went missing or came in.
 """
 
 from __future__ import annotations
 
 import gzip
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -43,12 +48,15 @@ def archived(pages: DataFrame, archives: int | None = None) -> DataFrame:
     """Records of pages laid out in archives: archive, record (the page id), offset, length, digest.
 
     Pages are dealt to archives by a hash of the id, as many archives as the table needs, and lie
-    there in the order of the id, then of the digest. Missing ids share an archive and come first.
+    there in the order of the id, then of the digest. A missing id comes first in its archive, which
+    the url decides, or the digest where that is missing too. Missing fields are empty in the record;
+    pages repeated as a whole are records of their own; an empty table gives no records. Other columns
+    of ``pages`` play no part.
     """
     if archives is None:
         archives = max(1, -(-pages.count() // ARCHIVE_RECORDS))
-    made = pages.select(F.col("page_id").alias("record"), warc_record().alias("bytes"))
-    text = F.coalesce(F.col("record").cast("string"), F.lit("")).cast("binary")
+    made = pages.select(F.col("page_id").alias("record"), "url", warc_record().alias("bytes"))
+    text = F.coalesce(F.col("record").cast("string"), "url", F.sha2("bytes", 256)).cast("binary")
     rows = made.select(
         F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"), F.lit(archives)).alias("archive"),
         "record",
@@ -61,50 +69,106 @@ def archived(pages: DataFrame, archives: int | None = None) -> DataFrame:
 
 
 _VERSION = re.compile(rb"WARC/\d\.\d\r\n")
-
-
-def _records(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """Offset, length and bytes of the records of a file, plain or with a gzip member for each."""
-    if data[:2] == b"\x1f\x8b":
-        import zlib
-
-        at = 0
-        while at < len(data):
-            inflate = zlib.decompressobj(31)
-            plain = inflate.decompress(data[at:]) + inflate.flush()
-            size = len(data) - at - len(inflate.unused_data)
-            yield at, size, plain
-            at += size
-        return
-    at = 0
-    while m := _VERSION.match(data, at):
-        head = data.index(b"\r\n\r\n", at) + 4
-        size = re.search(rb"\r\nContent-Length:\s*(\d+)", data[m.start() : head], re.I)
-        end = min(len(data), head + int(size[1]) + 4)
-        yield at, end - at, data[at:end]
-        at = end
+_START = re.compile(rb"WARC/\d\.\d\r\n|\x1f\x8b\x08")
+_LENGTH = re.compile(rb"\r\nContent-Length:[ \t]*(\d{1,18})[ \t]*(?=\r\n)", re.I)
+_NAME = re.compile(rb"\r\nWARC-Record-ID:\s*(\S+)", re.I)
+_END = b"\r\n\r\n"
+CHUNK = 65_536  # compressed bytes inflated at a time
+
+
+def _member(data: bytes, at: int) -> tuple[int, bytes] | None:
+    """End and beginning of the gzip member at ``at``; None if it is damaged, checksum included."""
+    inflate, view, head, pos = zlib.decompressobj(31), memoryview(data), b"", at
+    try:
+        while not inflate.eof and pos < len(data):
+            part = view[pos : pos + CHUNK]
+            plain = inflate.decompress(part)
+            head = head if _END in head else head + plain
+            pos += len(part)
+    except zlib.error:
+        return None
+    if not inflate.eof or not _VERSION.match(head):
+        return None
+    return pos - len(inflate.unused_data), head.partition(_END)[0] + b"\r\n"
+
+
+class _Plain:
+    """Records that are not compressed. Marks are searched once, as positions only rise."""
+
+    def __init__(self, data: bytes):
+        self.data, self.blank, self.following = data, -1, -1
+
+    def at(self, at: int) -> tuple[int, bytes] | None:
+        """End and header of the record at ``at``; None if it is damaged."""
+        data = self.data
+        if self.blank < at:
+            found = data.find(_END, at)
+            self.blank = found if found >= 0 else len(data)
+        if self.following <= at:
+            following = _VERSION.search(data, at + 1)
+            self.following = following.start() if following else len(data)
+        if self.blank == len(data) or self.following < self.blank:  # no end, or another record before it
+            return None
+        head = data[at : self.blank + 2]
+        size = _LENGTH.search(head)
+        if not size:
+            return None
+        end = self.blank + 4 + int(size[1]) + 4
+        return (end, head) if data[end - 4 : end] == _END else None
+
+
+def _records(data: bytes) -> Iterator[tuple[int, int, bytes | None]]:
+    """Offset, length and header of the records of a file, plain or with a gzip member for each.
+
+    Together they cover the file. What is no whole record (a cut or foreign header, a length that does
+    not lead to a record's end, a member that fails its checksum, foreign bytes) is a range without a
+    header, up to the next place where a whole record begins.
+    """
+    plain, at, bad = _Plain(data), 0, None
+    while at < len(data):
+        found = None
+        if data.startswith(b"\x1f\x8b\x08", at):
+            found = _member(data, at)
+        elif _VERSION.match(data, at):
+            found = plain.at(at)
+        if found:
+            if bad is not None:
+                yield bad, at - bad, None
+                bad = None
+            yield at, found[0] - at, found[1]
+            at = found[0]
+        else:
+            bad = at if bad is None else bad
+            following = _START.search(data, at + 1)
+            at = following.start() if following else len(data)
+    if bad is not None:
+        yield bad, at - bad, None
 
 
 def read_warc(spark, path: str) -> DataFrame:
-    """archive (path), record (its WARC-Record-ID), offset, length, digest of the files at ``path``.
+    """archive (path), record (its WARC-Record-ID), offset, length, digest of the files at ``path``, and
+    ``damaged``: ranges that are no whole record, without a name, as ``_records`` finds them.
 
-    A task holds one file at a time; archives are cut into files of about a gigabyte by custom.
+    A task holds one file at a time; archives are cut into files of about a gigabyte by custom. An empty
+    file has no records.
     """
 
     def parse(batches):
         for batch in batches:
             for name, data in zip(batch["path"], batch["content"]):
                 rows = []
-                for at, size, plain in _records(data):
-                    named = re.search(rb"\r\nWARC-Record-ID:\s*(\S+)", plain[:4096], re.I)
-                    rows.append((name, named[1].decode() if named else None, at, size, _sha256(data[at : at + size])))
-                yield pd.DataFrame(rows, columns=["archive", "record", "offset", "length", "digest"])
+                for at, size, head in _records(data):
+                    named = _NAME.search(head or b"")
+                    record = named[1].decode("utf-8", "replace") if named else None
+                    rows.append((name, record, at, size, _sha256(memoryview(data)[at : at + size]), head is None))
+                yield pd.DataFrame(rows, columns=["archive", "record", "offset", "length", "digest", "damaged"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(parse, "archive string, record string, offset long, length long, digest string")
+    schema = "archive string, record string, offset long, length long, digest string, damaged boolean"
+    return files.mapInPandas(parse, schema)
 
 
-def _sha256(data: bytes) -> str:
+def _sha256(data: bytes | memoryview) -> str:
     import hashlib
 
     return hashlib.sha256(data).hexdigest()
@@ -118,7 +182,7 @@ def write_warc_file(path: str, records: list[bytes], packed: bool = False) -> No
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """archive, idx (0, 1, ... by offset), start, end, digest of the leaf, record."""
+    """archive, idx (0, 1, ... by offset), start, end, digest of the leaf, record, content (its digest)."""
     order = Window.partitionBy("archive").orderBy("offset", "digest")
     end = F.col("offset") + F.col("length")
     digest = F.sha2(
@@ -131,6 +195,7 @@ def leaves(records: DataFrame) -> DataFrame:
         end.alias("end"),
         digest.alias("digest"),
         F.col("record").cast("string").alias("record"),
+        F.col("digest").alias("content"),
     )
 
 
@@ -167,18 +232,62 @@ def height_for(*replicas: DataFrame, fanout: int = FANOUT) -> int:
     return height
 
 
+def _numbered(side: DataFrame, name: str) -> DataFrame:
+    """With ``n``: which of its archive's records with the same ``name`` a record is, by offset."""
+    order = Window.partitionBy("archive", name).orderBy("start", "idx")
+    return side.withColumn("n", F.row_number().over(order))
+
+
+def _matched(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
+    """x, y: records of the two replicas with the same archive, ``name`` and number, or one of them."""
+    one, two = _numbered(left, name), _numbered(right, name)
+    one = one.select(F.struct(*one.columns).alias("x"))
+    two = two.select(F.struct(*two.columns).alias("y"))
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in ("archive", name, "n")]
+    return one.join(two, same[0] & same[1] & same[2], "full")
+
+
+def _told_apart(left: DataFrame, right: DataFrame) -> DataFrame:
+    """What became of the records that differ: one row each, with its ``status``.
+
+    Equal content is a record that moved. Of the rest, equal names are a record that changed; then a
+    record is only in the left replica, or only in the right one. Among equals the order of offsets
+    decides.
+    """
+    by_content = written(_matched(left, right, "content"), "audit")
+    moved = by_content.filter("x is not null and y is not null").withColumn("status", F.lit("shifted"))
+    fields = [c for c in left.columns]
+    gone = by_content.filter("y is null").select(*[f"x.{c}" for c in fields])
+    new = by_content.filter("x is null").select(*[f"y.{c}" for c in fields])
+    status = F.when(F.col("y").isNull(), "missing").when(F.col("x").isNull(), "added").otherwise("changed")
+    rest = _matched(gone, new, "record").withColumn("status", status)
+    return moved.unionByName(rest).select(
+        F.lit("record").alias("what"),
+        *[F.coalesce(f"x.{c}", f"y.{c}").alias(c) for c in ("archive", "idx", "start", "end", "record")],
+        F.col("x.content").alias("left"),
+        F.col("y.content").alias("right"),
+        F.lit(False).alias("same"),
+        "status",
+        (F.col("y.start") - F.col("x.start")).alias("moved"),
+    )
+
+
 def audit(left: DataFrame, right: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """Compare two replicas (archive, record, offset, length, digest).
+    """Compare two replicas (archive, record, offset, length, digest); other columns play no part.
+
+    Rows: what ("root" of each archive, or "record" that differs), archive, idx, start, end (place in
+    the left replica, or in the right one where only that has it), record, left and right (digests; NULL
+    where a replica has none), same, status, moved.
 
-    Rows: what ("root" of each archive, or "record" that differs), archive, idx, start, end (offsets,
-    of the left replica if it has the node), record, left and right (digests; NULL where a replica has
-    no such node), same. Records inserted or lost shift what follows, which then differs as well, to
-    the end of the archive. An archive that one replica lacks differs as a whole.
+    Roots are ``same`` or ``differs``. Records are ``changed`` (another content under the name),
+    ``shifted`` (the same content elsewhere, as behind a record that became longer), ``missing`` or
+    ``added``; ``moved`` is the distance in bytes, NULL where a replica lacks the record. An archive
+    that one replica lacks differs as a whole. Records without a name are matched by their order;
+    repeated records too. Two empty replicas give no rows.
     """
     height = height_for(left, right, fanout=fanout)
     a, b = tree(left, height, fanout), tree(right, height, fanout)
-    out = None
-    suspect = None
+    roots = suspect = None
     for level in range(height, -1, -1):
         one, two = a[level], b[level]
         if suspect is not None:
@@ -188,21 +297,24 @@ def audit(left: DataFrame, right: DataFrame, fanout: int = FANOUT) -> DataFrame:
         one = one.select(F.col("archive").alias("a1"), F.col("idx").alias("i1"), F.struct(*one.columns).alias("x"))
         two = two.select(F.col("archive").alias("a2"), F.col("idx").alias("i2"), F.struct(*two.columns).alias("y"))
         pairs = one.join(two, F.col("a1").eqNullSafe(F.col("a2")) & (F.col("i1") == F.col("i2")), "full")
-        both = pairs.select(
-            F.coalesce("x.archive", "y.archive").alias("archive"),
-            F.coalesce("i1", "i2").alias("idx"),
-            F.coalesce("x.start", "y.start").alias("start"),
-            F.coalesce("x.end", "y.end").alias("end"),
-            (F.coalesce("x.record", "y.record") if level == 0 else F.lit(None).cast("string")).alias("record"),
-            F.col("x.digest").alias("left"),
-            F.col("y.digest").alias("right"),
-        ).withColumn("same", F.coalesce(F.col("left") == F.col("right"), F.lit(False)))
-        if level in (height, 0):
-            both = written(both, "audit")
-            shown = both if level == height else both.filter("not same")
-            shown = shown.withColumn("what", F.lit("root" if level == height else "record"))
-            out = shown if out is None else out.unionByName(shown)
-        suspect = both.filter("not same")
-        if level not in (height, 0):
-            suspect = written(suspect, "audit")
-    return out.select("what", "archive", "idx", "start", "end", "record", "left", "right", "same")
+        pairs = pairs.withColumn("same", F.coalesce(F.col("x.digest") == F.col("y.digest"), F.lit(False)))
+        pairs = written(pairs if level == height else pairs.filter("not same"), "audit")
+        if level == height:
+            roots = pairs.select(
+                F.lit("root").alias("what"),
+                *[F.coalesce(f"x.{c}", f"y.{c}").alias(c) for c in ("archive", "idx", "start", "end")],
+                F.lit(None).cast("string").alias("record"),
+                F.col("x.digest").alias("left"),
+                F.col("y.digest").alias("right"),
+                "same",
+                F.when(F.col("same"), "same").otherwise("differs").alias("status"),
+                F.lit(None).cast("bigint").alias("moved"),
+            )
+        suspect = pairs.filter("not same").select(
+            F.coalesce("x.archive", "y.archive").alias("archive"), F.coalesce("i1", "i2").alias("idx")
+        )
+    fields = ("archive", "idx", "start", "end", "record", "content")
+    ours, theirs = (
+        pairs.filter(f"{side} is not null").select(*[F.col(f"{side}.{c}").alias(c) for c in fields]) for side in "xy"
+    )
+    return roots.unionByName(_told_apart(ours, theirs))

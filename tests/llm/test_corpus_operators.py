@@ -1,7 +1,9 @@
 """Operators that compare documents, the mix, the archives and the pipeline."""
 
+import gzip
 import os
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -362,6 +364,94 @@ def test_warc_files_round_trip(spark, tmp_path, packed):
     assert all(r["same"] for r in fixity.audit(read, read).collect())
 
 
+def forty(spark, middle="é", gone=None):
+    """Records of 40 pages in one archive; the fourth one has ``middle`` in its text."""
+    rows = [(i, f"u{i}", "page " * i + (middle if i == 3 else "é")) for i in range(40) if i != gone]
+    return fixity.archived(spark.createDataFrame(rows, "page_id long, url string, html string"), 1)
+
+
+def statuses(found):
+    return sorted((r["status"], r["record"]) for r in found.collect() if r["what"] == "record")
+
+
+def test_a_record_of_another_length_is_one_change(spark):
+    found = fixity.audit(forty(spark), forty(spark, "e")).cache()
+    kinds = statuses(found)
+    assert [r for kind, r in kinds if kind == "changed"] == ["3"]
+    assert len(kinds) == 37 and sum(kind == "shifted" for kind, _ in kinds) == 36
+    assert {r["moved"] for r in found.collect() if r["status"] == "shifted"} == {-1}
+
+
+def test_a_lost_record_is_missing_or_added(spark):
+    kinds = statuses(fixity.audit(forty(spark), forty(spark, gone=20)))
+    assert [r for kind, r in kinds if kind == "missing"] == ["20"]
+    assert {kind for kind, _ in kinds} == {"missing", "shifted"} and len(kinds) == 20
+    kinds = statuses(fixity.audit(forty(spark, gone=20), forty(spark)))
+    assert [r for kind, r in kinds if kind == "added"] == ["20"]
+
+
+def test_repeated_records_are_matched_by_their_order(spark):
+    rows = [(0, 0, 10, "same"), (1, 10, 10, "same"), (2, 20, 10, "same"), (3, 30, 10, "other")]
+    table = spark.createDataFrame([(0, str(r), a, n, d) for r, a, n, d in rows], "archive int, record string, offset long, length long, digest string")
+    shorter = table.filter("record != '1'").withColumn("offset", F.expr("case when offset > 10 then offset - 10 else offset end"))
+    # leaves are places and contents, so the second of the equal records still stands where one stood
+    assert statuses(fixity.audit(table, shorter)) == [("missing", "2"), ("shifted", "3")]
+
+
+def whole(n):
+    body = f"body {n} ".encode() * 20
+    return b"WARC/1.1\r\nWARC-Record-ID: <r%d>\r\nContent-Length: %d\r\n\r\n" % (n, len(body)) + body + b"\r\n\r\n"
+
+
+def ranges(data):
+    found = list(fixity._records(data))
+    assert sum(size for _, size, _ in found) == len(data)
+    assert all(at + size == then for (at, size, _), (then, _, _) in zip(found, found[1:]))
+    return [None if head is None else fixity._NAME.search(head)[1].decode() for _, _, head in found]
+
+
+def test_damaged_archives_are_ranges_of_their_own():
+    a, b, c = whole(0), whole(1), whole(2)
+    assert ranges(b"") == []
+    assert ranges(a + b + c) == ["<r0>", "<r1>", "<r2>"]
+    assert ranges(b"garbage" + a + b) == [None, "<r0>", "<r1>"]
+    assert ranges(a + b.replace(b"Content-Length", b"Content-Lenght") + c) == ["<r0>", None, "<r2>"]
+    assert ranges(a + b[:30] + c) == ["<r0>", None, "<r2>"]  # a cut header
+    assert ranges(a + b[:-40] + c) == ["<r0>", None, "<r2>"]  # a cut body
+    assert ranges(a + b[:-40]) == ["<r0>", None]
+    assert ranges(a + c[:20]) == ["<r0>", None]
+    packed = [gzip.compress(r) for r in (a, b, c)]
+    assert ranges(b"".join(packed)) == ["<r0>", "<r1>", "<r2>"]
+    worn = bytearray(packed[1])
+    worn[len(worn) // 2] ^= 0xFF
+    assert ranges(packed[0] + bytes(worn) + packed[2]) == ["<r0>", None, "<r2>"]
+    assert ranges(packed[0] + packed[1][:-9]) == ["<r0>", None]
+    assert ranges(packed[0] + b"junk" + packed[2]) == ["<r0>", None, "<r2>"]
+
+
+def test_long_and_hostile_archives_take_linear_time():
+    many = gzip.compress(whole(1)) * 20_000
+    began = time.perf_counter()
+    assert len(list(fixity._records(many))) == 20_000
+    assert list(fixity._records(b"WARC/1.0\r\n" * 100_000)) == [(0, 1_000_000, None)]
+    assert time.perf_counter() - began < 20
+
+
+def test_damaged_files_are_audited(spark, tmp_path):
+    (tmp_path / "left").mkdir(), (tmp_path / "right").mkdir()
+    records = [whole(i) for i in range(30)]
+    (tmp_path / "left" / "x.warc").write_bytes(b"".join(records))
+    records[7] = records[7][:25]
+    (tmp_path / "right" / "x.warc").write_bytes(b"".join(records))
+    left, right = (
+        fixity.read_warc(spark, str(tmp_path / side)).withColumn("archive", F.substring_index("archive", "/", -1))
+        for side in ("left", "right")
+    )
+    assert left.filter("damaged").count() == 0 and right.filter("damaged").count() == 1
+    found = fixity.audit(left, right).filter("status in ('missing', 'added')").collect()
+    assert sorted((r["status"], r["record"]) for r in found) == [("added", None), ("missing", "<r7>")]
+
+
 # --- pipeline ------------------------------------------------------------------------------------
 
 
@@ -402,3 +492,14 @@ def test_the_two_halves_of_a_line_digest_are_independent(spark):
     assert len(seeded) == 3 and not made & seeded
     chained = {r[0] for r in docs.selectExpr("explode(split(text, '\n')) as t").selectExpr("xxhash64(t, 1)").collect()}
     assert not chained & seeded
+
+
+def test_components_of_chains_cycles_and_stars(spark):
+    chain = [(i, i + 1) for i in range(0, 60)]
+    cycle = [(100 + i, 100 + (i + 1) % 7) for i in range(7)]
+    star = [(299, 200 + i) for i in range(20)]
+    rows = chain + cycle + star + [(5, 5), (1, 0)]
+    got = near_dups.components(spark.createDataFrame(rows, "u long, v long")).collect()
+    want = {**{i: 0 for i in range(61)}, **{100 + i: 100 for i in range(7)}, **{200 + i: 200 for i in range(20)}, 299: 200}
+    assert len(got) == len(want) and {r["node"]: r["label"] for r in got} == want
+    assert near_dups.components(spark.createDataFrame([], "u long, v long")).count() == 0
