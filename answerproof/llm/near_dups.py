@@ -183,16 +183,24 @@ def _verified(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     return joined.select("hub", "tid", exact("q.h", "q.w", "p.h", "p.w").alias("similar"))
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether ``links`` (u > v, distinct) are stars around their smallest nodes: no node has two lower
+    neighbours, and none that has one is a lower neighbour itself."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("above"), F.lit(0).alias("below"))
+    ends = ends.unionByName(links.select(F.col("v").alias("node"), F.lit(0).alias("above"), F.lit(1).alias("below")))
+    each = ends.groupBy("node").agg(F.sum("above").alias("above"), F.max("below").alias("below"))
+    return each.agg(F.count_if((F.col("above") > 1) | (F.col("above") * F.col("below") > 0))).first()[0] == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label of every node of ``edges`` (u, v): the smallest node it is connected to.
 
-    Alternating large-star and small-star steps until the table stays the same; a few steps even for
+    Alternating large-star and small-star steps until only stars are left; a few steps even for
     long chains. Each step is a table of its own, so a lost executor repeats one step at most.
     """
     links = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     links = written(links.filter("u != v").distinct(), "links")
-    before = None
-    while True:
+    while not _settled(links):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -203,12 +211,9 @@ def components(edges: DataFrame) -> DataFrame:
         small = small.unionByName(lower.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
         old, links = links, written(small, "links")
         discard(old, least, large, lower)  # the new links are a table, nothing reads these again
-        now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
-        if now == before:
-            break
-        before = now
     roots = links.select(F.col("v").alias("node")).distinct().withColumn("label", F.col("node"))
-    return links.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots).distinct()
+    # every node that is no root has one link, so nothing stands twice
+    return links.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
 
 
 def classes(docs: DataFrame, threshold: float = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -241,9 +246,11 @@ def classes(docs: DataFrame, threshold: float = SIMILAR, bands: int = BANDS, row
     parts = components(links)
     rest = written(_remaining(crowded, parts, profiles, known, threshold), "pairs")
     if not rest.isEmpty():
-        more = _verified(rest, profiles).filter(F.col("similar") >= threshold)
-        links = links.unionByName(more.select(F.col("hub").alias("u"), F.col("tid").alias("v")))
-        parts = components(links)
+        more = written(_verified(rest, profiles).filter(F.col("similar") >= threshold), "similarities")
+        if not more.isEmpty():
+            stars = parts.select(F.col("node").alias("u"), F.col("label").alias("v"))
+            parts = components(stars.unionByName(more.select(F.col("hub").alias("u"), F.col("tid").alias("v"))))
+        discard(more)
     discard(sizes, crowded, pairs, profiles, known, rest)  # the components are a table by now
     label = F.coalesce("label", "tid")
     own = reps.join(parts, F.col("tid") == F.col("node"), "left").select("tid", "doc_id", label.alias("label"))
