@@ -318,3 +318,28 @@ def audit(left: DataFrame, right: DataFrame, fanout: int = FANOUT) -> DataFrame:
         pairs.filter(f"{side} is not null").select(*[F.col(f"{side}.{c}").alias(c) for c in fields]) for side in "xy"
     )
     return roots.unionByName(_told_apart(ours, theirs))
+
+
+def fold_shifted(found: DataFrame) -> DataFrame:
+    """The rows of ``audit`` with each run of neighbouring records that moved by the same distance as one
+    row: ``records`` counts them, start and end span them, ``record`` is the first one's name, and the
+    digests are NULL if there are several. All other rows have 1 in ``records``, roots NULL.
+
+    So the report grows with the damage, not with what lies behind it.
+    """
+    shifted = F.col("status") == "shifted"
+    along = Window.partitionBy("archive", "moved").orderBy("idx")
+    runs = found.filter(shifted).withColumn("run", F.col("idx") - F.row_number().over(along))
+    alone = F.count("*") == 1
+    runs = runs.groupBy("archive", "moved", "run").agg(
+        F.min("idx").alias("idx"),
+        F.min("start").alias("start"),
+        F.max("end").alias("end"),
+        F.min_by("record", "idx").alias("record"),
+        F.when(alone, F.min("left")).alias("left"),
+        F.when(alone, F.min("right")).alias("right"),
+        F.count("*").alias("records"),
+    )
+    runs = runs.withColumns({"what": F.lit("record"), "same": F.lit(False), "status": F.lit("shifted")})
+    rest = found.filter(~shifted).withColumn("records", F.when(F.col("what") == "record", F.lit(1).cast("bigint")))
+    return rest.unionByName(runs.drop("run"))

@@ -85,9 +85,9 @@ def second_copy(pages: DataFrame) -> DataFrame:
 
 
 def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roots of all archives of two replicas, and the records that differ."""
+    """Roots of all archives of two replicas, and the records that differ; those that only moved, by runs."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return fixity.audit(fixity.archived(pages), fixity.archived(second_copy(pages)))
+    return fixity.fold_shifted(fixity.audit(fixity.archived(pages), fixity.archived(second_copy(pages))))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
