@@ -156,14 +156,15 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     text are one document and share its fate.
     """
     text, removed = common.free_name(docs, "kept_text"), common.free_name(docs, "removed")
+    d, k, gone = (common.free_name(docs, name) for name in ("__d", "__k", "__lines"))
     found = later_copies(docs.select("doc_id", "text"), min_words)
-    found = found.select(F.col("d").alias("__d"), F.col("k").alias("__k"), F.col("lines").alias("__lines"))
-    on = common.same(F.col("doc_id"), F.col("__d")) & (common.text_key(F.col("text")) == F.col("__k"))
+    found = found.select(F.col("d").alias(d), F.col("k").alias(k), F.col("lines").alias(gone))
+    on = common.same(F.col("doc_id"), F.col(d)) & (common.text_key(F.col("text")) == F.col(k))
     rest = F.filter(
-        F.split("text", "\n", -1), lambda line, i: ~F.coalesce(F.array_contains("__lines", i), F.lit(False))
+        F.split("text", "\n", -1), lambda line, i: ~F.coalesce(F.array_contains(gone, i), F.lit(False))
     )
-    kept = F.when(F.col("__lines").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
+    kept = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
     joined = docs.join(found, on, "left")
     return joined.withColumns(
-        {text: kept, removed: F.coalesce("__lines", F.array().cast("array<int>"))}
-    ).drop("__d", "__k", "__lines")
+        {text: kept, removed: F.coalesce(gone, F.array().cast("array<int>"))}
+    ).drop(d, k, gone)

@@ -382,6 +382,15 @@ def test_a_record_of_another_length_is_one_change(spark):
     assert {r["moved"] for r in found.collect() if r["status"] == "shifted"} == {-1}
 
 
+def test_runs_of_shifted_records_are_one_row(spark):
+    found = fixity.audit(forty(spark), forty(spark, "e")).cache()
+    folded = [r for r in fixity.fold_shifted(found).collect() if r["what"] == "record"]
+    assert sorted((r["status"], r["record"], r["records"]) for r in folded) == [("changed", "3", 1), ("shifted", "4", 36)]
+    last = max(r["end"] for r in found.collect())
+    assert {r["end"] for r in folded if r["status"] == "shifted"} == {last}
+    assert fixity.fold_shifted(found.filter("what = 'root'")).count() == 1
+
+
 def test_a_lost_record_is_missing_or_added(spark):
     kinds = statuses(fixity.audit(forty(spark), forty(spark, gone=20)))
     assert [r for kind, r in kinds if kind == "missing"] == ["20"]
@@ -503,3 +512,14 @@ def test_components_of_chains_cycles_and_stars(spark):
     want = {**{i: 0 for i in range(61)}, **{100 + i: 100 for i in range(7)}, **{200 + i: 200 for i in range(20)}, 299: 200}
     assert len(got) == len(want) and {r["node"]: r["label"] for r in got} == want
     assert near_dups.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_names_the_operators_use_themselves_may_be_taken(spark):
+    rows = [(1, "one two three four five\nrest of one"), (2, "one two three four five\nother rest of two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = docs.withColumns({c: F.lit(1) for c in ("__d", "__k", "__t", "__lines", "__id", "__y", "__h", "tid", "d", "k")})
+    cut = line_runs.dedup_lines(docs).orderBy("doc_id").collect()
+    assert [r["kept_text"] for r in cut] == [rows[0][1], "other rest of two"]
+    assert all(r["__d"] == r["__k"] == r["__lines"] == 1 for r in cut)
+    kept = near_dups.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and kept.count() == 2
