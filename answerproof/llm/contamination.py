@@ -292,7 +292,7 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     def halves(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([split_item(t) for t in common.texts_of(text)], columns=["question", "answer"])
 
-    return benchmark.withColumn("__h", halves("text")).select("item_id", "__h.question", "__h.answer")
+    return benchmark.select("item_id", halves("text").alias("__h")).select("item_id", "__h.question", "__h.answer")
 
 
 def searcher(shared):

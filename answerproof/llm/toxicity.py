@@ -212,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Inde
     ]
     chosen = parts[0].unionByName(parts[1]).select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__y"))
     # at most 2 * FIT_ROWS short rows
-    fitted = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("__id", "__y", "text")
+    fitted = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("__id", "__y", "text")
 
     def partial_counts(batches):
         for batch in batches:
