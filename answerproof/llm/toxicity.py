@@ -1,114 +1,144 @@
 """Toxicity scores from the nearest labelled examples.
 
-Exact cosine between TF-IDF vectors, found through an inverted index whose postings are cut into
-blocks of examples with the largest weight of each block kept beside them. The neighbours vote with
-their squared similarity; the vote is calibrated on labelled rows that are not in the index.
+Exact cosine between TF-IDF vectors over whole texts and their whole vocabulary (words cut to their
+first ``STEM`` letters), found through an inverted index: the postings of a term are cut by blocks of
+examples, with the largest weight of each block kept beside them. The nearest examples, toxic or not, vote with their squared similarity; the
+vote is calibrated on labelled rows that are not in the index.
+
+The weight of a term is (1 + ln tf) * idf * rf. The relevance frequency rf = log2(2 + a / max(1, c))
+compares the toxic rows a with the clean rows c (brought to the same number of rows) that hold the
+term. It is 1 or more for every term, so none is cut, and texts that share all words have cosine 1
+whatever their words are. Without it a few insults weigh nothing against hundreds of common words.
 
 What is fitted is a classifier on a bounded sample of labelled rows (``FIT_ROWS`` of each class,
-the smallest hashes of the id): terms, idf, examples and calibration. It is the only data that
-passes through the driver. Every text is then scored in one pass without a shuffle.
+the smallest hashes of the id): document frequencies, examples and calibration. The index holds the
+words of at most ``EXAMPLES`` texts of each class as 64-bit hashes, and is the only thing that passes
+through the driver. Every text is then scored in one pass without a shuffle.
 """
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerproof.llm import common
-from answerproof.session import written
+from answerproof.session import discard, written
 
 FIT_ROWS = 12_000  # labelled rows of each class that the classifier is fitted on
-EXAMPLES = 2_048  # of these, rows of each class that are indexed
-MAX_TERMS = 20_000  # features, the most telling ones
-MIN_ROWS, MIN_LIFT, MIN_CHI2 = 4, 3.0, 12.0
-ENOUGH = 4  # terms that a toxic row needs; further terms must tell about other rows
+EXAMPLES = 1_024  # of these, rows of each class that are indexed; at most three quarters of a class
+STEM = 6  # letters of a word that count, so that inflected and compound words share a term
 NEIGHBOURS = 25
 BLOCK = 64
-NO_VOTE = 0.02  # weight of the silent vote for "not toxic"
+VISIT = 8  # blocks that are looked at first
 CALIBRATION_BINS = 200
 ACCEPT = 0.7
 
 SCORE = "score double, predicted int, neighbours int, evidence string"
 
+_word_hash = functools.lru_cache(200_000)(xxhash.xxh64_intdigest)
+
+
+def terms_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct stems of a text, rising, and how often each occurs."""
+    counts = Counter(word[:STEM] for word in common.TOKEN.findall(text.lower()))
+    terms = np.fromiter(map(_word_hash, counts), np.uint64, len(counts))
+    order = np.argsort(terms)
+    return terms[order], np.fromiter(counts.values(), float, len(counts))[order]
+
+
+def term_weight(n: np.ndarray, bad: np.ndarray, rows: int, toxic: int) -> np.ndarray:
+    """idf * rf of terms that ``n`` rows hold, ``bad`` of them toxic, out of ``rows`` and ``toxic``."""
+    idf = np.log((rows + 1) / (n + 1)) + 1e-3
+    return idf * np.log2(2 + bad / np.maximum(1, (n - bad) * toxic / max(1, rows - toxic)))
 
-def counts_of(text: str) -> Counter:
-    """Words and their beginnings (inflected and compound words share these), with counts."""
-    words = Counter(common.TOKEN.findall(text.lower()))
-    terms = Counter(words)
-    for word, n in words.items():
-        for size in (4, 5):
-            if len(word) > size:
-                terms[f"{word[:size]}-"] += n
-    return terms
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (size[0] numbers), then the same of the next."""
+    end = np.cumsum(size)
+    return np.repeat(start - end + size, size) + np.arange(end[-1] if len(end) else 0)
 
 
 @dataclass
 class Index:
-    """Example vectors by term and block: ids within the block, weights, and their maximum."""
+    """Example vectors, inverted.
+
+    Term i (hash ``terms[i]``, rising) has the entries ``first[i]`` to ``first[i + 1]``, one for each
+    block of examples that holds it. Entry e tells the ``block``, the largest weight ``most`` in it
+    and its postings ``at[e]`` to ``at[e + 1]``: examples ``who`` and their ``weight``.
+    """
 
-    terms: dict[str, int]
-    idf: np.ndarray
+    terms: np.ndarray
+    scale: np.ndarray
+    unseen: float
     labels: np.ndarray
     ids: list
-    postings: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]
-    block_max: np.ndarray
+    first: np.ndarray
+    block: np.ndarray
+    most: np.ndarray
+    at: np.ndarray
+    who: np.ndarray
+    weight: np.ndarray
     knots: tuple[np.ndarray, np.ndarray] = field(default=(np.zeros(1), np.zeros(1)))
 
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        low = text.lower()
-        found: dict[int, int] = {}
-        get = self.terms.get
-        for word, n in Counter(common.TOKEN.findall(low)).items():
-            for term in (word, f"{word[:4]}-", f"{word[:5]}-") if len(word) > 5 else (
-                (word, f"{word[:4]}-") if len(word) > 4 else (word,)
-            ):
-                t = get(term)
-                if t is not None:
-                    found[t] = found.get(t, 0) + n
-        if not found:
+    def vector(self, terms: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Term numbers and weights of a vector of length 1. Terms that no example has are weighted as
+        if no row had them; they count in the length."""
+        if not len(terms):
             return np.empty(0, np.int64), np.empty(0)
-        ids = np.fromiter(found, np.int64, len(found))
-        weight = (1 + np.log(np.fromiter(found.values(), float, len(found)))) * self.idf[ids]
-        return ids, weight / np.sqrt((weight**2).sum())
+        at = np.minimum(np.searchsorted(self.terms, terms), max(0, len(self.terms) - 1))
+        known = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
+        weight = (1 + np.log(tf)) * (np.where(known, self.scale[at], self.unseen) if len(self.terms) else self.unseen)
+        weight /= np.sqrt((weight**2).sum())
+        return at[known], weight[known]
 
     def nearest(self, ids: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k largest cosines and their examples, ties by example number.
 
-        Blocks are visited by falling upper bound; a block whose bound is below the k-th best cosine
-        so far cannot hold a neighbour, nor can any after it.
+        The blocks with the largest upper bounds are visited first. Of the others, those whose bound is
+        below the k-th best cosine of these cannot hold a neighbour; the rest is visited together.
         """
-        bound = weight @ self.block_max[ids]
-        order = np.argsort(-bound, kind="stable")
         best, who = np.empty(0), np.empty(0, np.int64)
-        for b in order:
-            if bound[b] <= 0 or (len(best) == k and bound[b] < best[-1]):
+        size = self.first[ids + 1] - self.first[ids]
+        entry, w = _ranges(self.first[ids], size), np.repeat(weight, size)
+        if not len(entry):
+            return best, who
+        block = self.block[entry]
+        blocks = -(-len(self.ids) // BLOCK)
+        bound = np.bincount(block, w * self.most[entry], blocks)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        for group in (order[:VISIT], order[VISIT:]):
+            if len(best) == k:  # a margin for rounding: sums may be taken in another order
+                group = group[bound[group] >= best[-1] - 1e-9]
+            if not len(group):
                 break
-            acc = np.zeros(BLOCK)
-            for t, w in zip(ids, weight):
-                part = self.postings.get((int(t), int(b)))
-                if part is not None:
-                    acc[part[0]] += w * part[1]
-            hit = np.flatnonzero(acc > 0)
-            best, who = np.concatenate([best, acc[hit]]), np.concatenate([who, hit + b * BLOCK])
+            seen = np.zeros(blocks, bool)
+            seen[group] = True
+            chosen = np.flatnonzero(seen[block])
+            start = self.at[entry[chosen]]
+            long = self.at[entry[chosen] + 1] - start
+            posting = _ranges(start, long)
+            cosine = np.bincount(self.who[posting], np.repeat(w[chosen], long) * self.weight[posting], len(self.ids))
+            hit = np.flatnonzero(cosine >= best[-1]) if len(best) == k else np.flatnonzero(cosine)
+            best, who = np.concatenate([best, cosine[hit]]), np.concatenate([who, hit])
             top = np.lexsort((who, -best))[:k]
             best, who = best[top], who[top]
         return best, who
 
     def vote(self, text: str, k: int = NEIGHBOURS) -> tuple[float, int, str]:
         """Uncalibrated vote, number of neighbours, and the three nearest as evidence."""
-        ids, weight = self.vector(text)
-        if not len(ids):
-            return 0.0, 0, ""
-        best, who = self.nearest(ids, weight, k)
+        best, who = self.nearest(*self.vector(*terms_of(text)), k)
         if not len(best):
             return 0.0, 0, ""
         strength = best**2
-        raw = float((strength * self.labels[who]).sum() / (strength.sum() + NO_VOTE))
+        raw = float((strength * self.labels[who]).sum() / strength.sum())
         shown = " ".join(f"{self.ids[w]}:{int(self.labels[w])}:{s:.3f}" for s, w in zip(best[:3], who[:3]))
         return raw, len(best), shown
 
@@ -116,61 +146,38 @@ class Index:
         return np.clip(np.interp(raw, *self.knots), 0.0, 1.0)
 
 
-def choose_terms(stats: list[tuple[str, int, int]], toxic: int, rows: int) -> list[tuple[str, int]]:
-    """Terms much more frequent among toxic rows, by falling chi-square; with their row counts."""
-    clean = rows - toxic
-    kept = []
-    for term, bad, n in stats:
-        good = n - bad
-        if n < MIN_ROWS or bad / toxic < MIN_LIFT * (good + 0.5) / (clean + 1):
-            continue
-        det = bad * (clean - good) - good * (toxic - bad)
-        chi2 = rows * det * det / (toxic * clean * n * max(1, rows - n))
-        if chi2 >= MIN_CHI2:
-            kept.append((-chi2, term, n))
-    return [(term, n) for _, term, n in sorted(kept)[:MAX_TERMS]]
+def build(examples: list[tuple], known: tuple[np.ndarray, np.ndarray, np.ndarray], rows: int, toxic: int) -> Index:
+    """``examples``: (id, label, term hashes, counts), a bounded list. ``known``: the hashes of all terms
+    of the examples, rising, the rows that hold each, and the toxic rows that do."""
+    terms, n, bad = known
+    none = np.zeros(0, np.int64)
+    unseen = float(term_weight(np.zeros(1), np.zeros(1), rows, toxic)[0])
+    index = Index(terms, term_weight(n, bad, rows, toxic), unseen, np.empty(0), [], none, none, np.empty(0), none, none, np.empty(0))
+    vectors = [(i, y, *index.vector(t, c), c) for i, y, t, c in examples if len(t)]
 
+    def kin(v: tuple) -> tuple:
+        # like with like, so that the bounds of a block are tight: by the commonest word, which tells
+        # the language, then by the heaviest of the words that others have as well
+        _, _, ids, weight, tf = v
+        shared = np.where(n[ids] > 1, weight, 0)
+        return int(ids[np.argmax(tf * (n[ids] > rows / 50))]), v[1], int(ids[np.argmax(shared)]), str(v[0])
 
-def cover(terms: list[tuple[str, int]], rows: list[np.ndarray]) -> list[tuple[str, int]]:
-    """The terms that matter: in order, those that help enough rows which have too few terms yet.
-
-    ``rows`` are the toxic rows as term numbers. Chance words of a text that exists in many versions
-    are as telling as real ones, but only about rows that the real ones have covered already.
-    """
-    holders: list[list[int]] = [[] for _ in terms]
-    for r, ids in enumerate(rows):
-        for t in ids:
-            holders[t].append(r)
-    has = np.zeros(len(rows), int)
-    kept = []
-    for t, held in enumerate(holders):
-        new = int((has[held] < ENOUGH).sum())
-        if new >= max(MIN_ROWS, len(held) / 4):
-            has[held] += 1
-            kept.append(terms[t])
-    return kept
-
-
-def build(terms: list[tuple[str, int]], rows: int, examples: list[tuple]) -> Index:
-    """``examples``: (id, label, text), a bounded list."""
-    idf = np.log((rows + 1) / (np.array([n for _, n in terms], float) + 1)) + 1
-    index = Index({t: i for i, (t, _) in enumerate(terms)}, idf, np.empty(0), [], {}, np.empty(0))
-    vectors = [(i, y, *index.vector(t)) for i, y, t in examples]
-    vectors = [v for v in vectors if len(v[2])]
-    # like with like, so that the bounds of a block are tight
-    vectors.sort(key=lambda v: (int(v[2][np.argmax(v[3])]), -float(v[3].max()), str(v[0])))
-    blocks = max(1, -(-len(vectors) // BLOCK))
+    vectors.sort(key=kin)
     index.labels = np.array([v[1] for v in vectors], float)
     index.ids = [v[0] for v in vectors]
-    index.block_max = np.zeros((len(terms), blocks))
-    lists: dict[tuple[int, int], list] = {}
-    for n, (_, _, ids, weight) in enumerate(vectors):
-        for t, w in zip(ids, weight):
-            lists.setdefault((int(t), n // BLOCK), []).append((n % BLOCK, w))
-    for (t, b), pairs in lists.items():
-        where, weight = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
-        index.postings[t, b] = (where, weight)
-        index.block_max[t, b] = weight.max()
+    if not vectors:
+        index.first = np.zeros(len(terms) + 1, np.int64)
+        return index
+    term = np.concatenate([v[2] for v in vectors])
+    who = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(v[2]) for v in vectors])
+    weight = np.concatenate([v[3] for v in vectors])
+    order = np.lexsort((who, term))
+    term, who, weight = term[order], who[order], weight[order]
+    block = who // BLOCK
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(term) != 0) | (np.diff(block) != 0)]))
+    index.first = np.searchsorted(term[new], np.arange(len(terms) + 1))
+    index.block, index.most = block[new], np.maximum.reduceat(weight, new)
+    index.at, index.who, index.weight = np.append(new, len(term)).astype(np.int32), who, weight
     return index
 
 
@@ -213,17 +220,6 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Inde
     chosen = parts[0].unionByName(parts[1]).select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__y"))
     # at most 2 * FIT_ROWS short rows
     fitted = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("__id", "__y", "text")
-
-    def partial_counts(batches):
-        for batch in batches:
-            n, bad = Counter(), Counter()
-            for y, text in zip(batch["__y"], common.texts_of(batch["text"])):
-                terms = counts_of(text).keys()
-                n.update(terms)
-                if y:
-                    bad.update(terms)
-            yield pd.DataFrame({"term": list(n), "bad": [bad[t] for t in n], "n": list(n.values())})
-
     # copies of one text must not make its rare words look telling
     distinct = fitted.groupBy(common.text_key(F.col("text")).alias("k")).agg(
         F.min("__id").alias("__id"), F.max("__y").alias("__y"), F.first("text").alias("text")
@@ -231,69 +227,93 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Inde
     distinct = written(distinct, "toxicity-fit").select("__id", "__y", "text")
     sizes = {r["__y"]: r["n"] for r in distinct.groupBy("__y").agg(F.count("*").alias("n")).collect()}
     toxic, rows = sizes.get(1, 0), sum(sizes.values())
+    nothing = np.empty(0)
     if not toxic or toxic == rows:
-        empty = build([], max(1, rows), [])
+        empty = build([], (np.empty(0, np.uint64), nothing, nothing), max(1, rows), toxic)
         share = toxic / rows if rows else 0.0
         empty.knots = (np.array([0.0, 1.0]), np.array([share, share]))
         return empty
+    # the others of a class are kept out of the index, for the calibration
+    by_hash = F.xxhash64("__id", F.lit("example"))
+    taken = [
+        distinct.filter(F.col("__y") == y).select("__id").orderBy(by_hash, "__id").limit(min(EXAMPLES, -(-3 * sizes[y] // 4)))
+        for y in (0, 1)
+    ]
+    # at most 2 * EXAMPLES ids
+    taken = written(taken[0].unionByName(taken[1]), "toxicity-ids")
+
+    @F.pandas_udf("struct<t: array<long>, c: binary>")
+    def split(text: pd.Series) -> pd.DataFrame:
+        found = [terms_of(t) for t in common.texts_of(text)]
+        return pd.DataFrame({"t": [t.view(np.int64) for t, _ in found], "c": [c.astype("<i4").tobytes() for _, c in found]})
+
+    examples = distinct.join(F.broadcast(taken), "__id").select("__id", "__y", split("text").alias("s"))
+    examples = written(examples.select("__id", "__y", "s.t", "s.c"), "toxicity-examples")
+    vocabulary = examples.select(F.explode("t").alias("term")).distinct()
+
+    def partial_counts(batches):
+        for batch in batches:
+            pairs = [(y, terms_of(text)[0]) for y, text in zip(batch["__y"], common.texts_of(batch["text"]))]
+            every = np.concatenate([t for _, t in pairs] or [np.empty(0, np.uint64)])
+            toxic_row = np.repeat([float(y) for y, _ in pairs], [len(t) for _, t in pairs])
+            terms, where = np.unique(every, return_inverse=True)
+            bad = np.bincount(where, toxic_row, len(terms)).astype(np.int64)
+            yield pd.DataFrame({"term": terms.view(np.int64), "bad": bad, "n": np.bincount(where, minlength=len(terms))})
+
     stats = (
-        distinct.mapInPandas(partial_counts, "term string, bad long, n long")
+        distinct.mapInPandas(partial_counts, "term long, bad long, n long")
         .groupBy("term")
         .agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-        .filter(
-            (F.col("n") >= MIN_ROWS)
-            & (F.col("bad") / toxic >= MIN_LIFT * (F.col("n") - F.col("bad") + 0.5) / (rows - toxic + 1))
-        )
+        .join(vocabulary, "term", "left_semi")
     )
-    strongest = stats.orderBy(F.desc("bad"), "term").limit(5 * MAX_TERMS)
-    terms = choose_terms([tuple(r) for r in strongest.collect()], toxic, rows)
-    numbers = {t: i for i, (t, _) in enumerate(terms)}
-
-    @F.pandas_udf("array<int>")
-    def numbered(text: pd.Series) -> pd.Series:
-        return pd.Series([[numbers[t] for t in counts_of(x).keys() & numbers.keys()] for x in common.texts_of(text)])
-
-    told = distinct.filter("__y = 1").select(numbered("text").alias("t")).collect()  # at most FIT_ROWS rows
-    terms = cover(terms, [np.array(sorted(r["t"]), int) for r in told])
-    # half of a class is kept out of the index, for the calibration
-    number = F.row_number().over(
-        Window.partitionBy("__y").orderBy(F.xxhash64("__id", F.lit("example")), "__id")
-    )
-    # two groups of at most FIT_ROWS ids
-    placed = distinct.select("__id", "__y").withColumn("__n", number)
-    in_index = F.col("__n") <= F.least(F.lit(EXAMPLES), F.floor(F.when(F.col("__y") == 1, toxic).otherwise(rows - toxic) / 2))
-    examples = (
-        distinct.join(F.broadcast(placed.filter(in_index).select("__id")), "__id")
-        .select("__id", "__y", "text")
-        .toLocalIterator()
-    )
-    bounded = []
-    keep = {t for t, _ in terms}
-    for r in examples:
-        # only the words that count are kept on the driver
-        words = [w for w in common.TOKEN.findall((r["text"] or "").lower()) if keep & {w, f"{w[:4]}-", f"{w[:5]}-"}]
-        bounded.append((r["__id"], r["__y"], " ".join(words)))
-    index = build(terms, rows, sorted(bounded, key=lambda e: str(e[0])))
+    # packed, so that the driver gets bytes: 24 for each term of the examples
+    packed = stats.mapInPandas(_packed, "terms binary, n binary, bad binary").collect()
+    columns = [np.frombuffer(b"".join(r[c] for r in packed), "<i8") for c in ("terms", "n", "bad")]
+    terms = columns[0].view(np.uint64)
+    rising = np.argsort(terms)
+    rare = (terms[rising], columns[1][rising].astype(float), columns[2][rising].astype(float))
+    del packed, columns, terms
+    bounded = [
+        (i, y, np.frombuffer(t, "<i8").view(np.uint64), np.frombuffer(c, "<i4").astype(float))
+        for i, y, t, c in examples.mapInPandas(_as_bytes, "id string, y int, t binary, c binary").collect()
+    ]
+    index = build(sorted(bounded, key=lambda e: e[0]), rare, rows, toxic)
+    del bounded
     shared = spark.sparkContext.broadcast(index)
 
     @F.pandas_udf("double")
     def votes(text: pd.Series) -> pd.Series:
         return pd.Series([shared.value.vote(t)[0] for t in common.texts_of(text)], dtype=float)
 
-    rest = distinct.join(F.broadcast(placed.filter(~in_index).select("__id")), "__id")
+    rest = distinct.join(F.broadcast(taken), "__id", "left_anti")
     told = rest.select("__y", votes("text").alias("v")).collect()  # two numbers for each fitted row
+    shared.unpersist()
+    discard(examples, taken)
     raw, label = np.array([r["v"] for r in told]), np.array([r["__y"] for r in told], float)
     index.knots = monotone(raw, label, toxic / rows)
     return index
 
 
+def _packed(batches):
+    for b in batches:
+        yield pd.DataFrame(
+            {k: [b[c].to_numpy("<i8").tobytes()] for k, c in (("terms", "term"), ("n", "n"), ("bad", "bad"))}
+        )
+
+
+def _as_bytes(batches):
+    for b in batches:
+        terms = [np.asarray(t, "<i8").tobytes() for t in b["t"]]
+        yield pd.DataFrame({"id": b["__id"].astype(str), "y": b["__y"].astype("int32"), "t": terms, "c": b["c"]})
+
+
 def scorer(docs: DataFrame, index: Index):
     """A column function: text → struct of score, predicted, neighbours, evidence.
 
     Evidence lists up to three neighbours as id:label:cosine. Missing and empty texts have no
     neighbours and get the score of an empty vote.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by EXAMPLES and MAX_TERMS
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by the words of 2 * EXAMPLES texts
 
     @F.pandas_udf(SCORE)
     def score(text: pd.Series) -> pd.DataFrame:

@@ -2,6 +2,7 @@
 
 import base64
 import json
+import math
 import re
 from collections import Counter
 
@@ -134,26 +135,95 @@ def test_toxicity_on_held_out_rows(spark):
     assert told[1, 1] > 0.6 * (told[1, 1] + told.get((1, 0), 0))
 
 
+def _stems(text):
+    return [w[:6] for w in re.findall(r"\w+", text.lower())]
+
+
+def _weights(texts, labels, extra):
+    """Weights of all words by the formula, from plain counts: of the texts, and of unseen words."""
+    rows, toxic = len(texts), sum(labels)
+    held = [set(_stems(t)) for t in texts]
+
+    def weight(word):
+        n = sum(word in h for h in held)
+        bad = sum(word in h for h, y in zip(held, labels) if y)
+        return (math.log((rows + 1) / (n + 1)) + 1e-3) * math.log2(2 + bad / max(1, (n - bad) * toxic / (rows - toxic)))
+
+    return {w: weight(w) for w in set().union(*held, extra)}
+
+
+def _vector(text, weights):
+    words = Counter(_stems(text))
+    raw = {w: (1 + math.log(k)) * weights[w] for w, k in words.items()}
+    length = math.sqrt(sum(v * v for v in raw.values()))
+    return {w: v / length for w, v in raw.items()}
+
+
+def _random_texts(rows, seed):
+    rng = np.random.default_rng(seed)
+    vocabulary = np.array([f"T{i:03d}es{i % 2}" for i in range(400)])
+    chance = 1 / np.arange(1, 401)
+    chance /= chance.sum()
+    return [" ".join(rng.choice(vocabulary, int(rng.integers(1, 60)), p=chance)) for _ in range(rows)]
+
+
 def test_nearest_examples_equal_brute_force():
-    rng = np.random.default_rng(5)
-    vocabulary = [f"term{i:03d}" for i in range(40)]
-    text = lambda: " ".join(rng.choice(vocabulary, rng.integers(1, 12)))
-    examples = [(i, int(rng.integers(0, 2)), text()) for i in range(400)]
-    index = toxicity.build([(t, int(rng.integers(1, 50))) for t in vocabulary], 500, examples)
-    assert len(index.ids) == 400
-    dense = np.zeros((400, 40))
-    texts = dict((e[0], e[2]) for e in examples)
-    for row, i in enumerate(index.ids):
-        ids, weight = index.vector(texts[i])
-        dense[row, ids] = weight
-    for _ in range(100):
-        ids, weight = index.vector(text())
-        query = np.zeros(40)
-        query[ids] = weight
-        cosine = dense @ query
-        best, who = index.nearest(ids, weight, 10)
-        want = np.sort(cosine)[::-1][:10]
-        assert np.allclose(best, want[want > 0][: len(best)]) and np.allclose(cosine[who], best)
+    texts, queries_ = _random_texts(700, 5), _random_texts(60, 6) + ["unknown words alone", "T001es1 unknown", ""]
+    rng = np.random.default_rng(7)
+    labels = [int(y) for y in rng.integers(0, 2, len(texts))]
+    hashed = [toxicity.terms_of(t) for t in texts]
+    terms, where = np.unique(np.concatenate([t for t, _ in hashed]), return_inverse=True)
+    row_label = np.repeat(np.array(labels, float), [len(t) for t, _ in hashed])
+    known = terms, np.bincount(where).astype(float), np.bincount(where, row_label)
+    index = toxicity.build([(i, y, *h) for i, (y, h) in enumerate(zip(labels, hashed))], known, len(texts), sum(labels))
+    assert len(index.ids) == len(texts) > 10 * toxicity.BLOCK
+    weights = _weights(texts, labels, set(_stems("unknown words alone")))
+    vectors = [_vector(t, weights) for t in texts]
+    for query in queries_:
+        v = _vector(query, weights)
+        want = np.array([sum(x * vectors[i].get(w, 0) for w, x in v.items()) for i in index.ids])
+        best, who = index.nearest(*index.vector(*toxicity.terms_of(query)), 10)
+        assert np.allclose(want[who], best) and len(set(who.tolist())) == len(who)
+        top = np.sort(want[want > 0])[::-1][:10]
+        assert len(best) == len(top) and np.allclose(best, top)
+        raw, n, _ = index.vote(query, 10)
+        y = np.array([labels[index.ids[w]] for w in who], float)
+        assert n == len(top) and math.isclose(raw, float((best**2 * y).sum() / (best**2).sum()) if n else 0.0)
+
+
+def test_fitted_weights_and_neighbours_equal_brute_force(spark, monkeypatch):
+    """Frequencies come from all fitted rows, not from the examples alone; repeated texts count once."""
+    monkeypatch.setattr(toxicity, "EXAMPLES", 60)
+    texts = list(dict.fromkeys(_random_texts(300, 8)))
+    toxic = [int(i % 3 == 0) for i in range(len(texts))]
+    docs = spark.createDataFrame([*enumerate(texts), (1000, texts[0]), (1001, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([*enumerate(toxic), (1000, toxic[0])], "doc_id long, toxic int")
+    index = toxicity.fit(docs.repartition(3), labels)
+    assert sorted(index.labels.tolist()).count(1.0) == min(60, -(-3 * sum(toxic) // 4))
+    weights = _weights(texts, toxic, set())
+    for query in texts[:40]:
+        best, who = index.nearest(*index.vector(*toxicity.terms_of(query)), 10)
+        seen = {w for i in index.ids for w in _stems(texts[int(i)])}
+        unseen = (math.log(len(texts) + 1) + 1e-3) * math.log2(2)
+        v = _vector(query, {w: x if w in seen else unseen for w, x in weights.items()})
+        near = [_vector(texts[int(i)], weights) for i in index.ids]
+        want = np.array([sum(x * u.get(w, 0) for w, x in v.items()) for u in near])
+        assert np.allclose(np.sort(want[want > 0])[::-1][:10], best) and np.allclose(want[who], best)
+
+
+def test_a_clean_near_copy_speaks_for_a_text_and_rare_insults_are_kept():
+    """Every word counts: the nearest example decides also by words that no other row has."""
+    rows = [(str(i), 1, f"you are an oaf number {i} filler{i}") for i in range(40)]
+    rows += [(str(i), 0, f"you are a friend number {i} filler{i}") for i in range(100, 140)]
+    rows += [("rare", 1, "zounderkite is what they called him"), ("quote", 0, "the word oaf in a play by somebody unheard")]
+    hashed = [toxicity.terms_of(t) for _, _, t in rows]
+    terms, where = np.unique(np.concatenate([t for t, _ in hashed]), return_inverse=True)
+    row_label = np.repeat(np.array([float(y) for _, y, _ in rows]), [len(t) for t, _ in hashed])
+    known = terms, np.bincount(where).astype(float), np.bincount(where, row_label)
+    index = toxicity.build([(i, y, *h) for (i, y, _), h in zip(rows, hashed)], known, len(rows), 41)
+    assert index.vote("a zounderkite!", 1)[0] == 1.0 and index.vote("a zounderkite!", 1)[2].startswith("rare:1")
+    assert index.vote("The word oaf in a play by somebody unheard of", 1)[2].startswith("quote:0")
+    assert index.vote("an oaf", 5)[0] == 1.0
 
 
 def test_toxicity_of_odd_rows(odd, none, labels):
