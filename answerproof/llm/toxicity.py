@@ -172,12 +172,12 @@ def build(examples: list[tuple], known: tuple[np.ndarray, np.ndarray, np.ndarray
     who = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(v[2]) for v in vectors])
     weight = np.concatenate([v[3] for v in vectors])
     order = np.lexsort((who, term))
-    term, who, weight = term[order], who[order], weight[order]
+    term, who, weight = term[order], who[order].astype(np.int64), weight[order]
     block = who // BLOCK
     new = np.flatnonzero(np.concatenate([[True], (np.diff(term) != 0) | (np.diff(block) != 0)]))
     index.first = np.searchsorted(term[new], np.arange(len(terms) + 1))
     index.block, index.most = block[new], np.maximum.reduceat(weight, new)
-    index.at, index.who, index.weight = np.append(new, len(term)).astype(np.int32), who, weight
+    index.at, index.who, index.weight = np.append(new, len(term)), who, weight
     return index
 
 
@@ -249,22 +249,24 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Inde
 
     examples = distinct.join(F.broadcast(taken), "__id").select("__id", "__y", split("text").alias("s"))
     examples = written(examples.select("__id", "__y", "s.t", "s.c"), "toxicity-examples")
-    vocabulary = examples.select(F.explode("t").alias("term")).distinct()
+    flagged = distinct.join(F.broadcast(taken.withColumn("__in", F.lit(True))), "__id", "left")
+    flagged = flagged.select("__y", F.coalesce("__in", F.lit(False)).alias("__in"), "text")
 
     def partial_counts(batches):
         for batch in batches:
-            pairs = [(y, terms_of(text)[0]) for y, text in zip(batch["__y"], common.texts_of(batch["text"]))]
-            every = np.concatenate([t for _, t in pairs] or [np.empty(0, np.uint64)])
-            toxic_row = np.repeat([float(y) for y, _ in pairs], [len(t) for _, t in pairs])
-            terms, where = np.unique(every, return_inverse=True)
-            bad = np.bincount(where, toxic_row, len(terms)).astype(np.int64)
-            yield pd.DataFrame({"term": terms.view(np.int64), "bad": bad, "n": np.bincount(where, minlength=len(terms))})
-
+            found = [terms_of(text)[0] for text in common.texts_of(batch["text"])]
+            size = [len(t) for t in found]
+            terms, where = np.unique(np.concatenate(found or [np.empty(0, np.uint64)]), return_inverse=True)
+            bad, inside = (np.bincount(where, np.repeat(batch[c].astype(float), size), len(terms)) for c in ("__y", "__in"))
+            columns = {"n": np.bincount(where, minlength=len(terms)), "bad": bad.astype(np.int64), "inside": inside.astype(np.int64)}
+            yield pd.DataFrame({"term": terms.view(np.int64), **columns})
+
+    # terms that no example has are not kept
     stats = (
-        distinct.mapInPandas(partial_counts, "term long, bad long, n long")
+        flagged.mapInPandas(partial_counts, "term long, n long, bad long, inside long")
         .groupBy("term")
-        .agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-        .join(vocabulary, "term", "left_semi")
+        .agg(*[F.sum(c).alias(c) for c in ("n", "bad", "inside")])
+        .filter("inside > 0")
     )
     # packed, so that the driver gets bytes: 24 for each term of the examples
     packed = stats.mapInPandas(_packed, "terms binary, n binary, bad binary").collect()
