@@ -1,14 +1,15 @@
 """How two tokenizers cut the same texts: groups of tokens that cover the same bytes, and which id
 pairs stand together.
 
-Each document is tokenized twice. All documents of a block are merged in lockstep: one state vector of
+Each document is tokenized twice. All documents of a step are merged in lockstep: one state vector of
 A and B positions moves on at once in all of them, the side whose token ends first (both where they end
 together, which closes a group), and documents that are through leave the vector. The links of a
-block are the token pairs of its groups.
+step are the token pairs of its groups.
 
 How often an id pair is linked is counted over the whole corpus. A block is one row that keeps the
 distinct pairs of its documents, so the shuffles carry each pair once for a block, not once for a
-document: pairs are summed up by pair, and the sums go back to the blocks that have the pair.
+document: pairs are summed up by pair, and the sums go back to the blocks that have the pair. A block
+is made step by step, so a worker holds the tokens of one step, and of a block its distinct pairs.
 
 Defined results: texts that are missing, empty or not rendered byte for byte by both tokenizers have
 zeros and an empty digest; a text of any length is one document of one block; repeated rows are
@@ -31,8 +32,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 from answerproof.llm import common, tokens
 from answerproof.session import written
 
-#: Bytes of text in a block; a longer text is a block by itself. Links are made in steps of so many.
-BLOCK_BYTES, STEP_LINKS = 6 << 20, 1 << 22
+#: Bytes of text in a block; a longer text is a block by itself. Documents are aligned in steps of so
+#: many tokens of both sides, and links are made in steps of so many.
+BLOCK_BYTES, STEP_TOKENS, STEP_LINKS = 6 << 20, 1 << 20, 1 << 19
+FIGURES = ("n_a", "n_b", "n_groups", "n_links")
 #: A pair is one number: the A id, then the B id in 24 bits, more than any vocabulary here needs.
 PAIR_BITS, KEY_BITS = np.int64(24), np.int64(44)
 
@@ -164,9 +167,9 @@ class Pair:
             return none, none
         return ids_a, np.array(ids_b, np.int64)
 
-    def block(self, texts: list[str | None]) -> dict:
-        """Figures of each document, and the distinct pairs of the block with where they stand."""
-        found = [self.encode(t) for t in texts]
+    def step(self, found: list[tuple[np.ndarray, np.ndarray]]) -> dict:
+        """Figures of each document of a step from its tokens, and the pairs of each: ``until``, ``pair``
+        and ``many`` links."""
         n_a, n_b = (np.array([len(x[i]) for x in found], np.int64) for i in (0, 1))
         ids_a, ids_b = (np.concatenate([x[i] for x in found]) for i in (0, 1))
         stop_a, stop_b = np.cumsum(n_a), np.cumsum(n_b)
@@ -188,19 +191,43 @@ class Pair:
         digests = [
             self.digits.digest(cells[e - k : e]) if k else "" for e, k in zip(ends.tolist(), (n_a + n_b).tolist())
         ]
+        del cells
         which, pair, many = linked(ids_a, ids_b, cuts_a, cuts_b, doc)
-        pairs, place, holds = np.unique(pair, return_inverse=True, return_counts=True)
         return {
             "n_a": n_a,
             "n_b": n_b,
             "n_groups": upto - since,
             "n_links": sums[upto] - sums[since],
             "groups_sha256": digests,
+            "until": np.searchsorted(which, np.arange(len(found)), side="right"),
+            "pair": pair,
+            "many": many,
+        }
+
+    def steps(self, texts: list[str | None]) -> Iterator[dict]:
+        found, size = [], 0
+        for text in texts:
+            ids_a, ids_b = self.encode(text)
+            if found and size + len(ids_a) + len(ids_b) > STEP_TOKENS:
+                yield self.step(found)
+                found, size = [], 0
+            found.append((ids_a, ids_b))
+            size += len(ids_a) + len(ids_b)
+        yield self.step(found)
+
+    def block(self, texts: list[str | None]) -> dict:
+        """Figures of each document, and the distinct pairs of the block with where they stand."""
+        made = list(self.steps(texts))
+        of = {c: np.concatenate([s[c] for s in made]) for c in (*FIGURES, "pair", "many")}
+        pairs, place, holds = np.unique(of.pop("pair"), return_inverse=True, return_counts=True)
+        before = np.cumsum([0, *(len(s["pair"]) for s in made[:-1])])
+        return {
+            **of,
+            "groups_sha256": [d for s in made for d in s["groups_sha256"]],
             "pairs": pairs,
             "holds": holds,
-            "until": np.searchsorted(which, np.arange(len(texts)), side="right"),
+            "until": np.concatenate([s["until"] + n for s, n in zip(made, before)]),
             "place": place,
-            "many": many,
         }
 
 
@@ -233,9 +260,6 @@ def _grouped(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[li
         yield ids, texts
 
 
-FIGURES = ("n_a", "n_b", "n_groups", "n_links")
-
-
 def blocks(docs: DataFrame, path_a: str = tokens.BYTE_BPE, path_b: str = tokens.PIECE_BPE) -> DataFrame:
     """One row for each block of documents: their figures, and its pairs in squeezed arrays."""
     kind = to_arrow_type(docs.schema["doc_id"].dataType)

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -320,3 +321,30 @@ def test_alignment_of_odd_rows(odd, none):
     assert aligned(alignment.align(short)) == brute_force_alignment([tuple(r) for r in short.select("doc_id", "text").collect()])
     assert alignment.align(odd).count() == odd.count()
     assert alignment.align(none).count() == 0
+
+
+def test_alignment_in_steps_equals_one_step(monkeypatch):
+    rng = random.Random(3)
+    texts = [*WEIRD, *(random_text(rng) for _ in range(60)), None, "", *WEIRD]
+    both = alignment.Pair(tokens.BYTE_BPE, tokens.PIECE_BPE)
+    whole = both.block(texts)
+    for size in (1, 50, 1_000):
+        monkeypatch.setattr(alignment, "STEP_TOKENS", size)
+        made = both.block(texts)
+        assert made.keys() == whole.keys()
+        assert all(np.array_equal(made[c], whole[c]) for c in whole)
+
+
+def test_alignment_memory_does_not_grow_with_the_tokens_of_a_block(monkeypatch):
+    rng = random.Random(5)
+    words = [f"word{i}" for i in range(500)]
+    texts = [" ".join(rng.choices(words, k=200)) for _ in range(600)]
+    both = alignment.Pair(tokens.BYTE_BPE, tokens.PIECE_BPE)
+    monkeypatch.setattr(alignment, "STEP_TOKENS", 1 << 14, raising=False)
+    both.block(texts[:10])
+    tracemalloc.start()
+    n_tokens = int(sum(both.block(texts)[c].sum() for c in ("n_a", "n_b")))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n_tokens > 20 << 14
+    assert peak < 64 * n_tokens
