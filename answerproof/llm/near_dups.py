@@ -29,6 +29,7 @@ from answerproof.session import discard, written
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 6  # a pair at 0.8 shares no band with probability 6e-5
 BATCH_CHARS = 400_000
+MARK_WORDS = 1 << 20  # words of 64 bits: 3 % of the rows pass unneeded where two million keys are needed
 _WORD_IDS = 200_000  # remembered word hashes of a worker; beyond it the memory starts anew
 
 
@@ -149,12 +150,26 @@ def _banded(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return named.groupBy("tid").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
 
 
+def _marked(rows: DataFrame, needed: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is in ``needed``, and some others: all whose hash falls on a set bit.
+
+    The bits are a broadcast table of ``MARK_WORDS`` words at most, however many keys are needed. An
+    exact join after it then shuffles about the rows that are needed, not every row; with so many keys
+    that all bits are set, it shuffles every row.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(64 * MARK_WORDS))
+    word, bit = F.shiftright(place, 6), (place % 64).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+    marks = needed.groupBy(word.alias("__word")).agg(F.bit_or(one).alias("__bits"))
+    # a semi join: an exact one is not pushed below it, as it would be below an inner join
+    on = (word == F.col("__word")) & (F.getbit("__bits", bit) == 1)
+    return rows.join(F.broadcast(marks), on, "left_semi")
+
+
 def _profiles(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """tid, shingle hashes (sorted) and weights of the texts in ``needed`` (doc_id, tid)."""
-    wanted = needed.select(F.col("doc_id").alias("__d"), F.col("tid").alias("__t"))
-    named = docs.select("doc_id", "text", _key(F.col("text")).alias("tid"))
-    on = common.same(F.col("doc_id"), F.col("__d")) & (F.col("tid") == F.col("__t"))
-    texts = named.join(wanted, on, "left_semi").dropDuplicates(["doc_id", "tid"])
+    """tid, shingle hashes (sorted) and weights of the texts in ``needed`` (tid)."""
+    named = _marked(docs.select(_key(F.col("text")).alias("tid"), "text"), needed, "tid")
+    texts = named.join(needed, "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
 
     @F.pandas_udf("struct<h: array<long>, w: array<int>>")
     def profile(text: pd.Series) -> pd.DataFrame:
@@ -176,11 +191,11 @@ def _verified(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     def exact(a: pd.Series, x: pd.Series, b: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([similarity(*row) for row in zip(a, x, b, y)], dtype=float)
 
-    # both sides are renamed alike, so that one shuffle of the profiles serves both joins
-    one, other = (profiles.select(F.col("tid").alias(t), F.col("p").alias(p)) for t, p in (("hub", "q"), ("tid", "p")))
+    # both sides get new names, so that one shuffle of the profiles serves both joins
+    one, other = (profiles.select(F.col("tid").alias(t), F.col("p").alias(p)) for t, p in (("hub", "q"), ("to", "r")))
     hubs = one.join(pairs.select("hub").distinct(), "hub")
-    joined = pairs.join(other, "tid").join(hubs, "hub")
-    return joined.select("hub", "tid", exact("q.h", "q.w", "p.h", "p.w").alias("similar"))
+    joined = pairs.join(other, F.col("tid") == F.col("to")).join(hubs, "hub")
+    return joined.select("hub", "tid", exact("q.h", "q.w", "r.h", "r.w").alias("similar"))
 
 
 def _settled(links: DataFrame) -> bool:
@@ -230,7 +245,7 @@ def classes(docs: DataFrame, threshold: float = SIMILAR, bands: int = BANDS, row
     sizes = member.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     # aggregates that meet hot keys again are written first: a join can then split such a key
     sizes = written(sizes, "band-sizes")
-    crowded = written(member.join(sizes, "band"), "bands")  # members of bands that hold two or more
+    crowded = written(_marked(member, sizes, "band").join(sizes, "band"), "bands")  # members of bands that hold two or more
     known_by = crowded.groupBy("tid").agg(F.sum("n").alias("fame"))
     famed = crowded.select("band", "tid").join(known_by, "tid")
     hubs = famed.groupBy("band").agg(F.max(F.struct("fame", "tid"))["tid"].alias("top"), F.min("tid").alias("low"))
@@ -238,13 +253,12 @@ def classes(docs: DataFrame, threshold: float = SIMILAR, bands: int = BANDS, row
     met = crowded.select("band", "tid").join(written(hubs, "hubs"), "band")
     pairs = met.select("tid", F.explode("hubs").alias("hub")).filter("tid != hub")
     pairs = written(pairs.distinct(), "pairs")
-    alone = pairs.select(F.col("tid").alias("t")).unionByName(pairs.select(F.col("hub").alias("t"))).distinct()
-    needed = reps.join(alone, F.col("tid") == F.col("t"), "left_semi").select("doc_id", "tid")
+    needed = pairs.select("tid").unionByName(pairs.select(F.col("hub").alias("tid"))).distinct()
     profiles = written(_profiles(docs, needed), "profiles")
     known = written(_verified(pairs, profiles), "similarities")
     links = known.filter(F.col("similar") >= threshold).select(F.col("hub").alias("u"), F.col("tid").alias("v"))
     parts = components(links)
-    rest = written(_remaining(crowded, parts, profiles, known, threshold), "pairs")
+    rest = _remaining(crowded, parts, profiles, known, threshold)
     if not rest.isEmpty():
         more = written(_verified(rest, profiles).filter(F.col("similar") >= threshold), "similarities")
         if not more.isEmpty():
@@ -271,7 +285,7 @@ def classes(docs: DataFrame, threshold: float = SIMILAR, bands: int = BANDS, row
 def _remaining(
     crowded: DataFrame, parts: DataFrame, profiles: DataFrame, known: DataFrame, threshold: float
 ) -> DataFrame:
-    """Pairs (hub, tid) of a band that lie in different components and could still be similar.
+    """Pairs (hub, tid) of a band that lie in different components and could still be similar; written.
 
     With d distinct shingles of total weight n, k of them (weight c) not unique here, at most
     m = min(k, k') are shared. A side's shared mass is then at most p = min(c, n - d + m) / n, and the
@@ -291,10 +305,9 @@ def _remaining(
     )
     mixed = mixed.filter("a != b").groupBy("n", "x1", "x2").agg(F.min("band").alias("band"))
     mixed = written(mixed.select("band"), "mixed-bands")
-    inside = written(labelled.join(mixed, "band"), "mixed")
-    held = profiles.join(inside.select("tid").distinct(), "tid")
-    # an outer explode: the filter that a plain one infers would make another shuffle of the profiles
-    each = held.select("tid", F.explode_outer(F.arrays_zip("p.h", "p.w")).alias("s")).select("tid", "s.h", "s.w")
+    inside = placed = written(labelled.join(mixed, "band"), "mixed")
+    held = written(profiles.join(inside.select("tid").distinct(), "tid"), "held")  # read twice
+    each = held.select("tid", F.explode(F.arrays_zip("p.h", "p.w")).alias("s")).select("tid", "s.h", "s.w")
     unique = each.groupBy("h").agg(F.count("*").alias("n"), F.min("tid").alias("tid"), F.min("w").alias("w"))
     unique = unique.filter("n = 1").groupBy("tid").agg(F.count("*").alias("ud"), F.sum("w").alias("uw"))
     total = F.aggregate("p.w", F.lit(0).cast("bigint"), lambda a, x: a + x)
@@ -307,27 +320,29 @@ def _remaining(
     mass = mass.withColumn("k", F.col("d") - F.coalesce("ud", F.lit(0)))
     mass = mass.withColumn("c", F.col("n") - F.coalesce("uw", F.lit(0))).drop("ud", "uw")
     inside = inside.join(mass, "tid")
-    # both sides are renamed, so that one shuffle serves both
-    one = inside.select(*[F.col(c).alias(c if c == "band" else f"{c}_") for c in inside.columns])
-    inside = inside.select(*[F.col(c).alias(c) for c in inside.columns])
+    # both sides get new names, so that one shuffle serves both
+    one, other = (inside.select(*[F.col(c).alias(c + end) for c in inside.columns]) for end in ("_", "__"))
 
     def possible(shared):
-        p = F.least(F.col("c"), F.col("n") - F.col("d") + shared) / F.col("n")
+        p = F.least(F.col("c__"), F.col("n__") - F.col("d__") + shared) / F.col("n__")
         q = F.least(F.col("c_"), F.col("n_") - F.col("d_") + shared) / F.col("n_")
         least = threshold - 1e-9
         return (p * q >= least * (q + (1 - q) * p)) & (p * q >= least * (p + (1 - p) * q))
 
-    lowest = F.array_min(F.array_intersect("bands", "bands_")) == F.col("band")
-    pairs = one.join(inside, "band").filter(
-        (F.col("tid_") < F.col("tid"))
-        & (F.col("label_") != F.col("label"))
-        & possible(F.least("k", "k_"))
+    lowest = F.array_min(F.array_intersect("bands__", "bands_")) == F.col("band_")
+    pairs = one.join(other, F.col("band_") == F.col("band__")).filter(
+        (F.col("tid_") < F.col("tid__"))
+        & (F.col("label_") != F.col("label__"))
+        & possible(F.least("k__", "k_"))
         & lowest
-        & possible(F.size(F.array_intersect("h", "h_")) + F.least("lost", "lost_"))
+        & possible(F.size(F.array_intersect("h__", "h_")) + F.least("lost__", "lost_"))
     )
-    pairs = pairs.select(F.col("tid_").alias("hub"), "tid").distinct()
+    pairs = pairs.select(F.col("tid_").alias("hub"), F.col("tid__").alias("tid")).distinct()
     done = known.select(F.least("hub", "tid").alias("x"), F.greatest("hub", "tid").alias("y"))
-    return pairs.join(done, (F.col("hub") == F.col("x")) & (F.col("tid") == F.col("y")), "left_anti")
+    new = pairs.join(done, (F.col("hub") == F.col("x")) & (F.col("tid") == F.col("y")), "left_anti")
+    new = written(new, "pairs")
+    discard(mixed, placed, held)
+    return new
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:

@@ -523,3 +523,28 @@ def test_names_the_operators_use_themselves_may_be_taken(spark):
     assert all(r["__d"] == r["__k"] == r["__lines"] == 1 for r in cut)
     kept = near_dups.drop_near_duplicates(docs)
     assert kept.columns == docs.columns and kept.count() == 2
+
+
+def test_only_texts_that_are_needed_are_shuffled_for_their_profiles(spark, monkeypatch):
+    rows = [(i, f"text number {i} has words of its own and some of all") for i in range(400)]
+    rows += [(None, "nobody's words"), (3, None), (7, rows[7][1]), (500, rows[7][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = docs.filter("doc_id % 40 = 7 or (doc_id is null)").filter("text is not null")
+    needed = session.written(wanted.select(near_dups._key(F.col("text")).alias("tid")).distinct())
+    named = docs.select("doc_id", "text", near_dups._key(F.col("text")).alias("tid"))
+    found = {r.doc_id for r in near_dups._marked(named, needed, "tid").collect()}
+    assert {None, 500, *range(7, 400, 40)} <= found and len(found) < 20
+
+    def profiles():
+        return sorted((bytes(r.tid), r.p.h, r.p.w) for r in near_dups._profiles(docs, needed).collect())
+
+    some = profiles()
+    monkeypatch.setattr(near_dups, "MARK_WORDS", 1)  # every bit is set sooner or later
+    assert profiles() == some and len(some) == 11
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = near_dups._profiles(docs, needed)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = re.findall(r"(SortMergeJoin|BroadcastHashJoin).*LeftSemi", plan)
+    assert joins == ["SortMergeJoin", "BroadcastHashJoin"]  # the lower one stands last
