@@ -11,12 +11,17 @@ band, never with each other: linked texts need no further comparison among thems
 is the member that shares most bands with others, usually the original of a family of copies. What
 remains are bands whose members fall into several components. There, pairs from different components
 are compared exactly, unless a bound rules them out: a shingle that no other text of such bands has
-cannot be shared, and enough of these keep two texts apart. Links are verified on whole texts;
-components are found by star contraction over tables. Nothing is collected.
+cannot be shared, and enough of these keep two texts apart; so do enough bits in which the parities
+of two texts' shingles differ. Links are verified on whole texts; components are found by star
+contraction over tables. Nothing is collected.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
+import uuid
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -30,6 +35,7 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 6  # a pair at 0.8 shares no band with probability 6e-5
 BATCH_CHARS = 400_000
 MARK_WORDS = 1 << 20  # words of 64 bits: 3 % of the rows pass unneeded where two million keys are needed
+PARITY_WORDS = 32  # words of 64 bits; settles nearly all pairs of up to 1,500 shingles without their lists
 _WORD_IDS = 200_000  # remembered word hashes of a worker; beyond it the memory starts anew
 
 
@@ -100,6 +106,16 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Bit i of ``PARITY_WORDS`` words is set if an odd number of the distinct ``hashes`` falls on i.
+
+    Equal hashes cancel out between two texts, so they differ in as many shingles as in bits, or more.
+    """
+    bits = 64 * PARITY_WORDS
+    odd = np.bincount((hashes.view(np.uint64) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def similarity(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
     """Probability Jaccard of two weighted sets (sorted hashes and weights), exactly."""
     both = np.intersect1d(a, b, assume_unique=True)
@@ -289,13 +305,18 @@ def _remaining(
 
     With d distinct shingles of total weight n, k of them (weight c) not unique here, at most
     m = min(k, k') are shared. A side's shared mass is then at most p = min(c, n - d + m) / n, and the
-    similarity at most p q / (q + (1 - q) p) and p q / (p + (1 - p) q). Where this bound does not
-    settle it, m is counted and the bound taken again, all inside the join: what comes out are links,
-    but for weights that differ. A pair counts in the lowest band it shares.
-
-    Bands with the same members give the same pairs, so one of them is looked at; a text is copied for
-    each of these only. Its shingles go along as 32 bits of their hashes. Two that fall together could
-    hide a shared one, so the count is raised by how many did; shingles that look alike raise it too.
+    similarity at most p q / (p + q - p q). Without c, this bound is one on the number of shingles that
+    only one side has. That number is at least the number of bits in which ``parities`` differ; where
+    these settle nothing, it is counted, and what comes out are links, but for weights that differ. A
+    pair is counted in the lowest band it shares.
+
+    A band has far more pairs than links, so they are made as few and as cheap as can be. Pairs within
+    its largest component are not made: one side is always a member outside of it. The condition of the
+    join is numbers and words of bits alone, a method small enough for the JVM to compile, with the
+    lists behind a fence. Bands with the same members give the same pairs, so one of them is looked at;
+    a text is copied for each of these only. Its shingles go along as 32 bits of their hashes. Two that
+    fall together could hide a shared one, so the count is raised by how many did; shingles that look
+    alike raise it too.
     """
     labelled = crowded.select("band", "tid").join(parts, F.col("tid") == F.col("node"), "left")
     labelled = labelled.select("band", "tid", F.coalesce("label", "tid").alias("label"))
@@ -305,43 +326,63 @@ def _remaining(
     )
     mixed = mixed.filter("a != b").groupBy("n", "x1", "x2").agg(F.min("band").alias("band"))
     mixed = written(mixed.select("band"), "mixed-bands")
-    inside = placed = written(labelled.join(mixed, "band"), "mixed")
-    held = written(profiles.join(inside.select("tid").distinct(), "tid"), "held")  # read twice
+    placed = written(labelled.join(mixed, "band"), "mixed")
+    largest = placed.groupBy("band", "label").agg(F.count("*").alias("n"))
+    largest = written(largest.groupBy("band").agg(F.max(F.struct("n", "label"))["label"].alias("largest")), "largest")
+    inside = placed.join(largest, "band").withColumn("apart", F.col("label") != F.col("largest")).drop("largest")
+
+    @F.pandas_udf("array<long>")
+    def parity(h: pd.Series) -> pd.Series:
+        return pd.Series([parities(x) for x in h], dtype=object)
+
+    held = profiles.join(placed.select("tid").distinct(), "tid").withColumn("bits", parity("p.h"))
+    held = written(held, "held")  # read twice
     each = held.select("tid", F.explode(F.arrays_zip("p.h", "p.w")).alias("s")).select("tid", "s.h", "s.w")
     unique = each.groupBy("h").agg(F.count("*").alias("n"), F.min("tid").alias("tid"), F.min("w").alias("w"))
     unique = unique.filter("n = 1").groupBy("tid").agg(F.count("*").alias("ud"), F.sum("w").alias("uw"))
     total = F.aggregate("p.w", F.lit(0).cast("bigint"), lambda a, x: a + x)
     short = F.array_distinct(F.transform("p.h", lambda h: F.shiftright(h, 32).cast("int")))
-    mass = held.select("tid", short.alias("h"), F.size("p.h").alias("d"), total.alias("n"))
+    mass = held.select("tid", "bits", short.alias("h"), F.size("p.h").cast("double").alias("d"), total.cast("double").alias("n"))
     mass = mass.withColumn("lost", F.col("d") - F.size("h"))
     mass = mass.join(unique, "tid", "left").join(
-        inside.groupBy("tid").agg(F.collect_set("band").alias("bands")), "tid"  # at most one for each band
+        placed.groupBy("tid").agg(F.collect_set("band").alias("bands")), "tid"  # at most one for each band
     )
     mass = mass.withColumn("k", F.col("d") - F.coalesce("ud", F.lit(0)))
     mass = mass.withColumn("c", F.col("n") - F.coalesce("uw", F.lit(0))).drop("ud", "uw")
-    inside = inside.join(mass, "tid")
-    # both sides get new names, so that one shuffle serves both
+    words = [F.coalesce(F.col("bits")[i], F.lit(0)).alias(f"b{i}") for i in range(PARITY_WORDS)]
+    inside = inside.join(mass, "tid").select("*", *words).drop("bits")
     one, other = (inside.select(*[F.col(c).alias(c + end) for c in inside.columns]) for end in ("_", "__"))
 
-    def possible(shared):
-        p = F.least(F.col("c__"), F.col("n__") - F.col("d__") + shared) / F.col("n__")
-        q = F.least(F.col("c_"), F.col("n_") - F.col("d_") + shared) / F.col("n_")
-        least = threshold - 1e-9
-        return (p * q >= least * (q + (1 - q) * p)) & (p * q >= least * (p + (1 - p) * q))
-
+    least = threshold - 1e-9
+    # p q / (p + q - p q) >= least, times n n'
+    p, q = (F.least(F.col("c" + e), F.col("n" + e) - F.col("d" + e) + F.least("k_", "k__")) for e in ("_", "__"))
+    possible = p * q * (1 + least) >= least * (p * F.col("n__") + q * F.col("n_"))
+    # the same for p = (n - d + m) / n, solved for the d + d' - 2 m shingles of one side only
+    over, excess = 1 + 1 / least, (F.col("n_") - F.col("d_")) - (F.col("n__") - F.col("d__"))
+    skew = over * excess - (F.col("n_") - F.col("n__"))
+    root = F.sqrt(skew * skew + 4 * F.col("n_") * F.col("n__"))
+    most = ((F.col("n_") + F.col("n__")) / least - root) / over + 1e-6
+    differ = functools.reduce(
+        operator.add, (F.bit_count(F.col(f"b{i}_").bitwiseXOR(F.col(f"b{i}__"))) for i in range(PARITY_WORDS))
+    )
     lowest = F.array_min(F.array_intersect("bands__", "bands_")) == F.col("band_")
-    pairs = one.join(other, F.col("band_") == F.col("band__")).filter(
-        (F.col("tid_") < F.col("tid__"))
+    shared = F.size(F.array_intersect("h__", "h_")) + F.least("lost__", "lost_")
+    close = one.filter("apart_").join(
+        other,
+        (F.col("band_") == F.col("band__"))
         & (F.col("label_") != F.col("label__"))
-        & possible(F.least("k__", "k_"))
-        & lowest
-        & possible(F.size(F.array_intersect("h__", "h_")) + F.least("lost__", "lost_"))
+        & (~F.col("apart__") | (F.col("tid_") < F.col("tid__")))
+        & possible
+        & (differ <= most),
     )
-    pairs = pairs.select(F.col("tid_").alias("hub"), F.col("tid__").alias("tid")).distinct()
+    # no filter passes an observed metric
+    close = close.observe(f"close_{uuid.uuid4().hex}", F.count(F.lit(1)).alias("pairs"))
+    pairs = close.filter(lowest & (F.col("d_") + F.col("d__") - 2 * shared <= most))
+    pairs = pairs.select(F.least("tid_", "tid__").alias("hub"), F.greatest("tid_", "tid__").alias("tid")).distinct()
     done = known.select(F.least("hub", "tid").alias("x"), F.greatest("hub", "tid").alias("y"))
     new = pairs.join(done, (F.col("hub") == F.col("x")) & (F.col("tid") == F.col("y")), "left_anti")
     new = written(new, "pairs")
-    discard(mixed, placed, held)
+    discard(mixed, largest, placed, held)
     return new
 
 

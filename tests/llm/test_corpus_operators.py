@@ -548,3 +548,71 @@ def test_only_texts_that_are_needed_are_shuffled_for_their_profiles(spark, monke
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     joins = re.findall(r"(SortMergeJoin|BroadcastHashJoin).*LeftSemi", plan)
     assert joins == ["SortMergeJoin", "BroadcastHashJoin"]  # the lower one stands last
+
+
+def test_parities_bound_the_shingles_of_one_side():
+    rng = np.random.default_rng(3)
+    for shared, more in ((0, 5), (300, 0), (300, 40), (4000, 900)):
+        both, *own = (rng.integers(-(2**63), 2**63 - 1, n) for n in (shared, more, more))
+        x, y = (near_dups.parities(np.concatenate([both, side])) for side in own)
+        differ = int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
+        assert len(x) == near_dups.PARITY_WORDS and differ <= 2 * more and differ % 2 == 0
+        assert more > 100 or differ >= 1.8 * more
+
+
+def test_pairs_of_a_large_family_meet_without_their_lists(spark, monkeypatch):
+    """Copies around the threshold, with one word put in, so that a changed shingle is in several."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for copy in range(260):
+        words = [f"w{i}" for i in range(300)]
+        for at in rng.choice(300, 4 + copy % 7, replace=False):
+            words[at] = "that"
+        rows.append((copy, " ".join(words)))
+    sides = [near_dups.weigh([t])[1:] for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if near_dups.similarity(*sides[i], *sides[j]) >= near_dups.SIMILAR:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    pairs, keep = [], near_dups.written
+
+    def written(df, name):
+        pairs.extend([df] if name == "pairs" else [])
+        return keep(df, name)
+
+    monkeypatch.setattr(near_dups, "written", written)
+    monkeypatch.setattr(near_dups, "discard", lambda *tables: None)  # the plan runs once more
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == {i: find(i) for i in range(len(rows))}
+    assert 100 < len({find(i) for i in range(len(rows))}) < 250
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        again = pairs[-1].select("*")
+        run = again._jdf.queryExecution()
+        code = spark._jvm.PythonSQLUtils.explainString(run, "codegen")
+        again.collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+    def nodes(plan):
+        yield plan
+        for i in range(plan.children().size()):
+            yield from nodes(plan.children().apply(i))
+
+    joins = [n for n in nodes(run.executedPlan()) if n.nodeName() == "SortMergeJoin"]
+    meet = [n for n in joins if "tid_" in n.toString().split("\n")[0]]
+    assert len(meet) == 1 and "array_intersect" not in meet[0].toString().split("\n")[0]
+    assert meet[0].metrics().apply("numOutputRows").value() < 1000  # of 33,670 pairs in up to 32 bands
+    # the JVM compiles no method of more than 8,000 bytes
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code))) < 8000
